@@ -1,0 +1 @@
+"""Left empty on purpose: every operator of this library reads finite input."""
