@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vertexweave import operators as op, sources as io
 from vertexweave.catalog.graphs import edge_lines, g1, g2, g3, table
 from vertexweave.operators.pack import unmerged_members
-from vertexweave.plans.storage import checkpointed, scratch_path
+from vertexweave.plans.storage import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,16 +34,16 @@ def _part_lines(spark: SparkSession, sf_dir: str, with_regions: bool = True) ->
 def _partitioned(mode: int) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = io.read_partition_dict(_part_lines(spark, sf_dir))
-        stored = op.adjacency_partitioned(g3(spark, sf_dir), parts, mode, 12)
-        return stored.select("key", "part", "vertex", "segment", *[_text(c) for c in stored.columns[4:]])
+        lists = op.adjacency_partitioned(g3(spark, sf_dir), parts, mode, 12)
+        return lists.select("key", "part", "vertex", "segment", *[_text(c) for c in lists.columns[4:]])
 
     return query
 
 
 def _partitioned_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = io.read_partition_dict(_part_lines(spark, sf_dir, with_regions=False))
-    stored = op.adjacency_partitioned(g3(spark, sf_dir), parts, 1, 12, strict=False)
-    return stored.select("key", "part", "vertex", "segment", _text("out"))
+    lists = op.adjacency_partitioned(g3(spark, sf_dir), parts, 1, 12, strict=False)
+    return lists.select("key", "part", "vertex", "segment", _text("out"))
 
 
 def _dictionary_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +91,15 @@ def _stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "members")
     io.write_table(op.partition_members_with_degree(g1(spark, sf_dir), 25), path, part="part")
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("part"))
-    stored = spark.read.schema("vertex int, out_degree bigint, part int").parquet(path)
-    return op.lookup_members(stored, regions, "part")
+    members = spark.read.schema("vertex int, out_degree bigint, part int").parquet(path)
+    return op.lookup_members(members, regions, "part")
 
 
 def _stored_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "adjacency")
     io.write_table(op.adjacency(g1(spark, sf_dir), 3), path)
-    stored = spark.read.schema("vertex int, segment int, out array<int>, in array<int>").parquet(path)
-    return op.lookup_column(stored, _suppliers(spark, sf_dir), "in")
+    lists = spark.read.schema("vertex int, segment int, out array<int>, in array<int>").parquet(path)
+    return op.lookup_column(lists, _suppliers(spark, sf_dir), "in")
 
 
 def _edges_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _two_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(segment_size: int | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        blocks = checkpointed(op.extended_vertex_blocks(g2(spark, sf_dir), 1, 2))
+        blocks = stored(op.extended_vertex_blocks(g2(spark, sf_dir), 1, 2))
         return op.pack_blocks(blocks, **({"segment_size": segment_size} if segment_size else {}))
 
     return query
@@ -163,8 +163,8 @@ def _hop_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _adjacency(mode: int, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stored = op.adjacency(g1(spark, sf_dir), mode, **options)
-        return stored.select("vertex", "segment", *[_text(c) for c in stored.columns[2:]])
+        lists = op.adjacency(g1(spark, sf_dir), mode, **options)
+        return lists.select("vertex", "segment", *[_text(c) for c in lists.columns[2:]])
 
     return query
 

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from vertexweave.operators.neighbors import BOTH, check_mode, distinct_neighbors, lone_vertices, neighbors
-from vertexweave.plans.skew import SEGMENT_SIZE, TILE_SIDE, segment_rows, tiled_join
-from vertexweave.plans.storage import checkpointed
+from vertexweave.plans.skew import SEGMENT_SIZE, TILE_SIDE, known, segment_rows, spread_lookup, tiled_join
+from vertexweave.plans.storage import stored
 
 BORDER, INTERIOR = "B", "I"
 
@@ -40,10 +40,11 @@ def expand_hop(
     """
     if distance < 2:
         raise ValueError("the first hop is vertex_blocks; expand_hop makes hop 2 and up")
-    nbrs = distinct_neighbors(edges, mode)
-    border = hop.where(F.col("type") == BORDER).select("anchor", "vertex").distinct()
+    nbrs = stored(distinct_neighbors(edges, mode))
+    border = known(hop, ["anchor", "vertex"]).where(F.col("type") == BORDER).select("anchor", "vertex").distinct()
+    border = stored(border)
     degrees = nbrs.groupBy("vertex").agg(F.count(F.lit(1)).alias("degree"))
-    expanded = tiled_join(border, degrees, "vertex", "anchor", "degree", tile_side=tile_side).select(
+    expanded = spread_lookup(border, degrees, "vertex", "anchor").where(F.col("degree").isNotNull()).select(
         "anchor", "vertex", F.lit(distance - 1).alias("distance"), F.lit(INTERIOR).alias("type")
     )
     reached = (
@@ -85,7 +86,7 @@ def extended_vertex_blocks(
     if k < 1:
         raise ValueError("k is the number of hops, 1 or more")
     nbrs = distinct_neighbors(edges, mode)
-    blocks = _direct_blocks(nbrs) if k == 1 else _searched_blocks(nbrs, mode, k, tile_side)
+    blocks = _direct_blocks(nbrs) if k == 1 else _searched_blocks(stored(nbrs), mode, k, tile_side)
     if keep_lone:
         lone = lone_vertices(edges, mode).select(F.col("vertex").alias("anchor"))
         blocks = blocks.unionByName(lone, allowMissingColumns=True)
@@ -102,12 +103,16 @@ def _direct_blocks(nbrs: DataFrame) -> DataFrame:
 
 
 def _searched_blocks(nbrs: DataFrame, mode: int, k: int, tile_side: int) -> DataFrame:
-    links = _marked_links(nbrs, mode, tile_side)
+    links = _marked_links(nbrs, mode)
     reached = links.select(
         F.col("vertex").alias("anchor"), F.col("neighbor").alias("vertex"), F.lit(1).alias("distance"), "open"
     )
     for hop in range(2, k + 1):
-        frontier = reached.where((F.col("distance") == hop - 1) & F.col("open")).select("anchor", "vertex")
+        if hop == 2:
+            # Every pair is on the frontier, and those that lead nowhere drop out of the join.
+            frontier = _direct_blocks(nbrs).select("anchor", "vertex")
+        else:
+            frontier = reached.where((F.col("distance") == hop - 1) & F.col("open")).select("anchor", "vertex")
         # Vertices first met in the last hop are border whether they are open
         # or not, so that hop reads the bare relation.
         onward = links if hop < k else nbrs.withColumn("open", F.lit(False))
@@ -122,20 +127,20 @@ def _searched_blocks(nbrs: DataFrame, mode: int, k: int, tile_side: int) -> Data
             .agg(F.min("distance").alias("distance"), F.max("open").alias("open"))
         )
         if hop < k:
-            # The next hop reads this twice, once as frontier and once to merge into.
-            reached = checkpointed(reached)
+            # Read again as frontier and to merge into.
+            reached = stored(reached)
     interior = (F.col("distance") < k) & F.col("open")
     return reached.select(
         "anchor", "vertex", "distance", F.when(interior, INTERIOR).otherwise(BORDER).alias("type")
     )
 
 
-def _marked_links(nbrs: DataFrame, mode: int, tile_side: int) -> DataFrame:
+def _marked_links(nbrs: DataFrame, mode: int) -> DataFrame:
     """The relation, with ``open`` telling whether the neighbour has neighbours itself."""
     if mode == BOTH:
         return nbrs.withColumn("open", F.lit(True))
     sources = nbrs.groupBy(F.col("vertex").alias("neighbor")).agg(F.count(F.lit(1)).alias("_degree"))
-    return tiled_join(nbrs, sources, "neighbor", "vertex", "_degree", how="left", tile_side=tile_side).select(
+    return spread_lookup(nbrs, sources, "neighbor", "vertex").select(
         "vertex", "neighbor", F.col("_degree").isNotNull().alias("open")
     )
 

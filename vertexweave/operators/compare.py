@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vertexweave.plans.skew import tiled_join
+from vertexweave.plans.skew import spread_lookup
 
 # Fixed value: how an unreachable vertex is written.
 INFINITY = "2147483647"
@@ -61,14 +61,7 @@ def value_differences(first: DataFrame, second: DataFrame) -> DataFrame:
     """
     known = _last_values(first).select("vertex", F.col("value").alias("first_value"))
     return (
-        tiled_join(
-            second.select("vertex", F.col("value").alias("second_value")),
-            known,
-            "vertex",
-            "second_value",
-            "first_value",
-            how="left",
-        )
+        spread_lookup(second.select("vertex", F.col("value").alias("second_value")), known, "vertex", "second_value")
         .where(~F.col("second_value").eqNullSafe(F.col("first_value")))
         .select("vertex", "first_value", "second_value")
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vertexweave.plans.skew import known
+
 OUT, IN, BOTH = 1, 2, 3
 
 
@@ -30,7 +32,7 @@ def _pair(vertex: str, neighbor: str):
 
 def distinct_neighbors(edges: DataFrame, mode: int) -> DataFrame:
     """The neighbour relation as a set. It shuffles on pairs, so a hub spreads over all tasks."""
-    return neighbors(edges, mode).distinct()
+    return known(neighbors(edges, mode), ["vertex", "neighbor"]).distinct()
 
 
 def vertices(edges: DataFrame) -> DataFrame:

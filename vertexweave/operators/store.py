@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vertexweave.functions.ids import padded, part_of
 from vertexweave.functions.text import strict_int, trim_control
 from vertexweave.operators.neighbors import BOTH, IN, OUT, check_mode, distinct_neighbors, lone_vertices, vertices
-from vertexweave.plans.skew import SEGMENT_SIZE, segment_rows, tiled_join
+from vertexweave.plans.skew import SEGMENT_SIZE, segment_rows, spread_lookup
 
 # Fixed value: stands for "no neighbour" in the long form.
 NO_NEIGHBOR = -1
@@ -133,9 +133,9 @@ def adjacency_partitioned(
 def _with_parts(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """Look up the part of each outgoing neighbour; popular neighbours are spread over tasks."""
     tagged = (F.col("side") == "out") & F.col("neighbor").isNotNull()
-    return tiled_join(
-        lists.where(tagged), parts, "neighbor", "vertex", "neighbor_part", how="left"
-    ).unionByName(lists.where(~tagged), allowMissingColumns=True)
+    return spread_lookup(lists.where(tagged), parts, "neighbor", "vertex").unionByName(
+        lists.where(~tagged), allowMissingColumns=True
+    )
 
 
 def partition_key(part: Column, vertex: Column, n_parts: int) -> Column:

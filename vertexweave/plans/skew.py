@@ -5,7 +5,8 @@ going into a join and only at joins fed directly by a shuffle:
 
 * a hub vertex met from both sides gives a product far larger than its input,
   so its pairs are cut into tiles that spread over the cluster
-  (:func:`tiled_join`);
+  (:func:`tiled_join`), and popular keys of a lookup are spread
+  (:func:`spread_lookup`);
 * a packed list of a hub's neighbours cannot be built in one task, so lists
   above a size come out as numbered segments (:func:`segment_rows`).
 """
@@ -13,6 +14,7 @@ going into a join and only at joins fed directly by a shuffle:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,58 +29,93 @@ SEGMENT_SIZE = 100_000
 BLOCK_BITS = 16
 
 
+def known(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Say that keys are not null in every branch alike.
+
+    Spark infers this in some of the joins that share an input and not in
+    others; said at the start, the branches read one shuffle of that input.
+    """
+    return rows.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+
+
 def tiled_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     left_item: str,
     right_item: str,
-    how: str = "inner",
     tile_side: int = TILE_SIDE,
 ) -> DataFrame:
-    """Equi-join on ``key`` in which the pairs of a hot key are made by many tasks.
+    """Inner join on ``key`` in which the pairs of a hot key are made by many tasks.
 
     A key whose pairs exceed ``tile_side`` squared gets its left rows cut into
     ``_l`` parts by ``left_item`` and its right rows into ``_r`` parts by
     ``right_item``. Each row is sent to every part of the other side, so each
     pair is made exactly once, and the copies are small next to the pairs.
-
-    ``how="left"`` needs a right side that is unique in ``key``: it is then
-    never cut, and each left row stays one row.
     """
-    tile_pairs = float(tile_side) ** 2
-    met_left = left.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    met_right = right.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_m"))
-    side, pairs = F.lit(float(tile_side)), F.lit(tile_pairs)
-    split = (
-        met_left.join(met_right, key)
-        .where(F.col("_n") * F.col("_m") > pairs)
-        .orderBy((F.col("_n") * F.col("_m")).desc(), key)
-        .limit(MAX_SPLIT_KEYS)
-        .select(
-            key,
-            F.ceil(F.col("_n") / F.greatest(side, pairs / F.col("_m"))).cast("int").alias("_l"),
-            F.ceil(F.col("_m") / F.greatest(side, pairs / F.col("_n"))).cast("int").alias("_r"),
-        )
+    left, right = known(left, [key]), known(right, [key])
+    side, pairs = F.lit(float(tile_side)), F.lit(float(tile_side) ** 2)
+    n, m = F.col("_n"), F.col("_m")
+    hot = _hottest(
+        _counts(left, key, "_n").join(_counts(right, key, "_m"), key).where(n * m > pairs), key, n * m
+    ).select(
+        key,
+        F.ceil(n / F.greatest(side, pairs / m)).cast("int").alias("_l"),
+        F.ceil(m / F.greatest(side, pairs / n)).cast("int").alias("_r"),
     )
-    split = F.broadcast(split)
 
     def numbered(rows: DataFrame, item: str, own: str, other: str) -> DataFrame:
-        own_parts = F.coalesce(F.col(own), F.lit(1))
-        other_parts = F.coalesce(F.col(other), F.lit(1))
-        return rows.join(split, key, "left").select(
-            *rows.columns,
-            F.pmod(F.hash(item), own_parts).alias(f"{own}_tile"),
-            F.explode(F.sequence(F.lit(0), other_parts - 1)).alias(f"{other}_tile"),
+        return rows.join(F.broadcast(hot), key, "left").select(
+            *rows.columns, _part(item, own).alias(f"{own}_tile"), _every_part(other).alias(f"{other}_tile")
         )
 
+    # The work lies in the pairs, not in the rows read. A fixed number of
+    # partitions keeps small inputs from being packed into few tasks for it.
+    tile = [key, "_l_tile", "_r_tile"]
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         numbered(left, left_item, "_l", "_r")
-        .join(numbered(right, right_item, "_r", "_l"), [key, "_l_tile", "_r_tile"], how)
+        .repartition(partitions, *tile)
+        .join(numbered(right, right_item, "_r", "_l"), tile)
         .drop("_l_tile", "_r_tile")
     )
 
 
+def spread_lookup(
+    rows: DataFrame, table: DataFrame, key: str, spread_by: str, rows_per_task: int = TILE_SIDE**2
+) -> DataFrame:
+    """Left join of ``rows`` with a ``table`` that is unique in ``key``.
+
+    The rows of a key with more than ``rows_per_task`` of them are spread by
+    another column, and the key's entry is sent to each part. Spark's skew join
+    would not do this where the table comes out of an aggregate.
+    """
+    table = known(table, [key])
+    n = F.col("_n")
+    hot = _hottest(_counts(rows, key, "_n").where(n > rows_per_task), key, n).select(
+        key, F.ceil(n / F.lit(float(rows_per_task))).cast("int").alias("_l")
+    )
+    spread = rows.join(F.broadcast(hot), key, "left").select(*rows.columns, _part(spread_by, "_l").alias("_tile"))
+    copied = table.join(F.broadcast(hot), key, "left").select(*table.columns, _every_part("_l").alias("_tile"))
+    return spread.join(copied, [key, "_tile"], "left").drop("_tile")
+
+
+def _counts(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias(name))
+
+
+def _hottest(keys: DataFrame, key: str, weight: Column) -> DataFrame:
+    return keys.orderBy(weight.desc(), key).limit(MAX_SPLIT_KEYS)
+
+
+def _part(item: str, parts: str) -> Column:
+    return F.pmod(F.hash(item), F.coalesce(F.col(parts), F.lit(1)))
+
+
+def _every_part(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+
+
 def segment_rows(
     rows: DataFrame,
     group: Sequence[str],
@@ -101,20 +138,21 @@ def segment_rows(
     run across segments comes out once for each, with its share of them.
     """
     group = list(group)
+    rows = known(rows, group)
     order = F.col(item) if order is None else order
     block = F.shiftright(F.col(item), BLOCK_BITS) if block is None else block
-    weight = F.col(copies) if copies else F.lit(1)
+    weight = F.when(F.col(item).isNotNull(), F.col(copies) if copies else F.lit(1)).otherwise(0)
 
     long_groups = (
         rows.groupBy(*group)
-        .agg(F.sum(F.when(F.col(item).isNotNull(), weight).otherwise(0)).alias("_n"))
+        .agg(F.sum(weight).alias("_n"))
         .where(F.col("_n") > size)
         .select(*group, F.lit(True).alias("_long"))
     )
     marked = rows.join(long_groups, group, "left")
     short = marked.where(F.col("_long").isNull()).select(*rows.columns, F.lit(0).alias("segment"))
 
-    entries = marked.where(F.col("_long").isNotNull() & F.col(item).isNotNull()).select(
+    entries = marked.where(F.col("_long").isNotNull()).select(
         *rows.columns, block.alias("_block"), order.alias("_order"), weight.cast("bigint").alias("_w")
     )
     by_block = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
@@ -124,7 +162,9 @@ def segment_rows(
         .select(*group, "_block", (F.sum("_in_block").over(by_block) - F.col("_in_block")).alias("_start"))
     )
     in_block = Window.partitionBy(*group, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    placed = entries.join(starts, [*group, "_block"]).withColumn(
+    # A null item has a block of its own, which comes first and is empty.
+    same_block = [F.col(f"e.{c}") == F.col(f"s.{c}") for c in group] + [F.col("e._block").eqNullSafe(F.col("s._block"))]
+    placed = entries.alias("e").join(starts.alias("s"), same_block).select("e.*", "s._start").withColumn(
         "_from", F.col("_start") + F.sum("_w").over(in_block) - F.col("_w")
     )
     if copies is None:
@@ -132,7 +172,7 @@ def segment_rows(
     else:
         until = F.col("_from") + F.col("_w")
         first = F.floor(F.col("_from") / size).cast("int")
-        last = F.floor((until - 1) / size).cast("int")
+        last = F.greatest(first, F.floor((until - 1) / size).cast("int"))
         reached = placed.withColumn("segment", F.explode(F.sequence(first, last)))
         begin = F.col("segment").cast("bigint") * size
         share = F.least(until, begin + size) - F.greatest(F.col("_from"), begin)

@@ -38,11 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there.
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    The copy outlives any executor, and what follows it neither repeats the
-    work before it nor carries its plan along.
+    For what is read several times, or grows a plan hop by hop. The table
+    outlives any executor, each reader takes only the columns it needs, and
+    joins know its size. The folder is scratch space: its owner clears it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
