@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from vertexweave.operators.neighbors import BOTH, check_mode, distinct_neighbors, lone_vertices, neighbors
-from vertexweave.plans.skew import SEGMENT_SIZE, TILE_SIDE, known, segment_rows, spread_lookup, tiled_join
+from vertexweave.plans.skew import SEGMENT_SIZE, TILE_SIDE, known, list_groups, segment_rows, spread_lookup, tiled_join
 from vertexweave.plans.storage import stored
 
 BORDER, INTERIOR = "B", "I"
@@ -104,6 +104,8 @@ def _direct_blocks(nbrs: DataFrame) -> DataFrame:
 
 def _searched_blocks(nbrs: DataFrame, mode: int, k: int, tile_side: int) -> DataFrame:
     links = _marked_links(nbrs, mode)
+    if k > 2:
+        links = stored(links)
     reached = links.select(
         F.col("vertex").alias("anchor"), F.col("neighbor").alias("vertex"), F.lit(1).alias("distance"), "open"
     )
@@ -153,19 +155,14 @@ def pack_blocks(blocks: DataFrame, segment_size: int = SEGMENT_SIZE) -> DataFram
     each starting with the anchor. Blocks are read more than once, so pass
     stored ones where they are expensive to make.
     """
-    entry = F.struct("vertex", "distance", "type")
+    text = F.concat_ws(" ", F.lit(""), "vertex", "distance", "type").alias("text")
+    entry = F.when(F.col("vertex").isNotNull(), F.struct("vertex", text))
     return (
-        segment_rows(blocks, ["anchor"], "vertex", size=segment_size)
-        .groupBy("anchor", "segment")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("vertex").isNotNull(), entry))).alias("_entries"))
+        list_groups(segment_rows(blocks, ["anchor"], "vertex", size=segment_size), "anchor", "segment")
+        .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
         .select(
             "anchor",
             "segment",
-            F.concat(
-                F.col("anchor").cast("string"),
-                F.array_join(
-                    F.transform("_entries", lambda e: F.concat_ws(" ", F.lit(""), e.vertex, e.distance, e.type)), ""
-                ),
-            ).alias("line"),
+            F.concat(F.col("anchor").cast("string"), F.array_join("_entries.text", "")).alias("line"),
         )
     )

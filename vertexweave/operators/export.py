@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vertexweave.plans.skew import SEGMENT_SIZE, segment_rows
+from vertexweave.plans.skew import SEGMENT_SIZE, list_groups, segment_rows
 
 # Fixed value: the weight written for every edge.
 EDGE_WEIGHT = "1"
@@ -15,36 +15,33 @@ def weighted_adjacency(edges: DataFrame, keep_sinks: bool = False, segment_size:
 
     ``keep_sinks`` adds the vertices without outgoing edges, as a bare id.
     """
-    entries = F.transform("_out", lambda n: F.concat(F.lit("\t"), n.cast("string"), F.lit(":" + EDGE_WEIGHT)))
-    return _out_lists(edges, keep_sinks, segment_size).select(
-        "vertex", "segment", F.concat(F.col("vertex").cast("string"), F.array_join(entries, "")).alias("line")
+    text = F.concat(F.lit("\t"), F.col("neighbor").cast("string"), F.lit(":" + EDGE_WEIGHT))
+    repeated = F.repeat(text, F.col("copies").cast("int")).alias("text")
+    return _out_lists(edges, keep_sinks, segment_size, repeated).select(
+        "vertex", "segment", F.concat(F.col("vertex").cast("string"), F.array_join("_out.text", "")).alias("line")
     )
 
 
 def neighbor_arrays(edges: DataFrame, segment_size: int = SEGMENT_SIZE) -> DataFrame:
     """``(vertex STRING, segment, neighbors ARRAY<STRING>)`` of outgoing edges; a sink has an empty array."""
-    return _out_lists(edges, True, segment_size).select(
-        F.col("vertex").cast("string").alias("vertex"), "segment", F.col("_out").cast("array<string>").alias("neighbors")
+    repeated = F.array_repeat(F.col("neighbor").cast("string"), F.col("copies").cast("int")).alias("texts")
+    return _out_lists(edges, True, segment_size, repeated).select(
+        F.col("vertex").cast("string").alias("vertex"), "segment", F.flatten("_out.texts").alias("neighbors")
     )
 
 
-def _out_lists(edges: DataFrame, keep_sinks: bool, segment_size: int) -> DataFrame:
-    """``(vertex, segment, _out)``: sorted neighbours with repeats.
+def _out_lists(edges: DataFrame, keep_sinks: bool, segment_size: int, repeated: Column) -> DataFrame:
+    """``(vertex, segment, _out)``: for each neighbour in order, ``repeated`` as often as the edge is.
 
-    Repeats travel as counts and are written out again at the end.
+    Until they are in their segment, repeats travel as counts.
     """
     counted = _out_entries(edges, keep_sinks).groupBy("vertex", "neighbor").agg(F.count(F.lit(1)).alias("copies"))
-    entry = F.when(F.col("neighbor").isNotNull(), F.struct("neighbor", F.col("copies").cast("int").alias("copies")))
-    return (
-        segment_rows(counted, ["vertex"], "neighbor", size=segment_size, copies="copies")
-        .groupBy("vertex", "segment")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-        .select("vertex", "segment", _repeated("_entries").alias("_out"))
+    entry = F.when(F.col("neighbor").isNotNull(), F.struct("neighbor", repeated))
+    lengths = edges.groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("_n"))
+    segments = segment_rows(
+        counted, ["vertex"], "neighbor", size=segment_size, copies="copies", counts=lengths
     )
-
-
-def _repeated(entries: str) -> Column:
-    return F.flatten(F.transform(entries, lambda e: F.array_repeat(e.neighbor, e.copies)))
+    return list_groups(segments, "vertex", "segment").agg(F.sort_array(F.collect_list(entry)).alias("_out"))
 
 
 def _out_entries(edges: DataFrame, keep_sinks: bool) -> DataFrame:

@@ -1,7 +1,8 @@
 """Long rows packed into one text for each stored row.
 
 Members follow the order of the stored bytes: unsigned, so negative ids come
-last, and by characters where members are texts.
+last, and by characters where members are texts. Rows are read more than once,
+so pass stored ones where they are expensive to make.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vertexweave.functions.ids import padded, unsigned_order
-from vertexweave.plans.skew import BLOCK_BITS, SEGMENT_SIZE, segment_rows
+from vertexweave.plans.skew import BLOCK_BITS, SEGMENT_SIZE, list_groups, segment_rows
 
 # Ids that agree in this many leading digits form a block when ids sort as texts.
 _TEXT_BLOCK_DIGITS = 5
@@ -59,7 +60,7 @@ def merge_partitions_with_degree(members: DataFrame, n_parts: int, segment_size:
         size=segment_size,
     )
     return (
-        rows.groupBy("part", "segment")
+        list_groups(rows, "part", "segment")
         .agg(F.sort_array(F.collect_list(F.concat_ws(" ", "vertex", "out_degree"))).alias("_members"))
         .select(_hash_key(), "segment", F.array_join("_members", " ").alias("members"))
     )
@@ -77,15 +78,12 @@ def _in_range(members: DataFrame, n_parts: int) -> DataFrame:
 
 def _packed_ids(rows: DataFrame, group: str, member: str, segment_size: int) -> DataFrame:
     order = unsigned_order(F.col(member))
+    entry = F.struct(order.alias("order"), F.col(member).cast("string").alias("text"))
+    segments = segment_rows(
+        rows.select(group, member), [group], member, order, F.shiftright(order, BLOCK_BITS), segment_size
+    )
     return (
-        segment_rows(
-            rows.select(group, member), [group], member, order, F.shiftright(order, BLOCK_BITS), segment_size
-        )
-        .groupBy(group, "segment")
-        .agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), F.col(member).alias("id")))).alias("_members"))
-        .select(
-            group,
-            "segment",
-            F.array_join(F.transform("_members", lambda m: m.id.cast("string")), " ").alias("members"),
-        )
+        list_groups(segments, group, "segment")
+        .agg(F.sort_array(F.collect_list(entry)).alias("_members"))
+        .select(group, "segment", F.array_join("_members.text", " ").alias("members"))
     )

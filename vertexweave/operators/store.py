@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vertexweave.functions.ids import padded, part_of
 from vertexweave.functions.text import strict_int, trim_control
 from vertexweave.operators.neighbors import BOTH, IN, OUT, check_mode, distinct_neighbors, lone_vertices, vertices
-from vertexweave.plans.skew import SEGMENT_SIZE, segment_rows, spread_lookup
+from vertexweave.plans.skew import SEGMENT_SIZE, list_groups, segment_rows, spread_lookup
 
+# Long lists of one vertex looked up together in one task.
+LISTS_PER_TASK = 1000
 # Fixed value: stands for "no neighbour" in the long form.
 NO_NEIGHBOR = -1
 
@@ -19,8 +21,8 @@ def adjacency(edges: DataFrame, mode: int, segment_size: int = SEGMENT_SIZE) ->
     Every vertex has a row, if only with empty arrays. A hub whose list exceeds
     ``segment_size`` goes on in rows with further segment numbers.
     """
-    rows = segment_rows(_sides(edges, mode), ["vertex", "side"], "neighbor", size=segment_size)
-    return rows.groupBy("vertex", "segment").agg(*[_list(side, F.col("neighbor")) for side in _names(mode)])
+    lists = list_groups(_segments(edges, mode, segment_size), "vertex", "segment")
+    return lists.agg(*[_list(side, F.col("neighbor")) for side in _names(mode)])
 
 
 def _names(mode: int) -> list[str]:
@@ -28,28 +30,41 @@ def _names(mode: int) -> list[str]:
 
 
 def _list(side: str, entry: Column) -> Column:
-    wanted = (F.col("side") == side) & F.col("neighbor").isNotNull()
+    of_side = F.col("outgoing") if side == "out" else ~F.col("outgoing")
+    wanted = of_side & F.col("neighbor").isNotNull()
     return F.sort_array(F.collect_list(F.when(wanted, entry))).alias(side)
 
 
-def _sides(edges: DataFrame, mode: int) -> DataFrame:
-    """Distinct ``(vertex, side, neighbor)`` from one pass over the edges.
+def _ends(edges: DataFrame, mode: int) -> DataFrame:
+    """``(vertex, outgoing, neighbor)`` for the ends of each edge, from one pass over the edges.
 
     The end that has no list from an edge still gets a row, with a null
     neighbour, so that no vertex has to be joined in afterwards.
     """
     check_mode(mode)
+    src, dst, nobody = F.col("src"), F.col("dst"), F.lit(None).cast("int")
 
-    def side(name: str, vertex: str, neighbor: Column) -> Column:
-        return F.struct(F.col(vertex).alias("vertex"), F.lit(name).alias("side"), neighbor.alias("neighbor"))
+    def end(vertex: Column, outgoing: bool, neighbor: Column) -> Column:
+        return F.struct(vertex.alias("vertex"), F.lit(outgoing).alias("outgoing"), neighbor.alias("neighbor"))
 
-    nobody = F.lit(None).cast("int")
-    ways = {
-        OUT: [side("out", "src", F.col("dst")), side("out", "dst", nobody)],
-        IN: [side("in", "dst", F.col("src")), side("in", "src", nobody)],
-        BOTH: [side("out", "src", F.col("dst")), side("in", "dst", F.col("src"))],
+    ends = {
+        OUT: [end(src, True, dst), end(dst, True, nobody)],
+        IN: [end(dst, False, src), end(src, False, nobody)],
+        BOTH: [end(src, True, dst), end(dst, False, src)],
     }[mode]
-    return edges.select(F.inline(F.array(*ways))).distinct()
+    return edges.select(F.inline(F.array(*ends)))
+
+
+def _segments(edges: DataFrame, mode: int, segment_size: int) -> DataFrame:
+    ends = _ends(edges, mode)
+    return segment_rows(
+        ends.distinct(), ["vertex", "outgoing"], "neighbor", size=segment_size, counts=_list_bounds(edges, mode)
+    )
+
+
+def _list_bounds(edges: DataFrame, mode: int) -> DataFrame:
+    """Edges in each list. Repeats count too: a bound that takes no shuffle of the edges."""
+    return _ends(edges, mode).groupBy("vertex", "outgoing").agg(F.count("neighbor").alias("_n"))
 
 
 def adjacency_long(edges: DataFrame, mode: int) -> DataFrame:
@@ -78,7 +93,8 @@ def partition_members_with_degree(edges: DataFrame, n_parts: int) -> DataFrame:
     """``(part, vertex, out_degree)``; the degree counts distinct neighbours."""
     _check_parts(n_parts)
     return (
-        _sides(edges, OUT)
+        _ends(edges, OUT)
+        .distinct()
         .groupBy("vertex")
         .agg(F.count("neighbor").alias("out_degree"))
         .select(part_of(F.col("vertex"), n_parts).alias("part"), "vertex", "out_degree")
@@ -100,39 +116,37 @@ def adjacency_partitioned(
     ones are plain. A vertex the dictionary lacks fails the query, or has a
     null part and key with ``strict=False``.
     """
-    rows = _sides(edges, mode)
-    lists = segment_rows(rows, ["vertex", "side"], "neighbor", size=segment_size)
+    lists = _segments(edges, mode, segment_size)
     if mode != IN:
         parts = dictionary.select(F.col("vertex").alias("neighbor"), F.col("part").alias("neighbor_part"))
         lists = _with_parts(lists, parts)
-    tagged = F.struct("neighbor", "neighbor_part") if mode != IN else None
-    entries = {"out": tagged, "in": F.col("neighbor")}
-    packed = lists.groupBy("vertex", "segment").agg(*[_list(side, entries[side]) for side in _names(mode)])
-    texts = {
-        "out": lambda e: F.concat_ws("-", e.neighbor, F.coalesce(e.neighbor_part.cast("string"), F.lit("null"))),
-        "in": lambda e: e.cast("string"),
-    }
+        tag = F.concat(F.lit("-"), F.coalesce(F.col("neighbor_part").cast("string"), F.lit("null")))
+    plain = F.col("neighbor").cast("string")
+    texts = {"in": plain} if mode == IN else {"in": plain, "out": F.concat(plain, tag)}
+    packed = list_groups(lists, "vertex", "segment").agg(
+        *[_list(side, F.struct("neighbor", texts[side].alias("text"))) for side in _names(mode)]
+    )
     part = F.col("part")
     if strict:
         unmapped = F.format_string("vertex %d is not in the partition dictionary", "vertex")
         part = F.coalesce(part, F.raise_error(unmapped).cast("int"))
-    # Lists are whole by now, so this join meets each vertex once for each of its segments.
-    return (
-        packed.join(dictionary.select("vertex", "part"), "vertex", "left")
-        .withColumn("part", part)
-        .select(
-            F.when(F.col("part").isNotNull(), partition_key(F.col("part"), F.col("vertex"), n_parts)).alias("key"),
-            "part",
-            "vertex",
-            "segment",
-            *[F.transform(side, texts[side]).alias(side) for side in _names(mode)],
-        )
+    # Lists are packed by now: this looks up one entry for each segment of a vertex.
+    segments = _list_bounds(edges, mode).groupBy("vertex").agg((F.max("_n") / segment_size).alias("_n"))
+    placed = spread_lookup(
+        packed, dictionary.select("vertex", "part"), "vertex", "segment", LISTS_PER_TASK, segments
+    ).withColumn("part", part)
+    return placed.select(
+        F.when(F.col("part").isNotNull(), partition_key(F.col("part"), F.col("vertex"), n_parts)).alias("key"),
+        "part",
+        "vertex",
+        "segment",
+        *[F.col(f"{side}.text").alias(side) for side in _names(mode)],
     )
 
 
 def _with_parts(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """Look up the part of each outgoing neighbour; popular neighbours are spread over tasks."""
-    tagged = (F.col("side") == "out") & F.col("neighbor").isNotNull()
+    tagged = F.col("outgoing") & F.col("neighbor").isNotNull()
     return spread_lookup(lists.where(tagged), parts, "neighbor", "vertex").unionByName(
         lists.where(~tagged), allowMissingColumns=True
     )

@@ -16,7 +16,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
+
+from vertexweave.plans.storage import stored
 
 # Rows of one key met per side in one tile: a tile yields at most the square of it.
 TILE_SIDE = 4096
@@ -27,6 +29,8 @@ MAX_SPLIT_KEYS = 65536
 SEGMENT_SIZE = 100_000
 # Ids sharing all but their low 16 bits form a block; at most 65,536 blocks of 65,536 ids.
 BLOCK_BITS = 16
+# Below every block of 32-bit ids.
+_NO_ITEM = -(1 << 15) - 1
 
 
 def known(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,7 +61,7 @@ def tiled_join(
     side, pairs = F.lit(float(tile_side)), F.lit(float(tile_side) ** 2)
     n, m = F.col("_n"), F.col("_m")
     hot = _hottest(
-        _counts(left, key, "_n").join(_counts(right, key, "_m"), key).where(n * m > pairs), key, n * m
+        _counts(left, [key], "_n").join(_counts(right, [key], "_m"), key).where(n * m > pairs), [key], n * m
     ).select(
         key,
         F.ceil(n / F.greatest(side, pairs / m)).cast("int").alias("_l"),
@@ -82,30 +86,38 @@ def tiled_join(
 
 
 def spread_lookup(
-    rows: DataFrame, table: DataFrame, key: str, spread_by: str, rows_per_task: int = TILE_SIDE**2
+    rows: DataFrame,
+    table: DataFrame,
+    key: str | Sequence[str],
+    spread_by: str,
+    rows_per_task: int = TILE_SIDE**2,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` with a ``table`` that is unique in ``key``.
 
     The rows of a key with more than ``rows_per_task`` of them are spread by
     another column, and the key's entry is sent to each part. Spark's skew join
-    would not do this where the table comes out of an aggregate.
+    would not do this where the table comes out of an aggregate. ``counts``,
+    ``(key, _n)``, saves counting the rows where that is known.
     """
-    table = known(table, [key])
+    key = [key] if isinstance(key, str) else list(key)
+    table = known(table, key)
+    counts = _counts(rows, key, "_n") if counts is None else counts
     n = F.col("_n")
-    hot = _hottest(_counts(rows, key, "_n").where(n > rows_per_task), key, n).select(
-        key, F.ceil(n / F.lit(float(rows_per_task))).cast("int").alias("_l")
+    hot = _hottest(counts.where(n > rows_per_task), key, n).select(
+        *key, F.ceil(n / F.lit(float(rows_per_task))).cast("int").alias("_l")
     )
     spread = rows.join(F.broadcast(hot), key, "left").select(*rows.columns, _part(spread_by, "_l").alias("_tile"))
     copied = table.join(F.broadcast(hot), key, "left").select(*table.columns, _every_part("_l").alias("_tile"))
-    return spread.join(copied, [key, "_tile"], "left").drop("_tile")
+    return spread.join(copied, [*key, "_tile"], "left").drop("_tile")
 
 
-def _counts(rows: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias(name))
+def _counts(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias(name))
 
 
-def _hottest(keys: DataFrame, key: str, weight: Column) -> DataFrame:
-    return keys.orderBy(weight.desc(), key).limit(MAX_SPLIT_KEYS)
+def _hottest(keys: DataFrame, key: Sequence[str], weight: Column) -> DataFrame:
+    return keys.orderBy(weight.desc(), *key).limit(MAX_SPLIT_KEYS)
 
 
 def _part(item: str, parts: str) -> Column:
@@ -124,6 +136,7 @@ def segment_rows(
     block: Column | None = None,
     size: int = SEGMENT_SIZE,
     copies: str | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``segment``: the number of the list, within its group, that a row goes to.
 
@@ -132,24 +145,30 @@ def segment_rows(
     longer ones, segment ``s`` holds the entries ranked ``s * size`` and up in
     ``order``. The rank is exact and no task sees a whole group: entries are
     ranked within blocks of ids, of which both the number per group and the
-    length are bounded, and blocks are placed by their sizes.
+    length are bounded, and blocks are placed by their sizes. A ``block`` of
+    one's own must sort as ``order`` does and not be null.
 
     ``copies`` names a column that counts repeats of a row. A row whose repeats
     run across segments comes out once for each, with its share of them.
+
+    The groups to split are found first, in a job of their own, so that rows
+    are not shuffled to learn that there are none. ``counts``, the group
+    columns and ``_n``, may give upper bounds that are cheaper to come by than
+    counts of ``rows``.
     """
     group = list(group)
     rows = known(rows, group)
-    order = F.col(item) if order is None else order
-    block = F.shiftright(F.col(item), BLOCK_BITS) if block is None else block
     weight = F.when(F.col(item).isNotNull(), F.col(copies) if copies else F.lit(1)).otherwise(0)
+    if counts is None:
+        counts = rows.groupBy(*group).agg(F.sum(weight).alias("_n"))
+    long_groups = stored(counts.where(F.col("_n") > size))
+    if long_groups.isEmpty():
+        return rows.withColumn("segment", F.lit(0))
 
-    long_groups = (
-        rows.groupBy(*group)
-        .agg(F.sum(weight).alias("_n"))
-        .where(F.col("_n") > size)
-        .select(*group, F.lit(True).alias("_long"))
-    )
-    marked = rows.join(long_groups, group, "left")
+    order = F.col(item) if order is None else order
+    if block is None:
+        block = F.coalesce(F.shiftright(F.col(item), BLOCK_BITS), F.lit(_NO_ITEM))
+    marked = spread_lookup(rows, long_groups.withColumnRenamed("_n", "_long"), group, item, counts=long_groups)
     short = marked.where(F.col("_long").isNull()).select(*rows.columns, F.lit(0).alias("segment"))
 
     entries = marked.where(F.col("_long").isNotNull()).select(
@@ -162,9 +181,7 @@ def segment_rows(
         .select(*group, "_block", (F.sum("_in_block").over(by_block) - F.col("_in_block")).alias("_start"))
     )
     in_block = Window.partitionBy(*group, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    # A null item has a block of its own, which comes first and is empty.
-    same_block = [F.col(f"e.{c}") == F.col(f"s.{c}") for c in group] + [F.col("e._block").eqNullSafe(F.col("s._block"))]
-    placed = entries.alias("e").join(starts.alias("s"), same_block).select("e.*", "s._start").withColumn(
+    placed = entries.join(starts, [*group, "_block"]).withColumn(
         "_from", F.col("_start") + F.sum("_w").over(in_block) - F.col("_w")
     )
     if copies is None:
@@ -178,3 +195,12 @@ def segment_rows(
         share = F.least(until, begin + size) - F.greatest(F.col("_from"), begin)
         long = reached.select(*[share.alias(c) if c == copies else F.col(c) for c in rows.columns], "segment")
     return short.unionByName(long)
+
+
+def list_groups(rows: DataFrame, *keys: str) -> GroupedData:
+    """Group rows whose aggregate is a list.
+
+    Lists do not shrink when built before the shuffle, so the rows are shuffled
+    as they are. Sorted, each list is finished before the next one begins.
+    """
+    return rows.repartition(*keys).sortWithinPartitions(*keys).groupBy(*keys)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vertexweave.functions.text import INTEGER_PATTERN, SEPARATOR_PATTERN, strict_int, tokens, trim_control
+from vertexweave.functions.text import (
+    INTEGER_PATTERN, SEPARATOR_PATTERN, TOKEN_SEPARATORS, strict_int, tokens, trim_control,
+)
 
 _EDGE_LINE = f"\\A{INTEGER_PATTERN}{SEPARATOR_PATTERN}{INTEGER_PATTERN}\\z"
 
@@ -16,12 +18,16 @@ def read_edges(lines: DataFrame) -> DataFrame:
     (``#``), other lines and edges from a vertex to itself are left out.
     """
     line = trim_control(F.col("value"))
-    ends = F.split(line, SEPARATOR_PATTERN)
     # The pattern already leaves out comments and lines without exactly two
-    # numbers; the cast then only has to reject numbers that are too long.
+    # numbers; the cast then only has to reject numbers that are too long. The
+    # numbers are before the first and after the last separator.
+    spaced = F.translate(line, TOKEN_SEPARATORS, " " * len(TOKEN_SEPARATORS))
     return (
         lines.where(line.rlike(_EDGE_LINE))
-        .select(ends[0].try_cast("int").alias("src"), ends[1].try_cast("int").alias("dst"))
+        .select(
+            F.substring_index(spaced, " ", 1).try_cast("int").alias("src"),
+            F.substring_index(spaced, " ", -1).try_cast("int").alias("dst"),
+        )
         .where(F.col("src") != F.col("dst"))
     )
 
