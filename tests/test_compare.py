@@ -41,5 +41,5 @@ def test_first_side_without_order_must_be_unique(lines):
 
 def test_differences(lines):
     first = io.read_vertex_values(lines("1 0", "2 1"))
-    second = io.read_vertex_values(lines("1 0", "2 5", "3 9"))
-    assert rows(op.value_differences(first, second)) == [("2", "1", "5"), ("3", None, "9")]
+    second = io.read_vertex_values(lines("1 0", "2 5", "3 9", "2 5", "2 1"))
+    assert rows(op.value_differences(first, second)) == [("2", "1", "5", 2), ("3", None, "9", 1)]

@@ -44,9 +44,17 @@ def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
-@pytest.mark.parametrize("name", ["adjacency_both", "weighted_adjacency", "vertices_by_out_degree", "adjacency_segments"])
-def test_lists_read_their_input_once(spark, name):
-    assert final_plan(entry_point.queries()[name](spark, SF_DIR)).count("FileScan") == 1
+@pytest.mark.parametrize("name", ["adjacency_both", "weighted_adjacency", "neighbor_arrays"])
+def test_short_lists_need_no_join(spark, name):
+    plan = final_plan(entry_point.queries()[name](spark, SF_DIR))
+    assert plan.count("FileScan") == 1
+    assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["adjacency_segments", "weighted_adjacency_segments"])
+def test_long_lists_read_their_edges_once(spark, name):
+    plan = final_plan(entry_point.queries()[name](spark, SF_DIR))
+    assert len(re.findall(r"FileScan parquet \[l_partkey", plan)) == 1
 
 
 def test_scan_reads_two_columns(spark):

@@ -74,9 +74,10 @@ def test_positional(spark, tmp_path):
     assert rows(io.positional_counts(spark, str(path))) == [(3, 3, True)]
     path.write_text("4\n1 2\n")
     assert rows(io.positional_counts(spark, str(path))) == [(4, 1, False)]
-    path.write_text("4\n1 x\n")
-    with pytest.raises(Exception):
-        io.positional_to_edges(spark, str(path)).collect()
+    for broken in ("4\n1 x\n", "four\n1 2\n", "\n1 2\n"):
+        path.write_text(broken)
+        with pytest.raises(Exception, match="not a 32-bit integer"):
+            io.positional_to_edges(spark, str(path)).collect()
 
 
 def test_positional_over_splits_and_files(spark, tmp_path):

@@ -377,7 +377,8 @@ def oracle_sql() -> dict[str, str]:
             " CAST(0 AS BIGINT) AS missing_in_first, CAST(0 AS BIGINT) AS missing_in_second, TRUE AS matches FROM blocks"
         ),
         "value_differences": (
-            f"{_value_lines()} SELECT vertex, first_value, second_value FROM second_side LEFT JOIN first_side"
-            " USING (vertex) WHERE first_value IS DISTINCT FROM second_value"
+            f"{_value_lines()} SELECT vertex, first_value, second_value, count(*) AS second_rows FROM second_side"
+            " LEFT JOIN first_side USING (vertex) WHERE first_value IS DISTINCT FROM second_value"
+            " GROUP BY vertex, first_value, second_value"
         ),
     }

@@ -55,15 +55,19 @@ def compare_values(first: DataFrame, second: DataFrame, infinity: bool = False)
 
 
 def value_differences(first: DataFrame, second: DataFrame) -> DataFrame:
-    """``(vertex, first_value, second_value)`` for rows of the second side that differ.
+    """``(vertex, first_value, second_value, second_rows)`` for values of the second side that differ.
 
-    ``first_value`` is null where the first side lacks the vertex.
+    ``first_value`` is null where the first side lacks the vertex. Equal rows
+    of the second side come as one, with their number.
     """
-    known = _last_values(first).select("vertex", F.col("value").alias("first_value"))
+    known_values = _last_values(first).select("vertex", F.col("value").alias("first_value"))
+    asked = second.groupBy("vertex", F.col("value").alias("second_value")).agg(
+        F.count(F.lit(1)).alias("second_rows")
+    )
     return (
-        spread_lookup(second.select("vertex", F.col("value").alias("second_value")), known, "vertex", "second_value")
+        spread_lookup(asked, known_values, "vertex", "second_value")
         .where(~F.col("second_value").eqNullSafe(F.col("first_value")))
-        .select("vertex", "first_value", "second_value")
+        .select("vertex", "first_value", "second_value", "second_rows")
     )
 
 

@@ -1,4 +1,4 @@
-"""Where intermediate results go, and how lineage is cut."""
+"""Where intermediate tables go."""
 
 from __future__ import annotations
 
@@ -13,29 +13,24 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A temporary folder stands in for it only when the session runs in a
-    single local process and names none.
+    Where that is unset, the folder the context checkpoints to serves. Only a
+    session that runs in one local process may have neither, and is then given
+    a temporary folder.
     """
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named
-    in_use = spark.sparkContext.getCheckpointDir()
-    if in_use:
-        return in_use
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="vertexweave-")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="vertexweave-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path of its own under the shared folder for a table written mid-query."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

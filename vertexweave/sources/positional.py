@@ -14,7 +14,8 @@ def positional_to_edges(spark: SparkSession, path: str) -> DataFrame:
     ``path`` is one file, or a folder whose files hold one graph in the order
     of their names.
     """
-    listed = _numbered(spark, path).where(F.col("line_no") > 0)
+    # The header has to be a number, though nothing is made of it here.
+    listed = _numbered(spark, path).where((F.col("line_no") > 0) | strict_int(F.col("value")).isNull())
     return listed.select(
         (F.col("line_no") - 1).cast("int").alias("vertex"), F.explode(tokens(F.col("value"))).alias("token")
     ).where(F.col("token") != "").select("vertex", strict_int(F.col("token")).alias("neighbor"))
