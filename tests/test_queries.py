@@ -28,3 +28,20 @@ def test_query_matches_sql(spark, connection, name):
 
 def test_entry(spark):
     assert tuple(entry_point.entry(spark).first()) == (150, 11587, pytest.approx(77.246667), 21, 103, 111, 140)
+
+
+@pytest.mark.parametrize("name", [
+    "adjacency_partitioned_both", "adjacency_segments", "evb_k2_hubs", "expand_hop2", "merge_row_segments",
+    "positional_to_edges", "value_differences", "weighted_adjacency_segments",
+])
+def test_query_matches_sql_by_shuffled_joins(spark, connection, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert compare(spark, connection, SF_DIR, name)[0] == "ok"
+    finally:
+        for setting in (
+            "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes",
+        ):
+            spark.conf.unset(setting)

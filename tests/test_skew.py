@@ -118,3 +118,16 @@ def test_hub_blocks_are_whole(edge_frame):
     want += [(i, j, 2, "B") for i in range(1, 61) for j in range(100, 150)]
     want += [(0, j, 1, "B") for j in range(100, 150)]
     assert rows(found) == sorted(want)
+
+
+def test_segments_of_a_hub_find_their_part(edge_frame, spark, monkeypatch):
+    from vertexweave.operators import store
+
+    monkeypatch.setattr(store, "LISTS_PER_TASK", 2)
+    edges = edge_frame([(0, i) for i in range(1, 31)] + [(i, 0) for i in range(1, 6)])
+    dictionary = spark.createDataFrame([(i, i % 4) for i in range(31)], "vertex int, part int")
+    found = op.adjacency_partitioned(edges, dictionary, 3, 12, segment_size=3).where("vertex = 0").orderBy("segment")
+    listed = [(r.key, r.segment, r.out, r["in"]) for r in found.collect()]
+    out = [f"{i}-{i % 4}" for i in range(1, 31)]
+    back = [str(i) for i in range(1, 6)]
+    assert listed == [("00-0", s, out[3 * s:3 * s + 3], back[3 * s:3 * s + 3]) for s in range(10)]

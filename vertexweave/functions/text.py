@@ -34,8 +34,3 @@ def strict_int(text: Column) -> Column:
     return F.when(is_integer(text), text.cast("int")).otherwise(
         F.raise_error(F.concat(F.lit("not a 32-bit integer: "), F.coalesce(text, F.lit("null")))).cast("int")
     )
-
-
-def lenient_int(text: Column) -> Column:
-    """Read a 32-bit integer, or null when the text is not one."""
-    return F.when(is_integer(text), text.try_cast("int"))

@@ -8,7 +8,7 @@ from vertexweave.functions.text import (
     INTEGER_PATTERN, SEPARATOR_PATTERN, TOKEN_SEPARATORS, strict_int, tokens, trim_control,
 )
 
-_EDGE_LINE = f"\\A{INTEGER_PATTERN}{SEPARATOR_PATTERN}{INTEGER_PATTERN}\\z"
+_EDGE_LINE = f"\\A[\\x00-\\x20]*{INTEGER_PATTERN}{SEPARATOR_PATTERN}{INTEGER_PATTERN}[\\x00-\\x20]*\\z"
 
 
 def read_edges(lines: DataFrame) -> DataFrame:
@@ -17,13 +17,12 @@ def read_edges(lines: DataFrame) -> DataFrame:
     A line counts when it holds two 32-bit integers and nothing else. Comments
     (``#``), other lines and edges from a vertex to itself are left out.
     """
-    line = trim_control(F.col("value"))
     # The pattern already leaves out comments and lines without exactly two
     # numbers; the cast then only has to reject numbers that are too long. The
     # numbers are before the first and after the last separator.
-    spaced = F.translate(line, TOKEN_SEPARATORS, " " * len(TOKEN_SEPARATORS))
+    spaced = F.translate(trim_control(F.col("value")), TOKEN_SEPARATORS, " " * len(TOKEN_SEPARATORS))
     return (
-        lines.where(line.rlike(_EDGE_LINE))
+        lines.where(F.col("value").rlike(_EDGE_LINE))
         .select(
             F.substring_index(spaced, " ", 1).try_cast("int").alias("src"),
             F.substring_index(spaced, " ", -1).try_cast("int").alias("dst"),
