@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the number of local threads.
 Each query is run to a sink that takes every row and keeps none: once to warm
-up, then ``BENCH_RUNS`` times (default 2), of which the best counts.
+up, then ``BENCH_RUNS`` times (default 3), of which the best counts.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def run(df: DataFrame) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("vertexweave-bench")
