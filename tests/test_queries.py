@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from check_queries import compare, oracle_connection
+from vertexweave import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -18,10 +19,15 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
-@pytest.mark.parametrize("name", entry_point.queries())
+def test_entry_point_registers_the_catalog():
+    assert set(catalog.queries()) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+@pytest.mark.parametrize("name", catalog.queries())
 def test_query_matches_sql(spark, connection, name):
     assert compare(spark, connection, SF_DIR, name)[0] == "ok"
 
