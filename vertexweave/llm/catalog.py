@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vertexweave.llm import exact, quality
+from vertexweave.llm import bpe, exact, idfiles, minhash, packing, quality
 from vertexweave.llm.frames import id_and_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,14 +26,49 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = id_and_text(_documents(spark, sf_dir), "doc_id", "text")
+    ids = bpe.encode(docs, ranks, pattern).select("doc_id", "ids")
+    return bpe.decode(ids, ranks, pattern).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = idfiles.write_ids(
+        _documents(spark, sf_dir), idfiles.new_folder(spark), public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return idfiles.read_ids(files).select(
+        "doc_id", "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), similarity=minhash.Similarity(shingle=2, percent=80))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": _op1,
+        "op3_byte_bpe": _op3,
+        "op4_packing": _op4,
         "op6_exact_dedup": _op6,
+        "op8_id_files": _op8,
+        "op9_minhash_near_dedup": _op9,
     }
 
 
