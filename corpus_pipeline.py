@@ -6,12 +6,18 @@ before it kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexweave.llm import exact, quality
+from vertexweave.llm import exact, langid, minhash, packing, quality
 from vertexweave.plans.storage import stored
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents mostly in one language that the labelled ones teach."""
+    return langid.keep_known(docs)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.keep_good(docs)
@@ -22,9 +28,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more in shingles of five words."""
+    return minhash.drop_near_duplicates(docs, similarity=minhash.Similarity(shingle=5, percent=80))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
-    ("quality", good_quality),
+    ("language_id", known_language),
+    ("quality_rules", good_quality),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packed),
 ]
 
 # Language models, signatures and tokenizers are beyond SQL.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vertexweave.llm import bpe, exact, idfiles, minhash, packing, quality
+from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, packing, quality, toxicity, urls
 from vertexweave.llm.frames import id_and_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,20 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The rules of the query.
+_URL_RULES = (
+    urls.Rule(urls.ALLOW, "com", "/"),
+    urls.Rule(urls.BLOCK, "example.com", "/en/"),
+    urls.Rule(urls.ALLOW, "www.example.com", "/en/"),
+    urls.Rule(urls.BLOCK, "net", "/es/"),
+    urls.Rule(urls.BLOCK, "net", "/fr/"),
+)
+
+
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), _URL_RULES)
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = id_and_text(_documents(spark, sf_dir), "doc_id", "text")
@@ -42,10 +56,34 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score",
+        F.size("language.spans").alias("n_spans"),
+    )
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_and_text(_documents(spark, sf_dir), "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic",
+        (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_low_quality"),
+    )
+    chain = toxicity.train(docs, labels, ["low_quality", "toxic", "toxic_low_quality"])
+    t = F.col("toxicity")
+    return toxicity.classify(docs, chain).select(
+        "doc_id", t["is_toxic"].alias("toxic"), t["p_toxic"].alias("p_toxic"), t["p_low_quality"].alias("p_low_quality"),
+        t["p_toxic_low_quality"].alias("p_toxic_low_quality"),
+    )
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = idfiles.write_ids(
         _documents(spark, sf_dir), idfiles.new_folder(spark), public_tokenizers.path("byte_bpe_50k.json")
@@ -61,14 +99,27 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), similarity=minhash.Similarity(shingle=2, percent=80))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(id_and_text(_documents(spark, sf_dir), "doc_id", "text"))
+    best = F.array_max(F.transform("licenses", lambda m: F.struct(m["coverage"], -m["start"], m["end"], m["license"])))
+    return found.select("doc_id", F.size("licenses").alias("n_notices"), best.alias("best")).select(
+        "doc_id", "n_notices", F.col("best.license").alias("license"), F.col("best.coverage").alias("coverage"),
+        (-F.col("best.col2")).alias("start"), F.col("best.end").alias("end"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": _op1,
+        "op2_url_filter": _op2,
         "op3_byte_bpe": _op3,
         "op4_packing": _op4,
+        "op5_language_id": _op5,
         "op6_exact_dedup": _op6,
+        "op7_toxicity": _op7,
         "op8_id_files": _op8,
         "op9_minhash_near_dedup": _op9,
+        "op10_license_scan": _op10,
     }
 
 

@@ -315,3 +315,12 @@ def _residual_links(members: DataFrame, labels: DataFrame, docs: DataFrame, simi
         .distinct()
     )
     return stored(_confirmed(stored(pairs), docs, similarity))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Similarity = Similarity()
+) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component, with all their columns; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, similarity)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_doc_id")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["dropped_doc_id"], "left_anti")
