@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from vertexweave.operators.neighbors import BOTH, check_mode, distinct_neighbors, lone_vertices, neighbors
-from vertexweave.plans.skew import SEGMENT_SIZE, TILE_SIDE, known, list_groups, segment_rows, spread_lookup, tiled_join
+from vertexweave.plans.skew import SEGMENT_SIZE, TILE_SIDE, known, segmented_lists, spread_lookup, tiled_join
 from vertexweave.plans.storage import stored
 
 BORDER, INTERIOR = "B", "I"
@@ -36,7 +36,8 @@ def expand_hop(
     A border vertex with neighbours comes out as interior, at its own distance,
     once for each anchor; each neighbour other than the anchor comes out as
     border at ``distance``, once for each border vertex that leads to it.
-    Vertices met in earlier hops come again, so the rows are a multiset.
+    Vertices met in earlier hops come again, so the rows are a multiset. Runs
+    jobs when called, which store the relation and the border.
     """
     if distance < 2:
         raise ValueError("the first hop is vertex_blocks; expand_hop makes hop 2 and up")
@@ -80,7 +81,8 @@ def extended_vertex_blocks(
     border when it is ``k`` hops away or has no neighbours to extend to. Each
     hop extends only the vertices that the hop before reached first.
 
-    ``keep_lone`` adds a row of nulls for each vertex without neighbours.
+    ``keep_lone`` adds a row of nulls for each vertex without neighbours. Runs
+    jobs when called, one or two for each hop from the second.
     """
     check_mode(mode)
     if k < 1:
@@ -152,17 +154,15 @@ def pack_blocks(blocks: DataFrame, segment_size: int = SEGMENT_SIZE) -> DataFram
 
     Rows are ``(anchor, segment, line)``. A block of up to ``segment_size``
     vertices is one line, segment 0; a longer one continues in further lines,
-    each starting with the anchor. Blocks are read more than once, so pass
-    stored ones where they are expensive to make.
+    each starting with the anchor. Runs a job when called, to find long blocks.
     """
     text = F.concat_ws(" ", F.lit(""), "vertex", "distance", "type").alias("text")
     entry = F.when(F.col("vertex").isNotNull(), F.struct("vertex", text))
-    return (
-        list_groups(segment_rows(blocks, ["anchor"], "vertex", size=segment_size), "anchor", "segment")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-        .select(
-            "anchor",
-            "segment",
-            F.concat(F.col("anchor").cast("string"), F.array_join("_entries.text", "")).alias("line"),
-        )
+    lists = segmented_lists(
+        blocks, ["anchor"], ["anchor"], "vertex", [F.sort_array(F.collect_list(entry)).alias("_entries")], size=segment_size
+    )
+    return lists.select(
+        "anchor",
+        "segment",
+        F.concat(F.col("anchor").cast("string"), F.array_join("_entries.text", "")).alias("line"),
     )

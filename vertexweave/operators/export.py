@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vertexweave.plans.skew import SEGMENT_SIZE, list_groups, segment_rows
+from vertexweave.plans.skew import SEGMENT_SIZE, segmented_lists
 
 # Fixed value: the weight written for every edge.
 EDGE_WEIGHT = "1"
@@ -38,10 +38,10 @@ def _out_lists(edges: DataFrame, keep_sinks: bool, segment_size: int, repeated:
     counted = _out_entries(edges, keep_sinks).groupBy("vertex", "neighbor").agg(F.count(F.lit(1)).alias("copies"))
     entry = F.when(F.col("neighbor").isNotNull(), F.struct("neighbor", repeated))
     lengths = edges.groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("_n"))
-    segments = segment_rows(
-        counted, ["vertex"], "neighbor", size=segment_size, copies="copies", counts=lengths
+    return segmented_lists(
+        counted, ["vertex"], ["vertex"], "neighbor", [F.sort_array(F.collect_list(entry)).alias("_out")],
+        size=segment_size, copies="copies", counts=lengths,
     )
-    return list_groups(segments, "vertex", "segment").agg(F.sort_array(F.collect_list(entry)).alias("_out"))
 
 
 def _out_entries(edges: DataFrame, keep_sinks: bool) -> DataFrame:

@@ -1,8 +1,9 @@
 """Long rows packed into one text for each stored row.
 
 Members follow the order of the stored bytes: unsigned, so negative ids come
-last, and by characters where members are texts. Rows are read more than once,
-so pass stored ones where they are expensive to make.
+last, and by characters where members are texts. The members of a row are a
+set: repeats count once. Rows that are not a stored table become one when an
+operator is called, as they are read twice, and a job finds the long ones.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vertexweave.functions.ids import padded, unsigned_order
-from vertexweave.plans.skew import BLOCK_BITS, SEGMENT_SIZE, list_groups, segment_rows
+from vertexweave.plans.skew import BLOCK_BITS, SEGMENT_SIZE, segmented_lists, spread_lookup
 
 # Ids that agree in this many leading digits form a block when ids sort as texts.
 _TEXT_BLOCK_DIGITS = 5
@@ -19,8 +20,14 @@ _TEXT_BLOCK_DIGITS = 5
 def merge_row(
     rows: DataFrame, keys: DataFrame, key: str = "vertex", member: str = "neighbor", segment_size: int = SEGMENT_SIZE
 ) -> DataFrame:
-    """``(key, segment, members)`` for the rows whose ``key`` is among ``keys``; the new key is ``new<key>``."""
-    wanted = rows.join(keys.select(key), key, "left_semi").select(key, member).distinct()
+    """``(key, segment, members)`` for the rows whose ``key`` is among ``keys``; the new key is ``new<key>``.
+
+    Keys may be of any type. Members are made distinct before the keys are
+    looked up, and a hub's are spread for that, so none of its rows meet in one task.
+    """
+    asked = keys.select(key).distinct().withColumn("_asked", F.lit(True))
+    members = rows.select(key, member).distinct()
+    wanted = spread_lookup(members, asked, key, member).where("_asked").select(key, member)
     return _packed_ids(wanted, key, member, segment_size).select(
         F.concat(F.lit("new"), F.col(key).cast("string")).alias("key"), "segment", "members"
     )
@@ -51,19 +58,17 @@ def unmerged_members(members: DataFrame, n_parts: int) -> DataFrame:
 def merge_partitions_with_degree(members: DataFrame, n_parts: int, segment_size: int = SEGMENT_SIZE) -> DataFrame:
     """As :func:`merge_partitions` over members ``vertex degree``, which sort as texts."""
     text = F.col("vertex").cast("string")
-    rows = segment_rows(
-        _in_range(members, n_parts).select("part", "vertex", "out_degree"),
+    lists = segmented_lists(
+        _in_range(members, n_parts).select("part", "vertex", "out_degree").distinct(),
+        ["part"],
         ["part"],
         "vertex",
+        [F.sort_array(F.collect_list(F.concat_ws(" ", "vertex", "out_degree"))).alias("_members")],
         order=text,
         block=F.substring(text, 1, _TEXT_BLOCK_DIGITS),
         size=segment_size,
     )
-    return (
-        list_groups(rows, "part", "segment")
-        .agg(F.sort_array(F.collect_list(F.concat_ws(" ", "vertex", "out_degree"))).alias("_members"))
-        .select(_hash_key(), "segment", F.array_join("_members", " ").alias("members"))
-    )
+    return lists.select(_hash_key(), "segment", F.array_join("_members", " ").alias("members"))
 
 
 def _hash_key() -> Column:
@@ -79,11 +84,9 @@ def _in_range(members: DataFrame, n_parts: int) -> DataFrame:
 def _packed_ids(rows: DataFrame, group: str, member: str, segment_size: int) -> DataFrame:
     order = unsigned_order(F.col(member))
     entry = F.struct(order.alias("order"), F.col(member).cast("string").alias("text"))
-    segments = segment_rows(
-        rows.select(group, member), [group], member, order, F.shiftright(order, BLOCK_BITS), segment_size
-    )
-    return (
-        list_groups(segments, group, "segment")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_members"))
-        .select(group, "segment", F.array_join("_members.text", " ").alias("members"))
+    lists = segmented_lists(
+        rows.select(group, member).distinct(), [group], [group], member,
+        [F.sort_array(F.collect_list(entry)).alias("_members")],
+        order=order, block=F.shiftright(order, BLOCK_BITS), size=segment_size,
     )
+    return lists.select(group, "segment", F.array_join("_members.text", " ").alias("members"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vertexweave.plans.skew import SEGMENT_SIZE, list_groups, segment_rows
+from vertexweave.plans.skew import SEGMENT_SIZE, segmented_lists
 
 
 def block_stats(blocks: DataFrame) -> DataFrame:
@@ -54,9 +54,9 @@ def out_degree_histogram(raw_edges: DataFrame) -> DataFrame:
 
 def vertices_by_out_degree(raw_edges: DataFrame, segment_size: int = SEGMENT_SIZE) -> DataFrame:
     """``(out_degree, segment, vertices ARRAY<INT>)``: the vertices behind the histogram, in order."""
-    segments = segment_rows(out_degrees(raw_edges), ["out_degree"], "vertex", size=segment_size)
-    return list_groups(segments, "out_degree", "segment").agg(
-        F.sort_array(F.collect_list("vertex")).alias("vertices")
+    return segmented_lists(
+        out_degrees(raw_edges), ["out_degree"], ["out_degree"], "vertex",
+        [F.sort_array(F.collect_list("vertex")).alias("vertices")], size=segment_size,
     )
 
 

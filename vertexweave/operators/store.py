@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vertexweave.functions.ids import padded, part_of
 from vertexweave.functions.text import strict_int, trim_control
 from vertexweave.operators.neighbors import BOTH, IN, OUT, check_mode, distinct_neighbors, lone_vertices, vertices
-from vertexweave.plans.skew import SEGMENT_SIZE, list_groups, segment_rows, spread_lookup
+from vertexweave.plans.skew import SEGMENT_SIZE, list_groups, segment_rows, segmented_lists, spread_lookup
+from vertexweave.plans.storage import stored
 
 # Long lists of one vertex looked up together in one task.
 LISTS_PER_TASK = 1000
@@ -21,8 +22,11 @@ def adjacency(edges: DataFrame, mode: int, segment_size: int = SEGMENT_SIZE) ->
     Every vertex has a row, if only with empty arrays. A hub whose list exceeds
     ``segment_size`` goes on in rows with further segment numbers.
     """
-    lists = list_groups(_segments(edges, mode, segment_size), "vertex", "segment")
-    return lists.agg(*[_list(side, F.col("neighbor")) for side in _names(mode)])
+    return segmented_lists(
+        _ends(edges, mode).distinct(), ["vertex"], ["vertex", "outgoing"], "neighbor",
+        [_list(side, F.col("neighbor")) for side in _names(mode)],
+        size=segment_size, counts=_list_bounds(edges, mode),
+    )
 
 
 def _names(mode: int) -> list[str]:
@@ -116,7 +120,8 @@ def adjacency_partitioned(
     ones are plain. A vertex the dictionary lacks fails the query, or has a
     null part and key with ``strict=False``.
     """
-    lists = _segments(edges, mode, segment_size)
+    # Read for the neighbour counts, with parts and without.
+    lists = stored(_segments(edges, mode, segment_size))
     if mode != IN:
         parts = dictionary.select(F.col("vertex").alias("neighbor"), F.col("part").alias("neighbor_part"))
         lists = _with_parts(lists, parts)
@@ -159,8 +164,11 @@ def partition_key(part: Column, vertex: Column, n_parts: int) -> Column:
 def load_partitioned_adjacency(lines: DataFrame, n_parts: int = 0, strict: bool = True) -> DataFrame:
     """``(key, part, vertex, out)`` from lines ``vertex,part,n1<TAB>n2…``; ``%`` marks comments.
 
-    ``out`` is the neighbour list with blanks for tabs. A line without one
-    fails the query, or gives an empty list with ``strict=False``.
+    ``out`` is the neighbour list with blanks for tabs, whole in one row. A
+    line without one fails the query, or gives an empty list with
+    ``strict=False``. There is one row for each key: the last by a ``line``
+    column, if there is one; without it, a key with two different lists fails
+    the query.
     """
     fields = F.split("value", ",")
     listed = F.translate(F.get(fields, F.lit(2)), "\t", " ")
@@ -171,5 +179,12 @@ def load_partitioned_adjacency(lines: DataFrame, n_parts: int = 0, strict: bool
         strict_int(F.get(fields, F.lit(0))).alias("vertex"),
         strict_int(F.get(fields, F.lit(1))).alias("part"),
         F.coalesce(listed, F.lit("")).alias("out"),
+        *[F.col(c) for c in lines.columns if c == "line"],
     )
+    if "line" in lines.columns:
+        last = F.max_by("out", "line")
+    else:
+        several = F.raise_error(F.format_string("two neighbour lists, and no order, for vertex %d", "vertex"))
+        last = F.when(F.min("out") == F.max("out"), F.max("out")).otherwise(several.cast("string"))
+    rows = rows.groupBy("part", "vertex").agg(last.alias("out"))
     return rows.select(partition_key(F.col("part"), F.col("vertex"), n_parts).alias("key"), "part", "vertex", "out")

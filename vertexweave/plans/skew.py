@@ -15,16 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Observation, Window, functions as F
 
-from vertexweave.plans.storage import stored
+from vertexweave.plans.storage import is_stored, stored
 
 # Rows of one key met per side in one tile: a tile yields at most the square of it.
 TILE_SIDE = 4096
-# The keys split into tiles are broadcast, so their number is bounded. They are
-# the ones with most pairs; any other key has less than one in this many of all.
-MAX_SPLIT_KEYS = 65536
 # Entries in one packed list.
 SEGMENT_SIZE = 100_000
 # Ids sharing all but their low 16 bits form a block; at most 65,536 blocks of 65,536 ids.
@@ -56,27 +54,37 @@ def tiled_join(
     ``_l`` parts by ``left_item`` and its right rows into ``_r`` parts by
     ``right_item``. Each row is sent to every part of the other side, so each
     pair is made exactly once, and the copies are small next to the pairs.
+
+    Runs a job when called: it counts the rows of every key and writes the list
+    of hot ones as a table. Spark broadcasts that table if its size allows, and
+    sorts and merges otherwise, so the list may be of any length.
     """
     left, right = known(left, [key]), known(right, [key])
     side, pairs = F.lit(float(tile_side)), F.lit(float(tile_side) ** 2)
     n, m = F.col("_n"), F.col("_m")
-    hot = _hottest(
-        _counts(left, [key], "_n").join(_counts(right, [key], "_m"), key).where(n * m > pairs), [key], n * m
-    ).select(
-        key,
-        F.ceil(n / F.greatest(side, pairs / m)).cast("int").alias("_l"),
-        F.ceil(m / F.greatest(side, pairs / n)).cast("int").alias("_r"),
+    made = Observation()
+    hot = stored(
+        _counts(left, [key], "_n")
+        .join(_counts(right, [key], "_m"), key)
+        .observe(made, F.sum(n * m).alias("pairs"))
+        .where(n * m > pairs)
+        .select(
+            key,
+            F.ceil(n / F.greatest(side, pairs / m)).cast("int").alias("_l"),
+            F.ceil(m / F.greatest(side, pairs / n)).cast("int").alias("_r"),
+        )
     )
 
     def numbered(rows: DataFrame, item: str, own: str, other: str) -> DataFrame:
-        return rows.join(F.broadcast(hot), key, "left").select(
+        return rows.join(hot, key, "left").select(
             *rows.columns, _part(item, own).alias(f"{own}_tile"), _every_part(other).alias(f"{other}_tile")
         )
 
-    # The work lies in the pairs, not in the rows read. A fixed number of
-    # partitions keeps small inputs from being packed into few tasks for it.
+    # The work lies in the pairs, not in the rows read, so their number sets
+    # that of tasks. Small inputs are not packed into fewer tasks than usual.
     tile = [key, "_l_tile", "_r_tile"]
-    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(usual, ceil((made.get["pairs"] or 0) / tile_side**2))
     return (
         numbered(left, left_item, "_l", "_r")
         .repartition(partitions, *tile)
@@ -98,17 +106,18 @@ def spread_lookup(
     The rows of a key with more than ``rows_per_task`` of them are spread by
     another column, and the key's entry is sent to each part. Spark's skew join
     would not do this where the table comes out of an aggregate. ``counts``,
-    ``(key, _n)``, saves counting the rows where that is known.
+    ``(key, _n)``, saves counting the rows where that is known. Runs a job when
+    called, to write the list of such keys; it is broadcast only if small.
     """
     key = [key] if isinstance(key, str) else list(key)
     table = known(table, key)
     counts = _counts(rows, key, "_n") if counts is None else counts
     n = F.col("_n")
-    hot = _hottest(counts.where(n > rows_per_task), key, n).select(
-        *key, F.ceil(n / F.lit(float(rows_per_task))).cast("int").alias("_l")
+    hot = stored(
+        counts.where(n > rows_per_task).select(*key, F.ceil(n / F.lit(float(rows_per_task))).cast("int").alias("_l"))
     )
-    spread = rows.join(F.broadcast(hot), key, "left").select(*rows.columns, _part(spread_by, "_l").alias("_tile"))
-    copied = table.join(F.broadcast(hot), key, "left").select(*table.columns, _every_part("_l").alias("_tile"))
+    spread = rows.join(hot, key, "left").select(*rows.columns, _part(spread_by, "_l").alias("_tile"))
+    copied = table.join(hot, key, "left").select(*table.columns, _every_part("_l").alias("_tile"))
     return spread.join(copied, [*key, "_tile"], "left").drop("_tile")
 
 
@@ -116,10 +125,6 @@ def _counts(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias(name))
 
 
-def _hottest(keys: DataFrame, key: Sequence[str], weight: Column) -> DataFrame:
-    return keys.orderBy(weight.desc(), *key).limit(MAX_SPLIT_KEYS)
-
-
 def _part(item: str, parts: str) -> Column:
     return F.pmod(F.hash(item), F.coalesce(F.col(parts), F.lit(1)))
 
@@ -154,16 +159,33 @@ def segment_rows(
     The groups to split are found first, in a job of their own, so that rows
     are not shuffled to learn that there are none. ``counts``, the group
     columns and ``_n``, may give upper bounds that are cheaper to come by than
-    counts of ``rows``.
+    counts of ``rows``; without them, rows that are not a stored table become
+    one, as they are read twice.
     """
-    group = list(group)
+    segments, split = _segmented(rows, list(group), item, order, block, size, copies, counts)
+    return segments if split else segments.withColumn("segment", F.lit(0))
+
+
+def _segmented(
+    rows: DataFrame,
+    group: list[str],
+    item: str,
+    order: Column | None,
+    block: Column | None,
+    size: int,
+    copies: str | None,
+    counts: DataFrame | None,
+) -> tuple[DataFrame, bool]:
+    """Rows with ``segment``, and True; or, if no group is too long, the rows as they are, and False."""
+    if counts is None and not is_stored(rows):
+        rows = stored(rows)
     rows = known(rows, group)
     weight = F.when(F.col(item).isNotNull(), F.col(copies) if copies else F.lit(1)).otherwise(0)
     if counts is None:
         counts = rows.groupBy(*group).agg(F.sum(weight).alias("_n"))
     long_groups = stored(counts.where(F.col("_n") > size))
     if long_groups.isEmpty():
-        return rows.withColumn("segment", F.lit(0))
+        return rows, False
 
     order = F.col(item) if order is None else order
     if block is None:
@@ -194,13 +216,38 @@ def segment_rows(
         begin = F.col("segment").cast("bigint") * size
         share = F.least(until, begin + size) - F.greatest(F.col("_from"), begin)
         long = reached.select(*[share.alias(c) if c == copies else F.col(c) for c in rows.columns], "segment")
-    return short.unionByName(long)
+    return short.unionByName(long), True
+
+
+def segmented_lists(
+    rows: DataFrame,
+    by: Sequence[str],
+    group: Sequence[str],
+    item: str,
+    lists: Sequence[Column],
+    order: Column | None = None,
+    block: Column | None = None,
+    size: int = SEGMENT_SIZE,
+    copies: str | None = None,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """``by``, ``segment`` and aggregates that are lists of the rows in a segment.
+
+    Segments are those of :func:`segment_rows` over ``group``. The rows are
+    shuffled once: by the segment too only where there is one to speak of, as
+    Spark would take a constant for a key of its own and shuffle again.
+    """
+    segments, split = _segmented(rows, list(group), item, order, block, size, copies, counts)
+    names = [*by, "segment"] if split else list(by)
+    found = list_groups(segments, *names).agg(*lists)
+    if split:
+        return found
+    return found.select(*by, F.lit(0).alias("segment"), *[c for c in found.columns if c not in by])
 
 
 def list_groups(rows: DataFrame, *keys: str) -> GroupedData:
     """Group rows whose aggregate is a list.
 
-    Lists do not shrink when built before the shuffle, so the rows are shuffled
-    as they are. Sorted, each list is finished before the next one begins.
+    Lists do not shrink when built before the shuffle, so the rows are shuffled as they are.
     """
-    return rows.repartition(*keys).sortWithinPartitions(*keys).groupBy(*keys)
+    return rows.repartition(*keys).groupBy(*keys)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+# Frames that are a stored table as it is, and the paths written for each application.
+_tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+_paths: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -22,15 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vertexweave-"))
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path of its own under the shared folder for a table written mid-query."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path of its own under the shared folder for what is written mid-query."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -38,8 +46,28 @@ def stored(df: DataFrame) -> DataFrame:
 
     For what is read several times, or grows a plan hop by hop. The table
     outlives any executor, each reader takes only the columns it needs, and
-    joins know its size. The folder is scratch space: its owner clears it.
+    joins know its size. It stays until :func:`clear_scratch` is called.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.add(table)
+    return table
+
+
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is what :func:`stored` returned, so that reading it twice is cheap."""
+    return df in _tables
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all that this application wrote to the shared folder; returns the number of paths.
+
+    Call it when no result is read any more. Nothing else in the folder is touched.
+    """
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
