@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import DataFrame, functions as F
 
-from vertexweave.functions.ids import region_key_width
+from vertexweave.functions.ids import padded, region_key_width
 
 
 def assign_region_uniform(df: DataFrame, n_regions: int, max_id: int, vertex: str = "vertex") -> DataFrame:
@@ -31,19 +29,19 @@ def assign_region_hash(df: DataFrame, n_regions: int, n_parts: int, part: str =
 
     Each region has ``n_parts // n_regions`` partitions, one at least, and the
     last takes the rest; with more regions than partitions some stay empty.
+    Keys and bounds are compared as texts, whatever the number of the partition.
     """
     _check_regions(n_regions)
     step = max(n_parts // n_regions, 1)
     width = region_key_width(n_parts)
-    if len(str(step * (n_regions - 1))) <= width:
-        region = F.least(F.floor(F.col(part) / F.lit(step)).cast("int"), F.lit(n_regions - 1))
-    else:
-        # Bounds longer than the keys do not sort as numbers do: go by text, for
-        # each of the partitions, which are fewer than the regions here.
-        bounds = sorted(f"{step * i:0{width}d}-" for i in range(1, n_regions))
-        regions = [bisect_right(bounds, f"{p:0{width}d}-") for p in range(n_parts)]
-        region = F.get(F.array(*[F.lit(r) for r in regions]), F.col(part))
-    return df.withColumn("region", F.when(F.col(part) < 0, F.lit(0)).otherwise(region))
+    key = F.concat(padded(F.col(part), n_parts), F.lit("-"))
+    if n_regions == 1:
+        return df.withColumn("region", F.lit(0))
+    bounds = F.transform(
+        F.sequence(F.lit(1), F.lit(n_regions - 1)),
+        lambda i: F.concat(F.format_string(f"%0{width}d", i * F.lit(step)), F.lit("-")),
+    )
+    return df.withColumn("region", F.size(F.filter(bounds, lambda bound: bound <= key)))
 
 
 def _check_regions(n_regions: int) -> None:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType
+
+from vertexweave.functions.text import strict_int, tokens
 
 
 def lookup_members(rows: DataFrame, keys: DataFrame, key: str = "vertex") -> DataFrame:
@@ -14,13 +17,17 @@ def lookup_members(rows: DataFrame, keys: DataFrame, key: str = "vertex") -> Dat
     return rows.join(keys.select(key), key, "left_semi")
 
 
-def lookup_column(adjacency: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """``(vertex, neighbor)`` from one list column of an adjacency table.
+def lookup_column(table: DataFrame, keys: DataFrame, column: str, key: str = "vertex") -> DataFrame:
+    """``(key, neighbor)`` from one list column of a stored table, for keys of any type.
 
-    The other columns are not read. A column the table lacks gives no rows.
+    The column may be an array or a packed text, whose tokens must be 32-bit
+    integers. The other columns are not read. A column the table lacks gives
+    no rows.
     """
-    if column not in adjacency.columns:
-        return adjacency.select("vertex", F.lit(None).cast("int").alias("neighbor")).where(F.lit(False))
-    return lookup_members(adjacency.select("vertex", column), keys).select(
-        "vertex", F.explode(column).alias("neighbor")
-    )
+    if column not in table.columns:
+        return table.select(key, F.lit(None).cast("int").alias("neighbor")).where(F.lit(False))
+    found = lookup_members(table.select(key, column), keys, key)
+    if isinstance(table.schema[column].dataType, ArrayType):
+        return found.select(key, F.explode(column).alias("neighbor"))
+    parts = found.select(key, F.explode(tokens(F.col(column))).alias("_token")).where("_token <> ''")
+    return parts.select(key, strict_int(F.col("_token")).alias("neighbor"))
