@@ -133,3 +133,18 @@ def test_report_lines(micro):
         "# anchor vertices: 4", "# total edges (in EVBs): 8", "# avg. edges per EVB: 2.0",
         "# min edges: 0 of anchor vertex 4", "# max edges: 3 of anchor vertex 2",
     ]
+
+
+def test_positional_files_go_by_number(spark, tmp_path):
+    (tmp_path / "part-99999").write_text("3\n1\n")
+    (tmp_path / "part-100000").write_text("2\n\n0\n")
+    found = io.positional_to_edges(spark, str(tmp_path))
+    assert rows(found.select("vertex", "neighbor")) == [(0, 1), (1, 2), (3, 0)]
+
+
+@pytest.mark.parametrize("other", ["piece-2", "rest"])
+def test_positional_files_of_mixed_names_fail(spark, tmp_path, other):
+    (tmp_path / "part-1").write_text("1\n0\n")
+    (tmp_path / other).write_text("0\n")
+    with pytest.raises(Exception, match="file names of different forms"):
+        io.positional_to_edges(spark, str(tmp_path)).collect()

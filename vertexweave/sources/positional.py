@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vertexweave.functions.text import strict_int, tokens
+from vertexweave.plans.storage import stored
 from vertexweave.sources.lines import read_lines
 
 
@@ -12,7 +13,9 @@ def positional_to_edges(spark: SparkSession, path: str) -> DataFrame:
     """``(vertex INT, neighbor INT)``; repeats and edges to oneself are kept.
 
     ``path`` is one file, or a folder whose files hold one graph in the order
-    of their names.
+    of the first number in their names, then of their names; part 99999 comes
+    before part 100000. Names that differ before that number, or of which only
+    some have one, fail the query. Runs a job when called, to count lines.
     """
     # The header has to be a number, though nothing is made of it here.
     listed = _numbered(spark, path).where((F.col("line_no") > 0) | strict_int(F.col("value")).isNull())
@@ -40,24 +43,56 @@ def positional_counts(spark: SparkSession, path: str) -> DataFrame:
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their number in the whole input, counted from 0.
 
-    The lines of each split are counted, the counts are summed up in file
-    order, and each line adds its place in the split. Only the counts, one row
-    for each split, meet in one task.
+    The lines of each split are counted and summed up within each file, the
+    files' totals are summed up in file order, and each line adds its place in
+    the split. Only the totals, one row for each file, meet in one task. The
+    lines stay where they are read: they look their split up by a short number
+    in a table that is broadcast if its size allows.
     """
     lines = read_lines(spark, path).select("value", "line.*")
-    in_order = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, 0)
-    splits = (
-        lines.groupBy("file", "start")
-        .agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(in_order) - F.col("n"))
+    counted = stored(
+        lines.groupBy("file", "start").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    )
+    within = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    splits = counted.withColumn("in_file", F.sum("n").over(within) - F.col("n"))
+    files = _in_order(counted.groupBy("file").agg(F.sum("n").alias("lines")))
+    starts = stored(
+        splits.join(files, "file").select(
+            _split_id().alias("split"), "first", "n", (F.col("before") + F.col("in_file")).alias("before")
+        )
     )
     place = F.col("seq") - F.col("first")
     # The two passes must cut the files alike. Should they not, for instance as
     # executors join in between, the query fails and can be run again.
     sound = F.col("first").isNotNull() & (place >= 0) & (place < F.col("n"))
-    return lines.join(splits, ["file", "start"], "left").select(
+    return lines.withColumn("split", _split_id()).join(starts, "split", "left").select(
         "value",
         F.when(sound, F.col("before") + place)
         .otherwise(F.raise_error(F.lit("input was split differently by two passes")).cast("bigint"))
         .alias("line_no"),
     )
+
+
+def _split_id() -> Column:
+    return F.xxhash64("file", "start")
+
+
+def _in_order(files: DataFrame) -> DataFrame:
+    """Add ``before``, the lines in all earlier files."""
+    name = F.element_at(F.split("file", "/"), -1)
+    named = files.select(
+        "file", "lines",
+        F.regexp_extract(name, "^([^0-9]*)[0-9]", 1).alias("prefix"),
+        F.regexp_extract(name, "([0-9]+)", 1).cast("decimal(38, 0)").alias("number"),
+    )
+    everything = Window.orderBy("number", "file")
+    so_far = everything.rowsBetween(Window.unboundedPreceding, -1)
+    # In this order names without a number come first, so a mix shows in neighbours.
+    last_prefix, last_number = F.lag("prefix").over(everything), F.lag("number").over(everything)
+    mixed = (F.lag("file").over(everything).isNotNull()) & (
+        (last_prefix != F.col("prefix")) | (last_number.isNull() != F.col("number").isNull())
+    )
+    mix = F.raise_error(F.concat(F.lit("file names of different forms, so of unknown order: "), F.col("file")))
+    return named.select(
+        "file", F.when(mixed, mix.cast("bigint")).otherwise(F.coalesce(F.sum("lines").over(so_far), F.lit(0))).alias("before")
+    )
