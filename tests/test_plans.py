@@ -6,10 +6,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_point
-from vertexweave import operators as op, sources as io
+from vertexweave import catalog, operators as op, sources as io
 from vertexweave.catalog.graphs import g1
-from vertexweave.plans.storage import stored
+from vertexweave.plans.skew import spread_lookup
+from vertexweave.plans.storage import clear_scratch, is_stored, stored
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -25,16 +25,16 @@ def final_plan(df):
     return initial_plan(df).split("== Initial Plan ==")[0]
 
 
-# One-row totals, and the counts of splits of a positional file.
+# One-row totals, and the counts of the files of a positional graph.
 SINGLE_TASK = {
     "block_stats", "block_stats_lone", "block_stats_report", "compare_values", "compare_values_inf",
     "compare_two_plans", "max_vertex_id", "positional_counts", "positional_to_edges",
 }
 
 
-@pytest.mark.parametrize("name", entry_point.queries())
+@pytest.mark.parametrize("name", catalog.queries())
 def test_plan_shape(spark, name):
-    plan = initial_plan(entry_point.queries()[name](spark, SF_DIR))
+    plan = initial_plan(catalog.queries()[name](spark, SF_DIR))
     assert not re.search("Python|ArrowEval|NestedLoop|Cartesian", plan)
     assert name in SINGLE_TASK or "Exchange SinglePartition" not in plan
 
@@ -46,14 +46,14 @@ def test_top_k_is_not_a_full_sort(spark):
 
 @pytest.mark.parametrize("name", ["adjacency_both", "weighted_adjacency", "neighbor_arrays"])
 def test_short_lists_need_no_join(spark, name):
-    plan = final_plan(entry_point.queries()[name](spark, SF_DIR))
+    plan = final_plan(catalog.queries()[name](spark, SF_DIR))
     assert plan.count("FileScan") == 1
     assert "Join" not in plan
 
 
 @pytest.mark.parametrize("name", ["adjacency_segments", "weighted_adjacency_segments"])
 def test_long_lists_read_their_edges_once(spark, name):
-    plan = final_plan(entry_point.queries()[name](spark, SF_DIR))
+    plan = final_plan(catalog.queries()[name](spark, SF_DIR))
     assert len(re.findall(r"FileScan parquet \[l_partkey", plan)) == 1
 
 
@@ -77,15 +77,49 @@ def test_lookup_prunes_folders_and_columns(spark, tmp_path):
     assert "ReadSchema: struct<vertex:int,in:array<int>>" in plan
 
 
-def test_only_bounded_or_small_sides_are_broadcast(spark):
-    """With automatic broadcasts off, only the bounded lists of hot keys are broadcast."""
+def test_nothing_is_broadcast_beyond_the_size_that_spark_allows(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = initial_plan(op.extended_vertex_blocks(g1(spark, SF_DIR), 1, 2))
+        for name in ("evb_k2_hubs", "expand_hop2", "merge_row", "adjacency_partitioned_both", "value_differences"):
+            assert "BroadcastExchange" not in initial_plan(catalog.queries()[name](spark, SF_DIR))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    for build in plan.split("BroadcastExchange")[1:]:
-        assert "TakeOrderedAndProject(limit=65536" in build.split("\n", 4)[1] + build.split("\n", 4)[2] + build.split("\n", 4)[3]
+
+
+@pytest.mark.parametrize("name,exchanges", [
+    ("adjacency_both", 2), ("weighted_adjacency", 2), ("neighbor_arrays", 2), ("evb_packed", 1),
+    ("merge_partitions", 1), ("vertices_by_out_degree", 1),
+])
+def test_lists_are_shuffled_once(spark, name, exchanges):
+    plan = initial_plan(catalog.queries()[name](spark, SF_DIR)).split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == exchanges
+
+
+def test_merge_row_spreads_members_before_keys_are_looked_up(spark):
+    rows = op.adjacency_long(g1(spark, SF_DIR), 2)
+    keys = rows.select("vertex").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = rows.select("vertex", "neighbor").distinct()
+        plan = initial_plan(spread_lookup(members, keys.withColumn("_asked", F.lit(True)), "vertex", "neighbor"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(vertex#\d+, neighbor#\d+", plan)
+    assert re.search(r"hashpartitioning\(vertex#\d+, _tile#\d+", plan)
+
+
+def test_partitioned_lists_read_their_edges_once(spark):
+    edges = stored(g1(spark, SF_DIR))
+    dictionary = op.vertices(edges).select("vertex", (F.col("vertex") % 12).alias("part"))
+    plan = initial_plan(op.adjacency_partitioned(edges, stored(dictionary), 3, 12))
+    assert "src#" not in re.sub(r"FileScan parquet \[src#.*?\n", "", plan, count=1)
+
+
+def test_positional_lines_stay_where_they_are_read(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part-{i}").write_text("2\n1\n" if i == 0 else "0 1\n")
+    plan = initial_plan(io.positional_to_edges(spark, str(tmp_path)))
+    assert "FileScan text" in plan and "Exchange hashpartitioning" not in plan and "SinglePartition" not in plan
 
 
 def test_shared_folder_setting_is_used(spark):
@@ -93,3 +127,14 @@ def test_shared_folder_setting_is_used(spark):
     assert kept.count() == 5
     folder = spark.conf.get("spark.checkpoint.dir")
     assert all(f.startswith(f"file:{folder}") or f.startswith(f"file://{folder}") for f in kept.inputFiles())
+
+
+def test_scratch_is_cleared_on_demand_only(spark, monkeypatch):
+    from vertexweave.plans import storage
+
+    monkeypatch.setattr(storage, "_paths", {})
+    kept = stored(spark.range(5))
+    assert is_stored(kept) and not is_stored(kept.where("id > 1")) and kept.count() == 5
+    (path,) = storage._paths[spark.sparkContext.applicationId]
+    assert Path(path).exists()
+    assert clear_scratch(spark) == 1 and not Path(path).exists() and clear_scratch(spark) == 0

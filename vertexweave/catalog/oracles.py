@@ -136,6 +136,20 @@ def _partitioned(mode: int, regions: bool = True) -> str:
     )
 
 
+def _partitioned_segments(size: int) -> str:
+    out = "SELECT DISTINCT src AS vertex, 'out' AS side, dst AS neighbor, dst || '-' || dst % 12 AS entry FROM e"
+    back = "SELECT DISTINCT dst, 'in', src, CAST(src AS VARCHAR) FROM e"
+    lists = ", ".join(
+        f"coalesce(string_agg(CASE WHEN side = '{s}' THEN entry END, ' ' ORDER BY neighbor), '') AS \"{s}\""
+        for s in ("out", "in")
+    )
+    rows = _segments(f"{out} UNION ALL {back}", "vertex, side", "neighbor", size)
+    return (
+        f"WITH e AS ({G3}) SELECT printf('%02d-%d', vertex % 12, vertex) AS key, CAST(vertex % 12 AS INT) AS part,"
+        f" vertex, segment, {lists} FROM ({rows}) GROUP BY vertex, segment"
+    )
+
+
 def _packed_members(key: str, size: int, text: str = "CAST(vertex AS VARCHAR)", order: str = "vertex") -> str:
     rows = _segments("SELECT * FROM members WHERE part BETWEEN 0 AND 9", "part", order, size)
     return (
@@ -288,12 +302,19 @@ def oracle_sql() -> dict[str, str]:
         "vertex_blocks": f"{_hops(G2, 1, 1)} SELECT * FROM h1",
         "expand_hop2": f"{_hops(G2, 1, 2)} SELECT * FROM h2",
         "expand_hop2_both": f"{_hops(G2, 3, 2)} SELECT * FROM h2",
+        "expand_hop2_tiled": (
+            f"WITH e AS ({G1}), nb AS (SELECT DISTINCT vertex, neighbor FROM ({_neighbors(3)})),"
+            " h1 AS (SELECT src AS anchor, dst AS vertex, 1 AS distance, 'B' AS type FROM e)"
+            f" SELECT * FROM ({_hop(2)})"
+        ),
         "merge_hops": _all_blocks(G2, 1, 2),
         "evb_k1_both": _all_blocks(G1, 3, 1),
         "evb_k2_out": _all_blocks(G2, 1, 2),
         "evb_k2_in": _all_blocks(G2, 2, 2),
         "evb_k2_both": _all_blocks(G2, 3, 2),
         "evb_k2_hubs": _all_blocks(G1, 1, 2),
+        "evb_k2_hubs_both": _all_blocks(f"{G1} AND l_partkey % 16 = l_suppkey % 16", 3, 2),
+        "evb_k2_hubs_tiled": _all_blocks(f"{G1} AND l_partkey % 16 = l_suppkey % 16", 3, 2),
         "evb_k2_in_lone": _all_blocks(G1, 2, 2, lone=True),
         "evb_k3_out": _all_blocks(G2, 1, 3),
         "evb_k3_sinks": _all_blocks(G3, 1, 3),
@@ -314,16 +335,26 @@ def oracle_sql() -> dict[str, str]:
         "adjacency_partitioned_in": _partitioned(2),
         "adjacency_partitioned_both": _partitioned(3),
         "adjacency_partitioned_unmapped": _partitioned(1, regions=False),
+        "adjacency_partitioned_segments": _partitioned_segments(7),
         "load_partitioned_adjacency": (
             "SELECT printf('%02d-%d', o_custkey % 12, o_orderkey) AS key, CAST(o_custkey % 12 AS INT) AS part,"
             " CAST(o_orderkey AS INT) AS vertex, o_custkey || ' ' || o_orderkey AS out FROM orders"
             " WHERE o_orderstatus <> 'F'"
         ),
+        "load_partitioned_repeats": (
+            "SELECT printf('%02d-%d', o_custkey % 12, o_custkey) AS key, CAST(o_custkey % 12 AS INT) AS part,"
+            " CAST(o_custkey AS INT) AS vertex, CAST(max(o_orderkey) AS VARCHAR) AS out FROM orders GROUP BY o_custkey"
+        ),
         "merge_row": _packed_rows(G1, 2, SUPPLIERS, whole),
         "merge_row_segments": _packed_rows(G1, 2, SUPPLIERS, 100),
+        "merge_row_string_key": (
+            f"SELECT 'newv' || substr(key, 4) AS key, segment, members FROM ({_packed_rows(G1, 2, SUPPLIERS, whole)})"
+        ),
         "merge_row_no_neighbor": f"{e3} SELECT 'new' || dst AS key, 0 AS segment, '-1' AS members FROM e"
         " WHERE dst NOT IN (SELECT src FROM e) GROUP BY dst",
         "merge_partitions": _packed_members(new_hash, whole),
+        "merge_partitions_repeats": _packed_members(new_hash, whole),
+        "merge_partitions_degree_repeats": _packed_members(new_hash, whole, with_degree, text_order),
         "merge_partitions_segments": _packed_members(new_hash, 64),
         "merge_partitions_degree": _packed_members(new_hash, whole, with_degree, text_order),
         "merge_partitions_degree_segments": _packed_members(new_hash, 64, with_degree, text_order),
@@ -342,11 +373,29 @@ def oracle_sql() -> dict[str, str]:
             " SELECT part, vertex, CAST((SELECT count(*) FROM bounds WHERE bound <= part || '-' || vertex) AS INT)"
             " AS region FROM members"
         ),
+        "region_hash_beyond": (
+            f"{_members(40)}, bounds AS (SELECT CAST(i AS VARCHAR) || '-' AS bound FROM range(1, 12) r(i))"
+            " SELECT part, vertex, CAST((SELECT count(*) FROM bounds WHERE bound <= part || '-' || vertex) AS INT)"
+            " AS region FROM members"
+        ),
         "lookup_members": f"{_long(G1, 3)} SELECT * FROM long WHERE {suppliers_only}",
         "lookup_stored_members": (
             f"{_members(25)} SELECT vertex, out_degree, part FROM members WHERE part IN (SELECT r_regionkey FROM region)"
         ),
         "lookup_column": f"{e1} SELECT DISTINCT vertex, neighbor FROM ({_neighbors(2)}) WHERE {suppliers_only}",
+        "lookup_packed": (
+            f"{_members(10)} SELECT 'newhash' || part AS key, vertex AS neighbor FROM members"
+            " WHERE part IN (SELECT r_regionkey FROM region) AND part BETWEEN 0 AND 9"
+        ),
+        "lookup_partitioned_key": (
+            f"{e3} SELECT DISTINCT printf('%02d-%d', dst % 12, dst) AS key, src AS neighbor FROM e"
+            " WHERE dst IN (SELECT n_nationkey + 100 FROM nation)"
+        ),
+        "lookup_prepartitioned": (
+            "WITH rows AS (SELECT CAST(o_orderkey AS INT) AS vertex, o_custkey, o_orderkey FROM orders"
+            " WHERE o_orderstatus <> 'F') SELECT vertex, CAST(o_custkey AS INT) AS neighbor FROM rows"
+            f" WHERE {suppliers_only} UNION ALL SELECT vertex, CAST(o_orderkey AS INT) FROM rows WHERE {suppliers_only}"
+        ),
         "weighted_adjacency": _weighted(G1, whole),
         "weighted_adjacency_sinks": _weighted(G3, whole, sinks=True),
         "weighted_adjacency_segments": _weighted(G1, 10),

@@ -31,10 +31,10 @@ def _part_lines(spark: SparkSession, sf_dir: str, with_regions: bool = True) ->
     return vertices.select(F.concat(F.col("vertex"), F.lit(","), F.col("vertex") % 12).alias("value"))
 
 
-def _partitioned(mode: int) -> Query:
+def _partitioned(mode: int, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = io.read_partition_dict(_part_lines(spark, sf_dir))
-        lists = op.adjacency_partitioned(g3(spark, sf_dir), parts, mode, 12)
+        lists = op.adjacency_partitioned(g3(spark, sf_dir), parts, mode, 12, **options)
         return lists.select("key", "part", "vertex", "segment", *[_text(c) for c in lists.columns[4:]])
 
     return query
@@ -102,6 +102,45 @@ def _stored_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.lookup_column(lists, _suppliers(spark, sf_dir), "in")
 
 
+def _string_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op.adjacency_long(g1(spark, sf_dir), 2).select(F.concat(F.lit("v"), "vertex").alias("name"), "neighbor")
+    keys = _suppliers(spark, sf_dir).select(F.concat(F.lit("v"), "vertex").alias("name"))
+    return op.merge_row(rows, keys, key="name")
+
+
+def _packed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of some packed partitions, read back from their text."""
+    packed = stored(op.merge_partitions(op.partition_members(g1(spark, sf_dir), 10), 10))
+    keys = table(spark, sf_dir, "region").select(F.concat(F.lit("newhash"), F.col("r_regionkey")).alias("key"))
+    return op.lookup_column(packed, keys, "members", key="key")
+
+
+def _partitioned_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming neighbours of nations, by their keys in the partitioned layout."""
+    parts = io.read_partition_dict(_part_lines(spark, sf_dir))
+    lists = op.adjacency_partitioned(g3(spark, sf_dir), parts, 2, 12)
+    nation = (F.col("n_nationkey") + 100).cast("int")
+    keys = table(spark, sf_dir, "nation").select(F.format_string("%02d-%d", nation % 12, nation).alias("key"))
+    return op.lookup_column(lists, keys, "in", key="key").withColumn("neighbor", F.col("neighbor").cast("int"))
+
+
+def _prepartitioned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _suppliers(spark, sf_dir)
+    return op.lookup_column(_prepartitioned(spark, sf_dir), keys, "out")
+
+
+def _prepartitioned_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several lines for a customer; the one of its last order counts."""
+    row = F.concat_ws(",", "o_custkey", F.col("o_custkey") % 12, "o_orderkey")
+    lines = table(spark, sf_dir, "orders").select(row.alias("value"), F.col("o_orderkey").alias("line"))
+    return op.load_partitioned_adjacency(lines, 12)
+
+
+def _repeated(members: DataFrame) -> DataFrame:
+    """Every row twice."""
+    return members.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+
+
 def _edges_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "edges")
     io.write_edges(g1(spark, sf_dir), path)
@@ -207,12 +246,17 @@ def queries() -> dict[str, Query]:
         "vertex_blocks": lambda s, d: op.vertex_blocks(g2(s, d), 1),
         "expand_hop2": lambda s, d: op.expand_hop(op.vertex_blocks(g2(s, d), 1), g2(s, d), 1, 2),
         "expand_hop2_both": lambda s, d: op.expand_hop(op.vertex_blocks(g2(s, d), 3), g2(s, d), 3, 2),
+        "expand_hop2_tiled": lambda s, d: op.expand_hop(op.vertex_blocks(g1(s, d), 1), g1(s, d), 3, 2, tile_side=4),
         "merge_hops": _merged,
         "evb_k1_both": lambda s, d: op.extended_vertex_blocks(g1(s, d), 3, 1),
         "evb_k2_out": lambda s, d: op.extended_vertex_blocks(g2(s, d), 1, 2),
         "evb_k2_in": lambda s, d: op.extended_vertex_blocks(g2(s, d), 2, 2),
         "evb_k2_both": lambda s, d: op.extended_vertex_blocks(g2(s, d), 3, 2),
         "evb_k2_hubs": lambda s, d: op.extended_vertex_blocks(g1(s, d), 1, 2),
+        "evb_k2_hubs_both": lambda s, d: op.extended_vertex_blocks(g1(s, d).where("src % 16 = dst % 16"), 3, 2),
+        "evb_k2_hubs_tiled": lambda s, d: op.extended_vertex_blocks(
+            g1(s, d).where("src % 16 = dst % 16"), 3, 2, tile_side=4
+        ),
         "evb_k2_in_lone": lambda s, d: op.extended_vertex_blocks(g1(s, d), 2, 2, keep_lone=True),
         "evb_k3_out": lambda s, d: op.extended_vertex_blocks(g2(s, d), 1, 3),
         "evb_k3_sinks": lambda s, d: op.extended_vertex_blocks(g3(s, d), 1, 3),
@@ -234,7 +278,9 @@ def queries() -> dict[str, Query]:
         "adjacency_partitioned_in": _partitioned(2),
         "adjacency_partitioned_both": _partitioned(3),
         "adjacency_partitioned_unmapped": _partitioned_unmapped,
+        "adjacency_partitioned_segments": _partitioned(3, segment_size=7),
         "load_partitioned_adjacency": _prepartitioned,
+        "load_partitioned_repeats": _prepartitioned_repeats,
         "merge_row": lambda s, d: op.merge_row(op.adjacency_long(g1(s, d), 2), _suppliers(s, d)),
         "merge_row_segments": lambda s, d: op.merge_row(
             op.adjacency_long(g1(s, d), 2), _suppliers(s, d), segment_size=100
@@ -242,7 +288,12 @@ def queries() -> dict[str, Query]:
         "merge_row_no_neighbor": lambda s, d: op.merge_row(
             op.adjacency_long(g3(s, d), 1), op.lone_vertices(g3(s, d), 1)
         ),
+        "merge_row_string_key": _string_keyed,
         "merge_partitions": lambda s, d: op.merge_partitions(members(s, d), 10),
+        "merge_partitions_repeats": lambda s, d: op.merge_partitions(_repeated(members(s, d)), 10),
+        "merge_partitions_degree_repeats": lambda s, d: op.merge_partitions_with_degree(
+            _repeated(members_degree(s, d)), 10
+        ),
         "merge_partitions_segments": lambda s, d: op.merge_partitions(members(s, d), 10, segment_size=64),
         "merge_partitions_degree": lambda s, d: op.merge_partitions_with_degree(members_degree(s, d), 10),
         "merge_partitions_degree_segments": lambda s, d: op.merge_partitions_with_degree(
@@ -253,9 +304,13 @@ def queries() -> dict[str, Query]:
         "region_uniform": _region_uniform,
         "region_hash": lambda s, d: op.assign_region_hash(members(s, d), 4, 10),
         "region_hash_sparse": lambda s, d: op.assign_region_hash(op.partition_members(g1(s, d), 7), 12, 7),
+        "region_hash_beyond": lambda s, d: op.assign_region_hash(op.partition_members(g1(s, d), 40), 12, 7),
         "lookup_members": lambda s, d: op.lookup_members(op.adjacency_long(g1(s, d), 3), _suppliers(s, d)),
         "lookup_stored_members": _stored_lookup,
         "lookup_column": _stored_column,
+        "lookup_packed": _packed_lookup,
+        "lookup_partitioned_key": _partitioned_key_lookup,
+        "lookup_prepartitioned": _prepartitioned_lookup,
         # exports
         "weighted_adjacency": lambda s, d: op.weighted_adjacency(g1(s, d)),
         "weighted_adjacency_sinks": lambda s, d: op.weighted_adjacency(g3(s, d), keep_sinks=True),
