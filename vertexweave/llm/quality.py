@@ -6,7 +6,7 @@ no user function runs, nothing is shuffled, and each row is judged by itself.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -87,50 +87,64 @@ def with_quality(
     n_repeat_words, n_stop_words, n_exclaimed`` (bigint), ``base_failed`` and
     ``kept``. Words are runs without white space; lines are those with a word.
     A null or empty text has no words, so it fails the base rules. Windows of
-    words are compared by 64-bit hashes within one text. Each step costs at
+    words are compared by 64-bit hashes within one text. All steps cost at
     most n log n in the words of a text. A column of the name ``quality`` in
     ``docs`` stays, and the struct is then called ``quality_``.
     """
-    words, lines, windows, placed, result = fresh(docs, "words", "lines", "windows", "placed", "quality")
+    (result,) = fresh(docs, "quality")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    w = F.col(words)
-    df = docs.select(
-        "*",
-        F.filter(F.split(text, SPACES), lambda x: x != "").alias(words),
-        F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != "").alias(lines),
+    words = F.filter(F.split(text, SPACES), lambda x: x != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    counts = _let(words, lambda w: _let(lines, lambda l: _counts(text, w, l)))
+    return docs.withColumn(result, _let(counts, lambda c: _verdicts(c, rules, base_rules)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it and wherever Spark moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _counts(text: Column, words: Column, lines: Column) -> Column:
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeat_words(words),
+        "n_stop_words": F.size(F.filter(words, lambda x: F.lower(x).isin(STOP_WORDS))),
+        "n_exclaimed": F.size(F.filter(words, lambda x: F.endswith(x, F.lit("!!")))),
+    }
+    return F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()])
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in windows that come twice or more. Only where there are such windows, all are put in order."""
+    windows = F.transform(
+        F.slice(words, WINDOW, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))),
+        lambda x, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), x),
     )
-    df = df.withColumn(
+    return _let(
         windows,
-        F.transform(
-            F.slice(w, WINDOW, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))),
-            lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x),
-        ),
-    )
-    # Only texts in which some window comes twice need their windows in order.
-    df = df.withColumn(
-        placed,
-        F.when(
-            F.size(F.array_distinct(windows)) < F.size(windows),
-            F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i")))),
+        lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("bigint")).otherwise(
+            _let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), _in_repeated)
         ),
     )
-    p = F.col(placed)
+
+
+def _in_repeated(placed: Column) -> Column:
+    """Words covered by windows that equal one next to them in this order, by hash and place."""
     repeated = F.filter(
-        p, lambda e, k: (e["x"] == F.get(p, k + 1)["x"]) | ((k > 0) & (e["x"] == F.get(p, F.greatest(k - 1, F.lit(0)))["x"]))
+        placed,
+        lambda e, k: (e["x"] == F.get(placed, k + 1)["x"])
+        | ((k > 0) & (e["x"] == F.get(placed, F.greatest(k - 1, F.lit(0)))["x"])),
     )
-    places = F.sort_array(F.transform(repeated, lambda e: e["i"]))
-    counts = {
-        "n_words": F.size(w),
-        "word_chars": F.length(F.array_join(w, "")),
-        "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")),
-        "n_lines": F.size(lines),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": F.coalesce(_covered(places), F.lit(0)),
-        "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))),
-        "n_exclaimed": F.size(F.filter(w, lambda x: F.endswith(x, F.lit("!!")))),
-    }
-    df = df.withColumn(result, F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()]))
-    got = {name: F.col(result)[name] for name in counts}
+    return _covered(F.sort_array(F.transform(repeated, lambda e: e["i"])))
+
+
+def _verdicts(counts: Column, rules: Sequence[Rule], base_rules: Sequence[Rule]) -> Column:
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_exclaimed")
+    got = {name: counts[name] for name in names}
     n = got["n_words"]
     measures = got | {
         "percent_repeat_words": _ratio(100 * got["n_repeat_words"], n),
@@ -141,13 +155,10 @@ def with_quality(
         "exclaimed_per_word": _ratio(got["n_exclaimed"], n),
     }
     base_failed = ~compile_rules(base_rules, measures)
-    return df.select(
-        *docs.columns,
-        F.struct(
-            *[c.alias(name) for name, c in got.items()],
-            base_failed.alias("base_failed"),
-            (~base_failed & compile_rules(rules, measures)).alias("kept"),
-        ).alias(result),
+    return F.struct(
+        *[c.alias(name) for name, c in got.items()],
+        base_failed.alias("base_failed"),
+        (~base_failed & compile_rules(rules, measures)).alias("kept"),
     )
 
 
