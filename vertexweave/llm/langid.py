@@ -8,9 +8,7 @@ every switch of language, so that single odd words do not break a span.
 
 from __future__ import annotations
 
-import bisect
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vertexweave.llm.frames import fresh
-from vertexweave.llm.workers import SLICE_BYTES, Memo, slices
+from vertexweave.llm.workers import MEMO_ENTRIES, SLICE_BYTES, slices
 
 UNKNOWN = "und"
 # Rows per language that a model is fitted on, at most about; scores hardly change beyond.
 TRAINING_ROWS = 3000
 # Log-odds that words must bring together before a switch of language pays.
 SWITCH_PENALTY = 12.0
-BUCKETS = 1 << 16
+_BUCKET_BITS = 16
+BUCKETS = 1 << _BUCKET_BITS
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LONGEST_GRAM = 3
 # A language is a candidate for a script if it has at least this part of its letters there.
 _SCRIPT_SHARE = 0.001
@@ -45,22 +45,26 @@ SCRIPTS = (
 )
 _STARTS = [start for start, _ in SCRIPTS]
 _NAMES = sorted({name for _, name in SCRIPTS})
+_BLOCK_SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def script_of(char: str) -> int:
-    """Number of the script of a character."""
-    return _NAMES.index(SCRIPTS[bisect.bisect_right(_STARTS, ord(char)) - 1][1])
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of the character n-grams of a word with its ends marked."""
-    marked = f"<{word}>"
-    return [
-        zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS
-        for n in range(1, _LONGEST_GRAM + 1)
-        for i in range(len(marked) - n + 1)
-    ]
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of character n-grams: buckets of all n-grams of words with their ends marked, word by word,
+    and where those of each word begin."""
+    sizes = np.array([len(w) + 2 for w in words])
+    marked = "".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(marked, "<u4").astype(np.uint64)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    room = np.repeat(sizes, sizes) - place
+    code = np.zeros(len(points), np.uint64)
+    for n in range(1, _LONGEST_GRAM + 1):
+        # An n-gram is coded at its first character; every word has one at least.
+        code = code * _FACTOR
+        code[: len(points) - n + 1] += points[n - 1 :] + np.uint64(1)
+        kept = code[room >= n]
+        kept = (kept ^ (kept >> np.uint64(29))) * _FACTOR
+        yield (kept >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64), np.cumsum(sizes - n + 1) - (sizes - n + 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,16 +80,20 @@ class LanguageModel:
     scores: np.ndarray
     allowed: np.ndarray
 
-    def word(self, word: str) -> bytes:
-        """Scores of a lower-case word under all languages, relative to the best candidate."""
-        if not word[0].isalpha():
-            return np.zeros(len(self.languages), np.float32).tobytes()
-        allowed = self.allowed[script_of(word[0])]
-        if not allowed.any():
-            return np.zeros(len(self.languages), np.float32).tobytes()
-        found = self.scores[grams(word)].sum(axis=0)
-        found -= found[allowed].max()
-        return np.where(allowed, found, _FORBIDDEN).astype(np.float32).tobytes()
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of lower-case words under all languages, relative to the best candidate; zeros where no language
+        is one, or the first character is not a letter."""
+        found = np.zeros((len(words), len(self.languages)), np.float32)
+        if not words or not self.languages:
+            return found
+        for buckets, starts in grams(words):
+            found += np.add.reduceat(self.scores[buckets], starts, axis=0)
+        first = np.array([ord(w[0]) for w in words])
+        allowed = self.allowed[_BLOCK_SCRIPT[np.searchsorted(_STARTS, first, side="right") - 1]]
+        allowed &= np.array([w[0].isalpha() for w in words])[:, None]
+        best = np.where(allowed, found, -np.inf).max(axis=1, keepdims=True)
+        found = np.where(allowed, found - best, np.float32(_FORBIDDEN))
+        return np.where(allowed.any(axis=1, keepdims=True), found, np.float32(0)).astype(np.float32)
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", training_rows: int = TRAINING_ROWS) -> LanguageModel:
@@ -110,11 +118,17 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
         for lang, counter in words.items():
-            found, script = np.zeros(BUCKETS, np.int64), np.zeros(len(_NAMES), np.int64)
-            for word, n in counter.items():
-                if word[0].isalpha():
-                    np.add.at(found, grams(word), n)
-                    script[script_of(word[0])] += n * len(word)
+            known = [w for w in counter if w[0].isalpha()]
+            if not known:
+                continue
+            times = np.array([counter[w] for w in known])
+            found = np.zeros(BUCKETS, np.int64)
+            for buckets, starts in grams(known):
+                each = np.repeat(times, np.diff(np.append(starts, len(buckets))))
+                found += np.bincount(buckets, each, BUCKETS).astype(np.int64)
+            block = np.searchsorted(_STARTS, [ord(w[0]) for w in known], side="right") - 1
+            letters = times * np.array([len(w) for w in known])
+            script = np.bincount(_BLOCK_SCRIPT[block], letters, len(_NAMES)).astype(np.int64)
             some, used = np.flatnonzero(found), np.flatnonzero(script)
             keys, n = np.concatenate([some, -1 - used]), np.concatenate([found[some], script[used]])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
@@ -190,7 +204,7 @@ def identify(
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        memo = Memo(model.word)
+        memo: dict[str, bytes] = {}
         # Scores take four bytes per word and language.
         step = 2 * SLICE_BYTES * 4 // max(4, len(model.languages))
         for batch in slices(batches, step):
@@ -201,15 +215,25 @@ def identify(
     return docs.mapInArrow(label, schema)
 
 
-def _languages(texts: list[str | None], model: LanguageModel, memo: Memo, penalty: float) -> pa.StructArray:
+def _remember(memo: dict[str, bytes], lists: list[list[str]], model: LanguageModel) -> None:
+    """Add the scores of all words of a batch; those that are new are computed together."""
+    if len(memo) >= MEMO_ENTRIES:
+        memo.clear()
+    new = sorted(set().union(*lists) - memo.keys())
+    for start in range(0, len(new), 50_000):
+        some = new[start : start + 50_000]
+        data, size = model.words(some).tobytes(), 4 * len(model.languages)
+        memo.update((w, data[i * size : (i + 1) * size]) for i, w in enumerate(some))
+
+
+def _languages(texts: list[str | None], model: LanguageModel, memo: dict[str, bytes], penalty: float) -> pa.StructArray:
     n_labels = len(model.languages)
-    sizes, letters, scores = np.zeros(len(texts), np.int64), [], []
-    for i, text in enumerate(texts):
-        words = _WORD.findall(text.lower()) if text and n_labels else []
-        if words and any(c.isalpha() for w in words for c in w):
-            sizes[i] = len(words)
-            letters.append(np.fromiter(map(len, words), np.int64, len(words)))
-            scores.append(b"".join(map(memo.__getitem__, words)))
+    lists = [_WORD.findall(t.lower()) if t and n_labels else [] for t in texts]
+    lists = [w if any(c.isalpha() for x in w for c in x) else [] for w in lists]
+    _remember(memo, lists, model)
+    sizes = np.array([len(w) for w in lists], np.int64)
+    letters = [np.fromiter(map(len, w), np.int64, len(w)) for w in lists if w]
+    scores = [b"".join(map(memo.__getitem__, w)) for w in lists]
     words = int(sizes.sum())
     scores = np.frombuffer(b"".join(scores), np.float32).reshape(words, max(1, n_labels))
     labels = viterbi(scores, sizes, penalty)
