@@ -7,9 +7,11 @@ candidate edges goes from the smallest member to the others, so a bucket of m
 yields m - 1 pairs. Every candidate is confirmed on the full sets.
 
 A star alone could lose links between members that are not linked with its
-centre. So a second round meets, in each bucket, the members that ended up in
-another component than the centre with all members of other components. After
-it, every two texts that share a bucket are linked, connected or refuted.
+centre. Those members, outside the main component of a bucket, are met again
+by their rarest shingles: a text that is linked with one of n shingles, and is
+not much smaller, must have one of a ninth of them, whichever those are. Much
+smaller texts in the bucket are met by size. So every two texts that share a
+bucket are linked, connected or refuted, and no bucket is paired with itself.
 """
 
 from __future__ import annotations
@@ -28,10 +30,8 @@ from vertexweave.llm.workers import Memo, slices
 from vertexweave.plans.storage import stored
 
 BANDS, ROWS = 32, 4
-SKETCH_WORDS = 4  # two planes of two 64-bit words: two bits of each of the 128 bins
-# Of the 128 two-bit fields, texts with similarity 0.8 share 109 in the mean, with deviation 4; fewer
-# than this come once in 10 ** 11 pairs.
-LEAST_FIELDS = 79
+# Word hashes that a task remembers, in each half of its memo.
+_WORDS = 100_000
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Rounds after which an open densification walk is cut short by taking the nearest filled bin.
 _WALK = 4096
@@ -118,7 +118,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     """Set size, a 128-bit name of the set, bands and sketch of every text; empty sets have no bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, donors = Memo(_word_hash), _donors(BANDS * ROWS)
+        memo, donors = Memo(_word_hash, _WORDS), _donors(BANDS * ROWS)
         nothing = np.empty(0, np.int64)
         for batch in slices(batches):
             sizes, names, bands, sketches = [], [], [], []
@@ -139,18 +139,63 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(sign, _SIGNED)
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The full shingle sets of texts, ``(doc_id, shingles)``."""
+# Bits of a filter for each id in it, and the most that one has: 32 MB.
+_BITS_PER_ID, _MOST_BITS = 16, 1 << 28
+# Bits of a bitmap that Spark builds in one group.
+_BITMAP = 1 << 15
+
+
+def _filter_bits(n: int) -> int:
+    """A power of two with room for ``n`` values, as far as the bound allows."""
+    bits = _BITMAP
+    while bits < min(_BITS_PER_ID * n, _MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def _bitmap(values: Column, frame: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each of the values, which are below ``bits``; made by tasks, a group for every 32,768 bits."""
+    at = (values + 1).alias("at")
+    parts = (
+        frame.select(at)
+        .groupBy(F.bitmap_bucket_number("at").alias("number"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        .collect()
+    )
+    packed = np.zeros(bits // 8, np.uint8)
+    for row in parts:
+        start = (row["number"] - 1) * (_BITMAP // 8)
+        packed[start : start + _BITMAP // 8] = np.frombuffer(row["bits"], np.uint8)
+    return packed
+
+
+def _has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """The full shingle sets, ``(doc_id, shingles)``, of the texts with the given ids, and of a few others.
+
+    A filter of bounded size picks the texts where they are read, so that only
+    sets go on to a shuffle. It lets others pass, the more the more ids there
+    are; who joins with the ids drops those.
+    """
+    bits = _filter_bits(ids.count())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(place, ids, bits))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(_word_hash)
+        memo, packed = Memo(_word_hash, _WORDS), shared.value
         for batch in slices(batches):
-            found = [shingle_set(t, memo, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"]
-            )
+            batch = batch.filter(pa.array(_has(packed, batch.column("place").to_numpy())))
+            if batch.num_rows:
+                found = [shingle_set(t, memo, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"]
+                )
 
-    return docs.mapInArrow(collect, "doc_id bigint, shingles array<bigint>")
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", place.alias("place"))
+    return known.mapInArrow(collect, "doc_id bigint, shingles array<bigint>")
 
 
 def _near(percent: int) -> Column:
@@ -167,7 +212,7 @@ def _near(percent: int) -> Column:
 
 
 def _least_fields(percent: int) -> int:
-    """Seven deviations below the mean of shared two-bit fields at the least similarity."""
+    """Seven deviations below the mean of shared two-bit fields at the least similarity, 80 of 128 for 80 %."""
     share = percent / 100 + (1 - percent / 100) / 4
     bins = BANDS * ROWS
     return int(bins * share - 7 * (bins * share * (1 - share)) ** 0.5)
@@ -175,17 +220,17 @@ def _least_fields(percent: int) -> int:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough. Sets are made anew, of texts in some pair only."""
+    pairs = stored(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # A repeated row is one text under one id; the first is as good as any.
-    texts = docs.join(needed, "doc_id", "left_semi")
-    sets = stored(_sets(texts, similarity.shingle))
+    # Repeated rows with one id have one text or are compared by whichever comes.
+    sets = stored(_sets(docs, stored(needed), similarity.shingle))
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         .withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
     )
     union = F.size("sa") + F.size("sb") - F.col("shared")
-    return both.where(100 * F.col("shared") >= similarity.percent * union).select("a", "b").distinct()
+    return stored(both.where(100 * F.col("shared") >= similarity.percent * union).select("a", "b").distinct())
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -233,17 +278,26 @@ def near_duplicates(
 
     Texts with the same set are one class, stood for by its smallest id, and
     only that one is compared. Shingles are compared by 64-bit hashes. A pair
-    with similarity 0.8 shares no bucket with a probability of 5e-8.
+    with similarity 0.8 shares no bucket with a probability of 5e-8, and less
+    than two with one of 1e-6.
     """
     docs = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     rows = stored(_signed(docs, similarity.shingle))
     classes = _classes(rows)
-    members = stored(classes.where(F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "bands", "sketch").dropDuplicates(["rep"]))
-    links = _star_links(members, docs, similarity)
+    members = stored(
+        classes.where(F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "bands", "sketch").dropDuplicates(["rep"])
+    )
+    shared = stored(_shared_buckets(members))
+    pairs = stored(_star_pairs(shared, members, similarity))
+    # One centre per text settles most; other centres are asked where the two are still apart.
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    links = _confirmed(best, docs, similarity)
     labels = components(links)
-    more = _residual_links(members, labels, docs, similarity)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for further in (_open_stars, _residual_pairs):
+        more = _confirmed(further(pairs, shared, members, labels, docs, similarity), docs, similarity)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     thin = classes.select("doc_id", "n_shingles", "rep")
     out = thin.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
@@ -271,13 +325,25 @@ def _classes(rows: DataFrame) -> DataFrame:
     return stored(together[0].unionByName(together[1]).unionByName(together[2]))
 
 
-def _star_links(members: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
+def _shared_buckets(members: DataFrame) -> DataFrame:
+    """``(bucket, rep, a, members)`` of buckets with more than one member; ``a`` is the smallest."""
     buckets = members.select("rep", F.explode("bands").alias("bucket"))
-    centres = (
-        buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").drop("last")
-    )
-    star = buckets.join(centres, "bucket").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    return stored(_confirmed(stored(_sketched(star, members, similarity)), docs, similarity))
+    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members"))
+    return buckets.join(centres.where("members > 1"), "bucket")
+
+
+def _star_pairs(shared: DataFrame, members: DataFrame, similarity: Similarity) -> DataFrame:
+    """``(a, b, n)``: pairs with the centre of ``n`` buckets, that may be similar enough."""
+    star = shared.where("a < rep").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return _sketched(star, members, similarity)
+
+
+def _open_stars(pairs, shared, members, labels, docs, similarity: Similarity) -> DataFrame:
+    """Pairs with a centre that are in two components."""
+    ends = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    others = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(ends, "a", "left").join(others, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _sketched(pairs: DataFrame, members: DataFrame, similarity: Similarity) -> DataFrame:
@@ -286,35 +352,136 @@ def _sketched(pairs: DataFrame, members: DataFrame, similarity: Similarity) -> D
         pairs.join(side.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
         .join(side.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
         .where(_near(similarity.percent))
-        .select("a", "b")
+        .drop("x", "y")
     )
 
 
-def _residual_links(members: DataFrame, labels: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """Links, between texts in one bucket, that would join two components."""
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "bands", F.coalesce("component", "rep").alias("component"), F.struct("n_shingles", "sketch").alias("s")
+def _residual_pairs(pairs, shared, members, labels, docs, similarity: Similarity) -> DataFrame:
+    """Pairs in one bucket but in two components, at least one of them outside the bucket's largest component,
+    that may be linked. Buckets of two are settled by their star. Two texts meet in several others if they are
+    linked: with similarity 0.8, one pair in a million in less than two. So only texts in two mixed buckets
+    or more are looked at, which leaves out those that share no more than a passage."""
+    sizes = members.select("rep", "n_shingles", "sketch")
+    there = stored(
+        shared.where("members > 2")
+        .select("bucket", "rep")
+        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep"))
     )
-    rows = stored(labelled.select("rep", "component", "s", F.explode("bands").alias("bucket")))
-    least = F.min(F.struct("rep", "component"))
     mixed = (
-        rows.groupBy("bucket")
-        .agg(least.alias("centre"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("bucket", F.col("centre.component").alias("main"))
+        there.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("bucket")
+        .agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .drop("parts")
     )
-    there = stored(rows.join(mixed, "bucket"))
-    outside = there.where(F.col("component") != F.col("main")).select(
-        "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("s").alias("x")
+    there = stored(there.join(mixed, "bucket"))
+    often = there.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    there = stored(there.join(often, "rep", "left_semi").join(sizes, "rep"))
+    outside = there.where(F.col("component") != F.col("main"))
+    found = _by_rare_shingles(there, outside, docs, similarity).unionByName(_by_size(there, outside, similarity))
+    return stored(_sketched(found.distinct(), members, similarity))
+
+
+# Sizes whose logarithms to this base have the same whole part are one class.
+_CLASS_STEP = 1.03
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(_CLASS_STEP))).cast("int")
+
+
+def _by_size(there: DataFrame, outside: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs in one bucket of a text outside and one of a lower size class, as far down as similarity goes."""
+    steps = int(np.ceil(-np.log(similarity.percent / 100) / np.log(_CLASS_STEP))) + 1
+    own = _size_class(F.col("n_shingles"))
+    down = outside.select(
+        "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.struct("n_shingles", "sketch").alias("x"),
+        F.explode(F.sequence(own - steps, own - 1)).alias("size"),
     )
-    others = there.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("s").alias("y"))
-    pairs = (
-        outside.join(others, "bucket")
-        .where((F.col("ca") != F.col("cb")) & _near(similarity.percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    others = there.select(
+        "bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.struct("n_shingles", "sketch").alias("y"),
+        own.alias("size"),
+    )
+    met = down.join(others, ["bucket", "size"]).where((F.col("ca") != F.col("cb")) & _near(similarity.percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+# Shingles fall into this many counters for their frequency; any order of them would do, a rough one saves pairs.
+_COUNTERS = 1 << 18
+
+
+def _by_rare_shingles(there: DataFrame, outside: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs of a text outside and one of its own size class or a higher one that has some of its rarest shingles.
+
+    Let a text have n shingles and another one m. If they are linked, at most
+    (n - t m) / (1 + t) of the n are missing in the other, t being the least
+    similarity. So of one more than that, taken anyhow, the other has one.
+    """
+    t = similarity.percent / 100
+    nodes = stored(there.select(F.col("rep").alias("doc_id"), "component", "n_shingles").distinct())
+    sets = stored(_sets(docs, nodes, similarity.shingle).join(nodes.select("doc_id"), "doc_id", "left_semi"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(_flat(batch)[0]), minlength=_COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
+
+    # At most _COUNTERS rows.
+    counted = sets.mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(_COUNTERS, np.int64)
+    frequency[counted["counter"].to_numpy()] = counted["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rare = [], []
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), batch.column("shingles")):
+                found = found.values.to_numpy()
+                n = len(found)
+                # The smallest size of the class; rounding of logarithms may put a size one lower.
+                least = np.floor(_CLASS_STEP ** np.floor(np.log(n) / np.log(_CLASS_STEP))) - 1
+                k = min(n, int((n - t * least) / (1 + t) + 1e-9) + 1)
+                few = found[np.argsort(shared.value[_counter(found)], kind="stable")[:k]]
+                rare.append(few)
+                ids.append(np.full(len(few), doc_id, np.int64))
+            ids, rare = np.concatenate(ids), np.concatenate(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rare)], ["a", "shingle"])
+
+    apart = outside.select(F.col("rep").alias("doc_id")).distinct()
+    rare = stored(sets.join(apart, "doc_id", "left_semi").mapInArrow(rarest, "a bigint, shingle bigint"))
+    # Which shingles are asked for, and a few others.
+    bits = _filter_bits(rare.count())
+    asked = _bitmap(F.col("shingle").bitwiseAND(bits - 1), rare, bits)
+    shared_asked = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, owner = _flat(batch)
+            hit = _has(shared_asked.value, found & np.int64(bits - 1))
+            ids = batch.column("doc_id").to_numpy()[owner[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[hit])], ["b", "shingle"])
+
+    answers = sets.mapInArrow(answer, "b bigint, shingle bigint")
+    ca, cb = (
+        nodes.select(F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"))
+        for x in "ab"
     )
-    return stored(_confirmed(stored(pairs), docs, similarity))
+    alike = 100 * F.least("na", "nb") >= similarity.percent * F.greatest("na", "nb")
+    met = rare.join(ca, "a").join(answers.join(cb, "b"), "shingle").where((F.col("ca") != F.col("cb")) & alike)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return shingles & np.int64(_COUNTERS - 1)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a batch, and the row of each."""
+    lists = batch.column("shingles")
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
 def drop_near_duplicates(
