@@ -1,27 +1,31 @@
-"""Token ids of whole texts with the tokenizers library, word by word.
+"""Token ids of whole texts with the tokenizers library, chunk by chunk.
 
-Both vocabularies split a text at white space before they merge, so the ids of
-a text are those of its chunks in a row. Chunks repeat, and a task remembers
-the ids of those it has met. The ids of a text are kept as bytes: little-endian
-unsigned 32-bit integers.
+Both vocabularies split a text at white space, and between a letter or digit
+and a comma or full stop, before they merge. So the ids of a text are those of
+its chunks in a row. Chunks repeat, and a worker remembers the ids of those it
+has met. The ids of a text are kept as bytes: little-endian unsigned 32-bit
+integers.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
 from vertexweave.llm.workers import Memo
 
-# Chunks of a text in which blanks and line ends stand alone between words.
-_CHUNK = re.compile(r" ?[^ \n]+|\n")
-# Other white space, more than one in a row, or a blank at the end: there the library decides what goes together.
-_UNUSUAL = re.compile(r"[^\S \n]|[ \n][ \n]| \Z")
+# Words up to a comma or full stop behind a letter or digit that no normalisation changes but for its case, else up
+# to white space; a blank goes with what follows.
+_CHUNK = re.compile(r" ?[^ \n,.]++(?:(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])|[^ \n]*)| ?[^ \n]+|\n")
+_WORD = re.compile(r"[^ \n,.]++(?:(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])|[^ \n]*)|[^ \n]+")
+# White space other than blanks and line ends.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 # A line end between two characters that are no white space is a chunk of its own.
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
+# One run of such letters.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 @lru_cache(maxsize=4)
@@ -34,38 +38,64 @@ def tokenizer(path: str):
     return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is visible in Latin-1,
+    or else the next one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def _encode(path: str) -> Callable[[str], bytes]:
     encode = tokenizer(path).encode
-    return lambda text: np.array(encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return lambda text: array("I", encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def _encode_chunk(path: str) -> Callable[[str], bytes]:
+    """One run of letters goes to the merges of the tokenizer at once, as it would be split off anyway."""
+    whole, tok, letters = _encode(path), tokenizer(path), _byte_letters()
+    merge = tok.model.tokenize
+    normal = tok.normalizer.normalize_str if tok.normalizer else str
+
+    def encode(chunk: str) -> bytes:
+        if not _LETTERS.fullmatch(chunk):
+            return whole(chunk)
+        mapped = normal(chunk).encode().decode("latin-1").translate(letters)
+        return array("I", [token.id for token in merge(mapped)]).tobytes()
+
+    return encode
 
 
 @lru_cache(maxsize=4)
 def _memo(path: str) -> Memo:
     """The same through all tasks of a worker process."""
-    return Memo(_encode(path))
+    return Memo(_encode_chunk(path))
 
 
 def word_ids(path: str) -> Callable[[str], bytes]:
     """For a vocabulary that drops white space."""
     memo = _memo(path)
-
-    def ids(text: str) -> bytes:
-        return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
-
-    return ids
+    return lambda text: b"".join(map(memo.__getitem__, _WORD.findall(text)))
 
 
 def byte_ids(path: str) -> Callable[[str], bytes]:
-    """For a byte-level vocabulary, in which a blank belongs to the word behind it."""
+    """For a byte-level vocabulary, in which a blank belongs to the word behind it.
+
+    Where white space is not single blanks and line ends between words, the
+    library decides what goes together, line by line.
+    """
     memo, whole = _memo(path), _encode(path)
 
     def plain(text: str) -> bytes:
         return b"".join(map(memo.__getitem__, _CHUNK.findall(text)))
 
+    def odd(text: str) -> bool:
+        runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] == " "
+        return runs or _OTHER_SPACE.search(text) is not None
+
     def ids(text: str) -> bytes:
-        if not _UNUSUAL.search(text):
+        if not odd(text):
             return plain(text)
-        parts = [whole(part) if _UNUSUAL.search(part) else plain(part) for part in _LINE_END.split(text)]
-        return memo["\n"].join(parts)
+        return memo["\n"].join(whole(part) if odd(part) else plain(part) for part in _LINE_END.split(text))
 
     return ids

@@ -8,25 +8,30 @@ import pyarrow as pa
 
 # Bytes of Arrow data handled, and sent back, at a time.
 SLICE_BYTES = 8 << 20
-# Entries that a task remembers per memo; a full memo starts anew.
-MEMO_ENTRIES = 250_000
+# Entries in each of the two halves of a memo.
+MEMO_ENTRIES = 400_000
 
 
 class Memo(dict):
     """Results of a pure function of one key, computed on first use.
 
-    Holds a bounded number of entries; frequent keys are back soon after it
-    was emptied.
+    Holds a bounded number of entries: when the young half is full, it becomes
+    the old half and a new one begins. What is used again moves to the young
+    half, so frequent keys stay.
     """
 
     def __init__(self, make: Callable[[Hashable], object], entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
