@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from vertexweave import operators as op
+from vertexweave import catalog, operators as op
 from vertexweave.plans.skew import segment_rows, spread_lookup, tiled_join
 
 
@@ -131,3 +131,23 @@ def test_segments_of_a_hub_find_their_part(edge_frame, spark, monkeypatch):
     out = [f"{i}-{i % 4}" for i in range(1, 31)]
     back = [str(i) for i in range(1, 6)]
     assert listed == [("00-0", s, out[3 * s:3 * s + 3], back[3 * s:3 * s + 3]) for s in range(10)]
+
+
+@pytest.mark.parametrize("name", ["evb_k2_hubs_both_whole", "evb_k2_hubs_tiled_whole"])
+def test_whole_hub_blocks_both_ways(spark, tmp_path, name):
+    # Suppliers 1 and 2 are hubs; only (2, 2) and (35, 3) have ends that agree modulo 16.
+    items = [(part, 1) for part in range(20, 32)] + [(part, 2) for part in range(28, 40) if part % 16 != 2]
+    items += [(20, 1), (1, 2), (2, 2), (35, 3)]
+    spark.createDataFrame(items, "l_partkey int, l_suppkey int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    near = defaultdict(set)
+    for a, b in items:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = []
+    for anchor in near:
+        first = near[anchor]
+        second = {v for u in first for v in near[u]} - {anchor}
+        want += [(anchor, v, 1, "I") for v in first] + [(anchor, v, 2, "B") for v in second - first]
+    got = catalog.queries()[name](spark, str(tmp_path)).select("anchor", "vertex", "distance", "type")
+    assert rows(got) == sorted(want)

@@ -315,6 +315,8 @@ def oracle_sql() -> dict[str, str]:
         "evb_k2_hubs": _all_blocks(G1, 1, 2),
         "evb_k2_hubs_both": _all_blocks(f"{G1} AND l_partkey % 16 = l_suppkey % 16", 3, 2),
         "evb_k2_hubs_tiled": _all_blocks(f"{G1} AND l_partkey % 16 = l_suppkey % 16", 3, 2),
+        "evb_k2_hubs_both_whole": _all_blocks(G1, 3, 2),
+        "evb_k2_hubs_tiled_whole": _all_blocks(G1, 3, 2),
         "evb_k2_in_lone": _all_blocks(G1, 2, 2, lone=True),
         "evb_k3_out": _all_blocks(G2, 1, 3),
         "evb_k3_sinks": _all_blocks(G3, 1, 3),

@@ -257,6 +257,8 @@ def queries() -> dict[str, Query]:
         "evb_k2_hubs_tiled": lambda s, d: op.extended_vertex_blocks(
             g1(s, d).where("src % 16 = dst % 16"), 3, 2, tile_side=4
         ),
+        "evb_k2_hubs_both_whole": lambda s, d: op.extended_vertex_blocks(g1(s, d), 3, 2),
+        "evb_k2_hubs_tiled_whole": lambda s, d: op.extended_vertex_blocks(g1(s, d), 3, 2, tile_side=4),
         "evb_k2_in_lone": lambda s, d: op.extended_vertex_blocks(g1(s, d), 2, 2, keep_lone=True),
         "evb_k3_out": lambda s, d: op.extended_vertex_blocks(g2(s, d), 1, 3),
         "evb_k3_sinks": lambda s, d: op.extended_vertex_blocks(g3(s, d), 1, 3),
