@@ -428,6 +428,20 @@ def test_licenses(spark, docs, wide, none):
     assert same_rows(licenses.scan_licenses(wide), wide) and licenses.scan_licenses(none).count() == 0
 
 
+def notices(text):
+    return [(m.license, text[m.start : m.end]) for m in licenses.scan(text)]
+
+
+@pytest.mark.parametrize("times", [2, 3, 5])
+@pytest.mark.parametrize("between", ["", "bar ", "All the MIT words under the License are here "])
+def test_every_copy_of_a_notice_is_found(times, between):
+    for license, notice in [
+        ("MIT", "Released under the MIT License"), ("Proprietary", "All rights reserved"),
+        *((t.license, t.text.rstrip(".")) for t in licenses.TEMPLATES),
+    ]:
+        assert notices("foo " + f"{notice}. {between}" * times) == [(license, notice)] * times
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(4)
     for _ in range(300):

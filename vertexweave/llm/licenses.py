@@ -9,10 +9,12 @@ ends. The part of the template's words that is aligned is its coverage.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,22 @@ from vertexweave.llm.workers import slices, texts
 COVERAGE = 0.8
 # Aligned words must fill at least this part of the span of text that they take.
 DENSITY = 0.6
-# Words of text looked at on either side of a key word, for each word of the template.
+# Words of text looked at on either side of a word that is looked for, for each word of the template.
 _REACH = 2
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 @dataclass(frozen=True)
 class Template:
-    """A notice. A match must have at least one of the ``keys``, words that hardly any other text has."""
+    """A notice. ``keys``, words that hardly any other text has, are looked for first; a match may lack them.
+
+    Of ``names``, if there are any, a match must have one: without them, the same words name another license.
+    """
 
     license: str
     keys: tuple[str, ...]
     text: str
+    names: tuple[str, ...] = ()
 
     @property
     def words(self) -> list[str]:
@@ -44,11 +50,11 @@ class Template:
 
 # The wording of public licenses and of the notices that name them.
 TEMPLATES = (
-    Template("MIT", ("mit",), "Released under the MIT License."),
-    Template("MIT", ("mit",), "Licensed under the MIT License."),
+    Template("MIT", ("mit",), "Released under the MIT License.", ("mit",)),
+    Template("MIT", ("mit",), "Licensed under the MIT License.", ("mit",)),
     Template(
         "MIT",
-        ("sublicense", "noninfringement", "merchantability"),
+        ("sublicense",),
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
@@ -56,15 +62,16 @@ TEMPLATES = (
         "conditions: The above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software.",
     ),
-    Template("Apache-2.0", ("apache",), "Licensed under the Apache License, Version 2.0."),
-    Template("Apache-2.0", ("apache",), "Released under the Apache License, Version 2.0."),
+    Template("Apache-2.0", ("apache",), "Licensed under the Apache License, Version 2.0.", ("apache",)),
+    Template("Apache-2.0", ("apache",), "Released under the Apache License, Version 2.0.", ("apache",)),
     Template(
         "Apache-2.0",
         ("apache",),
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        ("apache",),
     ),
-    Template("GPL-3.0", ("gnu",), "This work is licensed under the GNU General Public License, version 3."),
+    Template("GPL-3.0", ("gnu",), "This work is licensed under the GNU General Public License, version 3.", ("gnu", "general")),
     Template(
         "GPL-3.0",
         ("gnu",),
@@ -72,15 +79,20 @@ TEMPLATES = (
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
     ),
-    Template("GPL-2.0", ("gnu",), "This work is licensed under the GNU General Public License, version 2."),
-    Template("LGPL-3.0", ("gnu",), "This work is licensed under the GNU Lesser General Public License, version 3."),
-    Template("AGPL-3.0", ("gnu",), "This work is licensed under the GNU Affero General Public License, version 3."),
-    Template("MPL-2.0", ("mozilla",), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    Template("GPL-2.0", ("gnu",), "This work is licensed under the GNU General Public License, version 2.", ("gnu", "general")),
+    Template("LGPL-3.0", ("gnu",), "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "general")),
+    Template("AGPL-3.0", ("gnu",), "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "general")),
+    Template(
+        "MPL-2.0",
+        ("mozilla",),
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        ("mozilla",),
+    ),
     Template("BSD-3-Clause", ("bsd",), "Released under the BSD 3-Clause License."),
     Template("BSD-2-Clause", ("bsd",), "Released under the BSD 2-Clause License."),
     Template(
         "ISC",
-        ("isc", "hereby"),
+        ("hereby",),
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
@@ -88,7 +100,7 @@ TEMPLATES = (
     Template("CC-BY-SA-4.0", ("cc",), "Licensed under CC BY-SA 4.0."),
     Template("CC-BY-NC-4.0", ("cc",), "Licensed under CC BY-NC 4.0."),
     Template("CC-BY-ND-4.0", ("cc",), "Licensed under CC BY-ND 4.0."),
-    Template("CC0-1.0", ("cc0",), "Dedicated to the public domain under CC0 1.0."),
+    Template("CC0-1.0", ("cc0",), "Dedicated to the public domain under CC0 1.0.", ("cc0",)),
     Template(
         "CC-BY-4.0", ("creative",), "This work is licensed under a Creative Commons Attribution 4.0 International License."
     ),
@@ -152,52 +164,101 @@ class Match:
     end: int
 
 
+@lru_cache(maxsize=4096)
+def _plan(template: Template, coverage: float) -> tuple[list[str], Counter, int, dict[str, list[int]]]:
+    """Words, their numbers, the least number aligned, and the words to look for with their places.
+
+    So many are looked for that a notice that is covered cannot lack them all: their places are more than the words
+    that may be missing. Words that come once are taken first, then keys, then long ones.
+    """
+    own = template.words
+    times, need = Counter(own), max(1, math.ceil(coverage * len(own) - 1e-9))
+    seeds: dict[str, list[int]] = {}
+    left = len(own) - need + 1
+    for w in sorted(times, key=lambda w: (times[w] > 1, w not in template.keys, -len(w), w)):
+        if left <= 0:
+            break
+        seeds[w] = [j for j, x in enumerate(own) if x == w]
+        left -= times[w]
+    return own, times, need, seeds
+
+
+def _around(words: Sequence[str], own: Sequence[str], at: int, j: int, low: int, high: int) -> list[tuple[int, int]]:
+    """An alignment of ``words[low:high]`` that has ``words[at]`` at ``own[j]``."""
+    before = [(low + i, k) for i, k in align(words[low:at], own[:j])]
+    return [*before, (at, j), *((at + 1 + i, j + 1 + k) for i, k in align(words[at + 1 : high], own[j + 1 :]))]
+
+
 def scan(
     text: str, templates: Sequence[Template] = TEMPLATES, coverage: float = COVERAGE, density: float = DENSITY
 ) -> list[Match]:
     """The notices in a text, in order, none overlapping: of those that do, the one with most words aligned stays,
     then the one with the higher coverage, then the first in the list of templates. Places are characters."""
     lower = text.lower()
-    keys = {k for t in templates for k in t.keys if k in lower}
-    if not keys:
+    plans = [_plan(t, coverage) for t in templates]
+    seeds = {w for _, _, _, own_seeds in plans for w in own_seeds if w in lower}
+    if not seeds:
         return []
     spots = [(m.start(), m.end()) for m in _WORD.finditer(lower)]
     words = [lower[s:e] for s, e in spots]
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
-        if w in keys:
+        if w in seeds:
             where.setdefault(w, []).append(i)
-    found: list[tuple[Match, int]] = []
-    for number, template in enumerate(templates):
-        own, done = template.words, -1
-        for at in sorted(i for k in template.keys for i in where.get(k, ())):
+    found: set[tuple[int, int, int, int]] = set()
+    for number, (template, (own, times, need, own_seeds)) in enumerate(zip(templates, plans)):
+        reach, done = _REACH * len(own), -1
+        places = sorted((i, k, w) for w in own_seeds for k, i in enumerate(where.get(w, ())))
+        for at, k, w in places:
+            # Nothing is better than a notice that is there word for word.
             if at <= done:
                 continue
-            low, high = max(0, at - _REACH * len(own)), at + _REACH * len(own) + 1
-            # The notice may come again nearby: what stands before the last match is not looked at again.
-            low = max(low, done + 1)
-            pairs = _tight(align(words[low:high], own), at - low, density)
-            if len(pairs) >= coverage * len(own):
-                first, last = low + pairs[0][0], low + pairs[-1][0]
-                match = Match(template.license, len(pairs) / len(own), len(pairs), spots[first][0], spots[last][1])
-                found.append((match, number))
-                done = last
-    found.sort(key=lambda f: (-f[0].matched, -f[0].coverage, f[1], f[0].start))
+            low, high = max(0, at - reach), min(len(words), at + reach + 1)
+            there = Counter(x for x in words[low:high] if x in times)
+            if sum(min(n, times[x]) for x, n in there.items()) < need:
+                continue
+            windows = {(low, high)}
+            if times[w] == 1:
+                # The notice may come again nearby, and so does this word then: each copy is aligned alone, too.
+                others = where[w]
+                windows.add((
+                    max(low, others[k - 1] + 1 if k else 0), min(high, others[k + 1] if k + 1 < len(others) else high)
+                ))
+            tries = [_around(words, own, at, j, *window) for window in windows for j in own_seeds[w]]
+            tries.append([(low + i, j) for i, j in align(words[low:high], own)])
+            for pairs in tries:
+                pairs = _tight(pairs, density)
+                if len(pairs) < need or template.names and not any(own[j] in template.names for _, j in pairs):
+                    continue
+                first, last = pairs[0][0], pairs[-1][0]
+                found.add((number, first, last, len(pairs)))
+                if len(pairs) == len(own) == last - first + 1 and first <= at <= last:
+                    done = last
+    ranked = sorted(found, key=lambda f: (-f[3], -f[3] / len(plans[f[0]][0]), f[0], f[2] - f[1], f[1]))
+    # Of those that stay, first and last words; none overlap, so both ascend.
+    firsts: list[int] = []
+    lasts: list[int] = []
     chosen: list[Match] = []
-    for match, _ in found:
-        if all(match.end <= c.start or match.start >= c.end for c in chosen):
-            chosen.append(match)
+    for number, first, last, matched in ranked:
+        k = bisect.bisect_left(firsts, first)
+        if (k and lasts[k - 1] >= first) or (k < len(firsts) and firsts[k] <= last):
+            continue
+        firsts.insert(k, first)
+        lasts.insert(k, last)
+        own = plans[number][0]
+        chosen.append(Match(templates[number].license, matched / len(own), matched, spots[first][0], spots[last][1]))
     return sorted(chosen, key=lambda m: m.start)
 
 
-def _tight(pairs: list[tuple[int, int]], key: int, density: float) -> list[tuple[int, int]]:
-    """Drop outer pairs, at the wider gap first, until those left fill their span; none if the key goes with them."""
-    while len(pairs) > 1 and len(pairs) < density * (pairs[-1][0] - pairs[0][0] + 1):
-        if pairs[1][0] - pairs[0][0] >= pairs[-1][0] - pairs[-2][0]:
-            pairs = pairs[1:]
+def _tight(pairs: list[tuple[int, int]], density: float) -> list[tuple[int, int]]:
+    """Drop outer pairs, at the wider gap first, until those left fill their span."""
+    a, b = 0, len(pairs) - 1
+    while b > a and b - a + 1 < density * (pairs[b][0] - pairs[a][0] + 1):
+        if pairs[a + 1][0] - pairs[a][0] >= pairs[b][0] - pairs[b - 1][0]:
+            a += 1
         else:
-            pairs = pairs[:-1]
-    return pairs if any(i == key for i, _ in pairs) else []
+            b -= 1
+    return pairs[a : b + 1]
 
 
 _LICENSES = "array<struct<license:string,coverage:double,start:int,end:int>>"
