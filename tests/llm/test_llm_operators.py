@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 
 import numpy as np
@@ -442,6 +443,25 @@ def test_every_copy_of_a_notice_is_found(times, between):
         assert notices("foo " + f"{notice}. {between}" * times) == [(license, notice)] * times
 
 
+def test_coverage_decides_where_words_are_altered():
+    grant = next(t for t in licenses.TEMPLATES if "sublicense" in t.keys)
+    assert [m.license for m in licenses.scan(grant.text.replace("sublicense", "sub-license"))] == ["MIT"]
+    rng = random.Random(5)
+    for template in licenses.TEMPLATES:
+        own = template.words
+        spare = len(own) - math.ceil(licenses.COVERAGE * len(own))
+        for drop in [[j] for j in range(len(own))] + [rng.sample(range(len(own)), spare) for _ in range(20)]:
+            left = [w for j, w in enumerate(own) if j not in drop]
+            if len(drop) <= spare and (not template.names or set(template.names) & set(left)):
+                text = " ".join("zzz" if j in drop else w for j, w in enumerate(own))
+                assert licenses.scan(f"Some words {text} and more", [template]), text
+    # The names of other licenses in the same words.
+    for other in ("Licensed under the Eclipse Public License, Version 2.0.", "Released under the Zlib License.",
+                  "This work is licensed under the Mozilla Public License, version 2.",
+                  "Dedicated to the public domain under PDDL 1.0."):
+        assert not licenses.scan(other)
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(4)
     for _ in range(300):
