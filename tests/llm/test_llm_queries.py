@@ -131,3 +131,14 @@ def test_near_duplicates_against_all_pairs(spark, documents):
     expected = brute_components([(d["doc_id"], d["text"]) for d in documents], 2)
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == expected
     assert all(r["kept"] == (d == r["component_id"]) for d, r in got.items())
+
+
+def test_license_scan_gives_all_notices(spark, tmp_path):
+    text = "All rights reserved. Licensed under the MIT License. Some words. Released under the BSD 3-Clause License."
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in llm.queries()["op10_license_scan"](spark, str(tmp_path)).collect()}
+    assert [(m["license"], text[m["start"] : m["end"]]) for m in got[1]["licenses"]] == [
+        ("Proprietary", "All rights reserved"), ("MIT", "Licensed under the MIT License"),
+        ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
+    ]
+    assert got[1]["n_notices"] == 3 and got[1]["license"] == "Proprietary" and got[2]["licenses"] == []

@@ -102,8 +102,8 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(id_and_text(_documents(spark, sf_dir), "doc_id", "text"))
     best = F.array_max(F.transform("licenses", lambda m: F.struct(m["coverage"], -m["start"], m["end"], m["license"])))
-    return found.select("doc_id", F.size("licenses").alias("n_notices"), best.alias("best")).select(
-        "doc_id", "n_notices", F.col("best.license").alias("license"), F.col("best.coverage").alias("coverage"),
+    return found.select("doc_id", F.size("licenses").alias("n_notices"), "licenses", best.alias("best")).select(
+        "doc_id", "n_notices", "licenses", F.col("best.license").alias("license"), F.col("best.coverage").alias("coverage"),
         (-F.col("best.col2")).alias("start"), F.col("best.end").alias("end"),
     )
 
