@@ -280,6 +280,29 @@ def language_rows():
     return [(i, " ".join(rng.choices(words[lang], k=40)), lang) for i, lang in enumerate(sorted(words) * 20)]
 
 
+def test_language_training_counts_copies_once(spark):
+    rng = random.Random(6)
+    words = {"aa": ["brak", "tuno", "skelt", "vrim"], "bb": ["alia", "eona", "uisa", "ola"]}
+    rows = [(f"{' '.join(rng.choices(words[lang], k=30))}", lang) for lang in words for _ in range(300)]
+    copied = spark.createDataFrame(rows, "text string, lang string").unionByName(
+        spark.range(60_000).select(F.lit("zzqx zzqy zzqz").alias("text"), F.lit("bb").alias("lang"))
+    )
+    model = langid.train(copied, training_rows=50)
+    assert model.allowed.any(axis=0).tolist() == [True, True]
+    once = spark.createDataFrame([*rows, ("zzqx zzqy zzqz", "bb")], "text string, lang string")
+    assert np.array_equal(model.scores, langid.train(once, training_rows=50).scores)
+    # Exactly those with the least hashes.
+    least = [
+        x for lang in words
+        for x in sorted({r for r in [*rows, ("zzqx zzqy zzqz", "bb")] if r[1] == lang}, key=lambda r: hashlib.sha256(r[0].encode()).hexdigest())[:50]
+    ]
+    picked = spark.createDataFrame(least, "text string, lang string")
+    assert np.array_equal(model.scores, langid.train(picked).scores)
+    # So far off that the first look finds too few.
+    digests = picked.withColumn("digest", F.sha2("text", 256))
+    assert langid._last_digests(digests, {"aa": 1e-6, "bb": 1e-6}, 20) == langid._last_digests(digests, {"aa": 1.0, "bb": 1.0}, 20)
+
+
 def test_language_spans(spark, wide, none):
     train = spark.createDataFrame(language_rows(), "doc_id bigint, text string, lang string")
     model = langid.train(train)

@@ -21,7 +21,7 @@ from vertexweave.llm.frames import fresh
 from vertexweave.llm.workers import MEMO_ENTRIES, SLICE_BYTES, slices
 
 UNKNOWN = "und"
-# Rows per language that a model is fitted on, at most about; scores hardly change beyond.
+# Different texts per language that a model is fitted on, at most; scores hardly change beyond.
 TRAINING_ROWS = 3000
 # Log-odds that words must bring together before a switch of language pays.
 SWITCH_PENALTY = 12.0
@@ -96,8 +96,31 @@ class LanguageModel:
         return np.where(allowed.any(axis=1, keepdims=True), found, np.float32(0)).astype(np.float32)
 
 
+def _of_lang(values: dict[str, object]) -> Column:
+    return F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("lang")]
+
+
+def _last_digests(rows: DataFrame, shares: dict[str, float], most: int) -> dict[str, str]:
+    """For each language, the digest at place ``most`` in order, or the last if there are fewer.
+
+    Only about ``shares`` of the digests are looked at, and more of a language if that was not enough.
+    """
+    lasts: dict[str, str] = {}
+    while shares:
+        place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint")
+        near = rows.where(place < _of_lang({k: share * 2.0**32 for k, share in shares.items()})).select("lang", "digest")
+        found = near.distinct().groupBy("lang").agg(F.sort_array(F.collect_list("digest")).alias("digests"))
+        n = F.size("digests")
+        for r in found.select("lang", n.alias("n"), F.get("digests", F.least(n, F.lit(most)) - 1).alias("last")).collect():
+            if r["n"] >= most or shares[r["lang"]] >= 1:
+                lasts[r["lang"]] = r["last"]
+        shares = {k: 4 * share for k, share in shares.items() if k not in lasts}
+    return lasts
+
+
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", training_rows: int = TRAINING_ROWS) -> LanguageModel:
-    """A model from rows with a language; about ``training_rows`` of each, chosen by hash.
+    """A model from rows with a language: of each, the ``training_rows`` different texts whose hashes are the least, or
+    all if there are fewer. Copies of a text count once.
 
     Counts are made by tasks and added up by Spark; per language at most
     ``BUCKETS`` of them and one per script come back.
@@ -105,12 +128,14 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # Near enough to know how far to look; what is drawn is exact.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(training_rows / n))])
-    drawn = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    lasts = _last_digests(rows, {k: 1.25 * training_rows / max(1, n) for k, n in sizes.items()}, training_rows)
+    drawn = rows.where(F.col("digest") <= _of_lang(lasts)).dropDuplicates(["lang", "digest"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -134,7 +159,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
 
     counted = (
-        rows.where(drawn).mapInArrow(count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        drawn.mapInArrow(count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     )
     got = counted.toPandas()
     number = got["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy(int)
