@@ -437,6 +437,13 @@ def test_toxicity(spark, docs, wide, none):
     assert {r["toxicity"]["is_toxic"] for r in toxicity.classify(docs, unlabelled).collect()} == {False}
 
 
+def test_stop_words_bind_only_texts_in_their_script(spark):
+    rows = [(1, " ".join(f"слово{chr(1072 + i % 30)}{chr(1072 + i // 30)}" for i in range(80))),
+            (2, " ".join(f"wordy{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)))]
+    got = quality.with_quality(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["quality"]["kept"] for r in got.collect()} == {1: True, 2: False}
+
+
 def test_licenses(spark, docs, wide, none):
     text = "Intro words.\nThis work is licensed  under the GNU General Public\nLicense, version 3.\n" + PROSE + "All rights reserved."
     rows = [(1, text), (2, "Released under the MIT License."), (3, "the gnu is an animal"), (4, None), (5, "Licensed under CC BY-NC 4.0."),

@@ -114,6 +114,7 @@ def _counts(text: Column, words: Column, lines: Column) -> Column:
         "n_repeat_words": _repeat_words(words),
         "n_stop_words": F.size(F.filter(words, lambda x: F.lower(x).isin(STOP_WORDS))),
         "n_exclaimed": F.size(F.filter(words, lambda x: F.endswith(x, F.lit("!!")))),
+        "n_other_script": F.length(F.regexp_replace(text, r"[\P{L}\p{IsLatin}]+", "")),
     }
     return F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()])
 
@@ -150,7 +151,8 @@ def _verdicts(counts: Column, rules: Sequence[Rule], base_rules: Sequence[Rule])
         "percent_repeat_words": _ratio(100 * got["n_repeat_words"], n),
         "mean_word_length": _ratio(got["word_chars"], n),
         "symbols_per_word": _ratio(got["n_symbols"], n),
-        "stop_words_per_word": _ratio(got["n_stop_words"], n),
+        # Null where most is in letters of another script than the list's.
+        "stop_words_per_word": F.when(2 * counts["n_other_script"] <= got["word_chars"], _ratio(got["n_stop_words"], n)),
         "dup_lines_per_line": _ratio(got["n_dup_lines"], got["n_lines"]),
         "exclaimed_per_word": _ratio(got["n_exclaimed"], n),
     }
