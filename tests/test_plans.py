@@ -4,11 +4,12 @@ import re
 from pathlib import Path
 
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from vertexweave import catalog, operators as op, sources as io
 from vertexweave.catalog.graphs import g1
-from vertexweave.plans.skew import spread_lookup
+from vertexweave.plans.skew import spread_lookup, tiled_join
 from vertexweave.plans.storage import clear_scratch, is_stored, stored
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -138,3 +139,26 @@ def test_scratch_is_cleared_on_demand_only(spark, monkeypatch):
     (path,) = storage._paths[spark.sparkContext.applicationId]
     assert Path(path).exists()
     assert clear_scratch(spark) == 1 and not Path(path).exists() and clear_scratch(spark) == 0
+
+
+def test_tasks_for_tiles_follow_pairs_not_tiles(spark):
+    hub = spark.createDataFrame([(1, i) for i in range(300)], "k int, a int")
+    pairs = tiled_join(hub, hub.withColumnRenamed("a", "b"), "k", "a", "b", tile_side=2)
+    assert set(re.findall(r"direct_shuffle_partition_id\(_tile#\d+\), (\d+)\)", initial_plan(pairs))) == {"4"}
+    few = tiled_join(hub, hub.withColumnRenamed("a", "b"), "k", "a", "b", tile_side=2, pairs_per_task=10, most_tasks=50)
+    assert set(re.findall(r"direct_shuffle_partition_id\(_tile#\d+\), (\d+)\)", initial_plan(few))) == {"50"}
+    per_task = few.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 300 * 300
+    assert max(r["count"] for r in per_task) < 4 * 300 * 300 / 50
+
+
+def test_files_of_a_positional_graph_do_not_meet_in_one_task(spark, tmp_path):
+    from vertexweave.sources.positional import _in_order
+
+    files = spark.createDataFrame([(f"file:/x/part-{i:03d}", i) for i in range(50)], "file string, lines bigint")
+    placed = _in_order(files)
+    assert rows(placed) == [(f"file:/x/part-{i:03d}", i * (i - 1) // 2) for i in range(50)]
+    # What meets are totals of ranges.
+    plan = initial_plan(placed).split("== Initial Plan ==")[0]
+    assert len(re.findall("Exchange SinglePartition", plan)) == 1
+    assert re.search(r"Exchange SinglePartition.*\n(?:.*\n){0,3}?.*HashAggregate\(keys=\[range", plan)

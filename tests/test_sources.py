@@ -148,3 +148,9 @@ def test_positional_files_of_mixed_names_fail(spark, tmp_path, other):
     (tmp_path / other).write_text("0\n")
     with pytest.raises(Exception, match="file names of different forms"):
         io.positional_to_edges(spark, str(tmp_path)).collect()
+
+
+def test_positional_files_without_numbers_go_by_name(spark, tmp_path):
+    (tmp_path / "rest.txt").write_text("0 1\n")
+    (tmp_path / "begin.txt").write_text("2\n1\n")
+    assert rows(io.positional_to_edges(spark, str(tmp_path))) == [(0, 1), (1, 0), (1, 1)]

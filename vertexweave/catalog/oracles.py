@@ -290,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
         "blocks_roundtrip": _all_blocks(G3, 1, 1, lone=True),
         "hop_rows_roundtrip": _all_blocks(G3, 1, 3, lone=True),
         "positional_to_edges": _POSITIONAL,
+        "positional_plain_names": _POSITIONAL,
         "positional_counts": (
             "SELECT CAST(count(*) AS INT) AS declared, count(*) AS actual, TRUE AS agrees FROM orders"
         ),
@@ -313,8 +314,6 @@ def oracle_sql() -> dict[str, str]:
         "evb_k2_in": _all_blocks(G2, 2, 2),
         "evb_k2_both": _all_blocks(G2, 3, 2),
         "evb_k2_hubs": _all_blocks(G1, 1, 2),
-        "evb_k2_hubs_both": _all_blocks(f"{G1} AND l_partkey % 16 = l_suppkey % 16", 3, 2),
-        "evb_k2_hubs_tiled": _all_blocks(f"{G1} AND l_partkey % 16 = l_suppkey % 16", 3, 2),
         "evb_k2_hubs_both_whole": _all_blocks(G1, 3, 2),
         "evb_k2_hubs_tiled_whole": _all_blocks(G1, 3, 2),
         "evb_k2_in_lone": _all_blocks(G1, 2, 2, lone=True),

@@ -23,6 +23,11 @@ from vertexweave.plans.storage import is_stored, stored
 
 # Rows of one key met per side in one tile: a tile yields at most the square of it.
 TILE_SIDE = 4096
+# Pairs made by one task, about, and the tasks that a join is given for its pairs, at most.
+PAIRS_PER_TASK = TILE_SIDE**2
+MOST_TASKS = 20_000
+# Groups of keys in which running numbers are summed up on their own.
+KEY_GROUPS = 1024
 # Entries in one packed list.
 SEGMENT_SIZE = 100_000
 # Ids sharing all but their low 16 bits form a block; at most 65,536 blocks of 65,536 ids.
@@ -47,50 +52,89 @@ def tiled_join(
     left_item: str,
     right_item: str,
     tile_side: int = TILE_SIDE,
+    pairs_per_task: int = PAIRS_PER_TASK,
+    most_tasks: int = MOST_TASKS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Inner join on ``key`` in which the pairs of a hot key are made by many tasks.
 
     A key whose pairs exceed ``tile_side`` squared gets its left rows cut into
     ``_l`` parts by ``left_item`` and its right rows into ``_r`` parts by
     ``right_item``. Each row is sent to every part of the other side, so each
-    pair is made exactly once, and the copies are small next to the pairs.
+    pair is made exactly once, and the copies are small next to the pairs. Tiles
+    are numbered through and dealt to tasks in turn. The pairs, not the tiles,
+    set the number of tasks, up to ``most_tasks``. All other keys are joined as
+    they are; a ``right`` table kept in so many ``buckets`` by key stays in place.
 
+    Both sides are read twice if there are hot keys, so they should be stored.
     Runs a job when called: it counts the rows of every key and writes the list
     of hot ones as a table. Spark broadcasts that table if its size allows, and
     sorts and merges otherwise, so the list may be of any length.
     """
     left, right = known(left, [key]), known(right, [key])
-    side, pairs = F.lit(float(tile_side)), F.lit(float(tile_side) ** 2)
+    side, most = F.lit(float(tile_side)), F.lit(float(tile_side) ** 2)
     n, m = F.col("_n"), F.col("_m")
+    pairs, is_hot = n * m, n * m > most
     made = Observation()
     hot = stored(
         _counts(left, [key], "_n")
         .join(_counts(right, [key], "_m"), key)
-        .observe(made, F.sum(n * m).alias("pairs"))
-        .where(n * m > pairs)
+        .observe(
+            made,
+            F.sum(F.when(is_hot, pairs)).alias("hot"),
+            F.sum(F.when(~is_hot, pairs)).alias("cold"),
+        )
+        .where(is_hot)
         .select(
             key,
-            F.ceil(n / F.greatest(side, pairs / m)).cast("int").alias("_l"),
-            F.ceil(m / F.greatest(side, pairs / n)).cast("int").alias("_r"),
+            F.ceil(n / F.greatest(side, most / m)).cast("int").alias("_l"),
+            F.ceil(m / F.greatest(side, most / n)).cast("int").alias("_r"),
         )
     )
-
-    def numbered(rows: DataFrame, item: str, own: str, other: str) -> DataFrame:
-        return rows.join(hot, key, "left").select(
-            *rows.columns, _part(item, own).alias(f"{own}_tile"), _every_part(other).alias(f"{other}_tile")
-        )
+    hot_pairs, cold_pairs = made.get["hot"] or 0, made.get["cold"] or 0
 
     # The work lies in the pairs, not in the rows read, so their number sets
     # that of tasks. Small inputs are not packed into fewer tasks than usual.
-    tile = [key, "_l_tile", "_r_tile"]
     usual = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(usual, ceil((made.get["pairs"] or 0) / tile_side**2))
-    return (
-        numbered(left, left_item, "_l", "_r")
-        .repartition(partitions, *tile)
-        .join(numbered(right, right_item, "_r", "_l"), tile)
-        .drop("_l_tile", "_r_tile")
+
+    def tasks(made: float) -> int:
+        return min(max(usual, ceil(made / pairs_per_task)), max(usual, most_tasks))
+
+    if not hot_pairs:
+        return left.repartition(buckets or tasks(cold_pairs), key).join(right, key)
+    cold = left.join(hot, key, "left_anti").repartition(buckets or tasks(cold_pairs), key).join(right, key)
+    tiles = stored(_numbered_tiles(hot, key))
+    own, other = F.col("_l"), F.col("_r")
+    row = F.col("_first") + _part(left_item, "_l") * other
+    across = F.sequence(row, row + other - 1)
+    column = F.col("_first") + _part(right_item, "_r")
+    down = F.sequence(column, column + (own - 1) * other, other)
+    left_tiles = left.join(tiles, key).select(*left.columns, F.explode(across).alias("_tile"))
+    right_tiles = right.join(tiles, key).select(*[c for c in right.columns if c != key], F.explode(down).alias("_tile"))
+    spread = (
+        left_tiles.repartitionById(tasks(hot_pairs), "_tile")
+        .join(right_tiles.repartitionById(tasks(hot_pairs), "_tile"), "_tile")
+        .drop("_tile")
+    )
+    return cold.unionByName(spread)
+
+
+def _numbered_tiles(hot: DataFrame, key: str) -> DataFrame:
+    """Hot keys with ``_first``, the number of the first of their tiles.
+
+    Numbers are summed up within groups of keys and over the groups; only the
+    totals, one row for each of a fixed number of groups, meet in one task.
+    """
+    grouped = hot.withColumn("_group", F.pmod(F.hash(key), F.lit(KEY_GROUPS))).withColumn("_tiles", F.col("_l") * F.col("_r"))
+    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, 0)
+    starts = (
+        grouped.groupBy("_group")
+        .agg(F.sum("_tiles").alias("_sum"))
+        .select("_group", (F.sum("_sum").over(before) - F.col("_sum")).alias("_start"))
     )
+    within = Window.partitionBy("_group").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("_start") + F.sum("_tiles").over(within) - F.col("_tiles")
+    return grouped.join(starts, "_group").select(key, "_l", "_r", first.cast("int").alias("_first"))
 
 
 def spread_lookup(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from vertexweave.functions.text import strict_int, tokens
 from vertexweave.plans.storage import stored
@@ -45,9 +45,8 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
     The lines of each split are counted and summed up within each file, the
     files' totals are summed up in file order, and each line adds its place in
-    the split. Only the totals, one row for each file, meet in one task. The
-    lines stay where they are read: they look their split up by a short number
-    in a table that is broadcast if its size allows.
+    the split. Only totals of ranges of files meet in one task. The where they are read: they look their split up by a short number in a table
+    that is broadcast if its size allows.
     """
     lines = read_lines(spark, path).select("value", "line.*")
     counted = stored(
@@ -78,21 +77,43 @@ def _split_id() -> Column:
 
 
 def _in_order(files: DataFrame) -> DataFrame:
-    """Add ``before``, the lines in all earlier files."""
+    """Add ``before``, the lines in all earlier files.
+
+    Lines are summed up within ranges of files and over the ranges, of which
+    there are as many as shuffle partitions at most.
+    """
     name = F.element_at(F.split("file", "/"), -1)
-    named = files.select(
-        "file", "lines",
-        F.regexp_extract(name, "^([^0-9]*)[0-9]", 1).alias("prefix"),
-        F.regexp_extract(name, "([0-9]+)", 1).cast("decimal(38, 0)").alias("number"),
+    prefix, number = F.col("prefix"), F.col("number")
+    forms = Observation()
+    ranged = stored(
+        files.select(
+            "file", "lines",
+            F.regexp_extract(name, "^([^0-9]*)[0-9]", 1).alias("prefix"),
+            F.regexp_extract(name, "([0-9]+)", 1).try_cast("decimal(38, 0)").alias("number"),
+        )
+        .observe(
+            forms,
+            (F.min(prefix) == F.max(prefix)).alias("one_prefix"),
+            F.min_by("file", prefix).alias("first"),
+            F.max_by("file", prefix).alias("last"),
+            F.count(number).alias("numbered"),
+            F.count(F.lit(1)).alias("files"),
+        )
+        .repartitionByRange("number", "file")
+        .withColumn("range", F.spark_partition_id())
     )
-    everything = Window.orderBy("number", "file")
-    so_far = everything.rowsBetween(Window.unboundedPreceding, -1)
-    # In this order names without a number come first, so a mix shows in neighbours.
-    last_prefix, last_number = F.lag("prefix").over(everything), F.lag("number").over(everything)
-    mixed = (F.lag("file").over(everything).isNotNull()) & (
-        (last_prefix != F.col("prefix")) | (last_number.isNull() != F.col("number").isNull())
+    seen = forms.get
+    if seen["files"] and not (seen["one_prefix"] and seen["numbered"] in (0, seen["files"])):
+        raise ValueError(
+            f"file names of different forms, so of unknown order: {seen['first']}, {seen['last']}"
+        )
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = (
+        ranged.groupBy("range")
+        .agg(F.sum("lines").alias("in_range"))
+        .select("range", (F.sum("in_range").over(earlier) - F.col("in_range")).alias("start"))
     )
-    mix = F.raise_error(F.concat(F.lit("file names of different forms, so of unknown order: "), F.col("file")))
-    return named.select(
-        "file", F.when(mixed, mix.cast("bigint")).otherwise(F.coalesce(F.sum("lines").over(so_far), F.lit(0))).alias("before")
+    within = Window.partitionBy("range").orderBy("number", "file").rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(starts, "range").select(
+        "file", (F.col("start") + F.sum("lines").over(within) - F.col("lines")).alias("before")
     )
