@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, packing, quality, toxicity, urls
+from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, packing, quality, toxicity, urls, vectors
 from vertexweave.llm.frames import id_and_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": _op1,
@@ -120,6 +124,7 @@ def queries() -> dict[str, Query]:
         "op8_id_files": _op8,
         "op9_minhash_near_dedup": _op9,
         "op10_license_scan": _op10,
+        "op13_embedding_near_dedup": _op13,
     }
 
 
