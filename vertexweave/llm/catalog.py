@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, packing, quality, toxicity, urls, vectors
+from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, negatives, packing, quality, toxicity, urls, vectors
 from vertexweave.llm.frames import id_and_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,13 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    shifted = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", shifted)
+    return negatives.hard_negatives(rows, vec_id % 100 == 0)
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -124,6 +131,7 @@ def queries() -> dict[str, Query]:
         "op8_id_files": _op8,
         "op9_minhash_near_dedup": _op9,
         "op10_license_scan": _op10,
+        "op12_hard_negatives": _op12,
         "op13_embedding_near_dedup": _op13,
     }
 
@@ -191,6 +199,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM digests JOIN groups USING (text_sha256)
 """
 
+_OP12 = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS ints
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+        CAST(list_dot_product(a.ints, b.ints) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+best AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM best JOIN scored USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op6_exact_dedup": _OP6}
+    return {"op1_quality_rules": _OP1, "op6_exact_dedup": _OP6, "op12_hard_negatives": _OP12}
