@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, negatives, packing, quality, toxicity, urls, vectors
+from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, negatives, packing, phrases, quality, toxicity, urls, vectors
 from vertexweave.llm.frames import id_and_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id = F.col("vec_id")
     shifted = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -131,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op8_id_files": _op8,
         "op9_minhash_near_dedup": _op9,
         "op10_license_scan": _op10,
+        "op11_phrase_mining": _op11,
         "op12_hard_negatives": _op12,
         "op13_embedding_near_dedup": _op13,
     }
@@ -199,6 +204,42 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM digests JOIN groups USING (text_sha256)
 """
 
+_OP11 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'
+    )) AS piece FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+    FROM words, (VALUES (1), (2), (3)) AS t(k) WHERE len(ws) >= k
+),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (
+    SELECT lang, phrase, f, c, array_to_string(ws[1:c], ' ') AS head, array_to_string(ws[c + 1:], ' ') AS tail
+    FROM candidates, (VALUES (1), (2)) AS t(c) WHERE c < k
+),
+scored AS (
+    SELECT cuts.lang, cuts.phrase, cuts.f AS a, h.f AS l, t.f AS r,
+        CAST(1000000::HUGEINT * cuts.f * cuts.f // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+    FROM cuts JOIN counts h ON h.lang = cuts.lang AND h.phrase = head JOIN counts t ON t.lang = cuts.lang AND t.phrase = tail
+    QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, c) = 1
+),
+inside AS (
+    SELECT lang, part AS phrase, max(f) AS longer
+    FROM (SELECT lang, f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM candidates WHERE k = 3)
+    GROUP BY lang, part
+),
+ranked AS (
+    SELECT scored.*, row_number() OVER (PARTITION BY scored.lang ORDER BY score DESC, a DESC, scored.phrase) AS rank
+    FROM scored LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 _OP12 = """
 WITH rows AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -226,4 +267,4 @@ QUALIFY rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op6_exact_dedup": _OP6, "op12_hard_negatives": _OP12}
+    return {"op1_quality_rules": _OP1, "op6_exact_dedup": _OP6, "op11_phrase_mining": _OP11, "op12_hard_negatives": _OP12}
