@@ -7,9 +7,10 @@ the next shard on, and through one full round of shards: so it is counted in
 every shard once, and lengths are counted side by side in one scan instead of
 one after the other.
 
-Phrases are not listed beforehand. A task counts those it meets whose parts are
-in bit filters of bounded size; what a filter lets through too early or too
-late is taken off again by the exact steps at which parts reached the threshold.
+These counts are by hash, and phrases are not listed beforehand: a task counts
+those it meets whose parts are in bit filters of bounded size. Both can only
+add to a count. So all frequent phrases are among those that reach the
+threshold, and a last scan counts these, spelled out, exactly.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from vertexweave.plans.storage import scratch_path, stored
 
 UNKNOWN = "und"
 # Occurrences that a phrase has at least, and shards of the documents.
-THRESHOLD, SHARDS = 10, 4
+THRESHOLD, SHARDS = 10, 2
 # Phrases listed for each language.
 TOP = 2000
 # Lists are first cut within so many parts of a language.
@@ -37,8 +38,11 @@ _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Characters that end a piece, and words between blanks and tabs.
 _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")
 _ENDS = [bytes([c]) for c in b".,;:!?\x0A\x0B\x0C\x0D"]
-_CODE_BITS = 21
-_COUNTED = "lang string, words int, phrase string, hash bigint, n bigint"
+# Words handled at a time: three numbers of words in a run fit in 63 bits.
+_RUN_BITS = 21
+_RUN = (1 << _RUN_BITS) - 2
+_HASHED = "words int, hash bigint, n bigint"
+_SPELLED = "lang string, words int, phrase string, n bigint"
 
 
 def _shards(docs: DataFrame, shards: int) -> DataFrame:
@@ -52,93 +56,103 @@ def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
-class _Scan:
-    """Counts what is active in runs of words. ``filters`` are of words, then of pairs: each those that reached the
-    threshold before this step, and those of them that did so no longer ago than a round."""
+class _Run:
+    """Words in order, as numbers, with hashes of them and of the phrases that begin at each place."""
 
-    def __init__(self, singles: bool, filters: list[np.ndarray | None]):
-        self.singles, self.filters = singles, filters
-
-    def texts(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        # A line end keeps documents apart.
-        tokens = _TOKEN.findall(b"\n".join(texts).lower())
-        size = 1 << _CODE_BITS
-        for start in range(0, len(tokens), size):
-            # Runs overlap by two words, which are counted with the run they begin in.
-            some = tokens[start : start + size + 2]
-            yield from self.run(lang, some, min(len(some), size))
-
-    def run(self, lang: str, tokens: list[bytes], own: int) -> Iterator[pa.RecordBatch]:
+    def __init__(self, lang: str, tokens: list[bytes], own: int):
         number = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-        words = list(number)
-        code = np.fromiter(map(number.__getitem__, tokens), np.uint64, len(tokens))
-        is_word = np.ones(len(words), bool)
+        self.lang, self.words, self.own = lang, list(number), own
+        self.code = np.fromiter(map(number.__getitem__, tokens), np.uint64, len(tokens))
+        is_word = np.ones(len(self.words), bool)
         is_word[[number[e] for e in _ENDS if e in number]] = False
-        hashes = np.fromiter(map(_digest, words), np.uint64, len(words))
-        hashes = _mixed(hashes * _MIX1 + np.uint64(_digest(lang.encode("utf-8", "surrogatepass"))))
-        here = is_word[code]
-        if self.singles:
-            yield from _phrases(lang, words, [code[:own][here[:own]]], hashes[code[:own][here[:own]]])
-        if self.filters[0] is None:
-            return
-        early, late = self._held(0, hashes), self._held(1, hashes)
-        first, second = code[:-1], code[1:]
-        pair = here[:-1] & here[1:]
-        pair_hash = _mixed(hashes[first] * _MIX1 + hashes[second] * _MIX2)
-        active = pair & early[first] & early[second] & (late[first] | late[second])
-        active[own:] = False
-        yield from _phrases(lang, words, [first[active], second[active]], pair_hash[active])
-        if self.filters[2] is None or len(code) < 3:
-            return
-        early, late = pair & self._held(2, pair_hash), pair & self._held(3, pair_hash)
-        active = early[:-1] & early[1:] & (late[:-1] | late[1:])
-        active[own:] = False
-        three_hash = _mixed(pair_hash[:-1] * _MIX1 + pair_hash[1:] * _MIX2)
-        yield from _phrases(lang, words, [x[active] for x in (code[:-2], code[1:-1], code[2:])], three_hash[active])
-
-    def _held(self, which: int, hashes: np.ndarray) -> np.ndarray:
-        packed = self.filters[which]
-        if packed is None:
-            return np.zeros(len(hashes), bool)
-        return _has(packed, (hashes & np.uint64(8 * len(packed) - 1)).astype(np.int64))
-
-
-def _phrases(lang: str, words: list[bytes], codes: list[np.ndarray], hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each phrase once, with how often it comes."""
-    if not len(hashes):
-        return
-    if max(int(c.max()) for c in codes) < 1 << _CODE_BITS:
-        key = np.zeros(len(hashes), np.uint64)
-        for c in codes:
-            key = (key << np.uint64(_CODE_BITS)) | c
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-    else:
-        _, at, n = np.unique(np.stack(codes, axis=1), axis=0, return_index=True, return_counts=True)
-    columns = [[words[i] for i in c[at].tolist()] for c in codes]
-    joined = columns[0] if len(columns) == 1 else [b" ".join(x) for x in zip(*columns)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), len(codes), np.int32)),
-         pa.array(joined, pa.binary()).cast(pa.string()), pa.array(hashes[at].view(np.int64)), pa.array(n.astype(np.int64))],
-        ["lang", "words", "phrase", "hash", "n"],
-    )
-
-
-def _counted(shard: DataFrame, singles: bool, filters: list[np.ndarray | None]) -> DataFrame:
-    """What the scan of a shard counts: ``(lang, words, phrase, hash, n)``, summed up."""
+        each = np.fromiter(map(_digest, self.words), np.uint64, len(self.words))
+        each = _mixed(each * _MIX1 + np.uint64(_digest(lang.encode("utf-8", "surrogatepass"))))
+        self.hashes, self.there = [each[self.code]], [is_word[self.code]]
+        for _ in range(2):
+            part, there = self.hashes[-1], self.there[-1]
+            # Each phrase from the hash of all but its last word, and of all but its first.
+            self.hashes.append(_mixed(part[:-1] * _MIX1 + part[1:] * _MIX2))
+            self.there.append(there[:-1] & there[1:])
+
+    def begin_here(self, size: int, chosen: np.ndarray) -> np.ndarray:
+        """Places of phrases that begin in the run's own part."""
+        at = np.flatnonzero(chosen & self.there[size - 1])
+        return at[at < self.own]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
+    for batch in slices(batches):
+        by_lang: dict[str, list[bytes]] = {}
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        for lang, text in zip(batch.column("lang").to_pylist(), texts):
+            by_lang.setdefault(lang, []).append(text)
+        for lang, of_lang in by_lang.items():
+            # A line end keeps documents apart.
+            tokens = _TOKEN.findall(b"\n".join(of_lang).lower())
+            for start in range(0, len(tokens), _RUN):
+                # Runs overlap by two words; what begins there counts in the next one.
+                some = tokens[start : start + _RUN + 2]
+                yield _Run(lang, some, min(len(some), _RUN))
+
+
+def _held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return _has(packed, (hashes & np.uint64(8 * len(packed) - 1)).astype(np.int64))
+
+
+def _hashed(shard: DataFrame, singles: bool, filters: list[np.ndarray | None]) -> DataFrame:
+    """``(words, hash, n)`` of what is active in a shard. ``filters`` are of words, then of pairs: each those that reached
+    the threshold before this step, and those of them that did so no longer ago than a round."""
     shared = shard.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _Scan(singles, shared.value)
-        for batch in slices(batches):
-            by_lang: dict[str, list[bytes]] = {}
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for lang, text in zip(batch.column("lang").to_pylist(), texts):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, of_lang in by_lang.items():
-                yield from scan.texts(lang, of_lang)
+        for r in _runs(batches):
+            active = {1: np.ones(len(r.code), bool)} if singles else {}
+            for size in (2, 3):
+                early, late = shared.value[2 * size - 4 : 2 * size - 2]
+                if early is not None and len(r.code) >= size:
+                    parts = r.hashes[size - 2]
+                    early, late = _held(early, parts), _held(late, parts)
+                    active[size] = early[:-1] & early[1:] & (late[:-1] | late[1:])
+            for size, chosen in active.items():
+                found, n = np.unique(r.hashes[size - 1][r.begin_here(size, chosen)], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
+                    ["words", "hash", "n"],
+                )
+
+    return shard.select("lang", "text").mapInArrow(run, _HASHED)
+
+
+def _spelled(docs: DataFrame, filters: list[np.ndarray | None], least: int) -> DataFrame:
+    """``(lang, words, phrase, n)`` of the phrases in the filters, one for each length, that occur ``least`` times; the
+    number of all words of a language is that of the empty phrase, with no words."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    met = shard.select("lang", "text").mapInArrow(run, _COUNTED)
-    return met.groupBy("lang", "words", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _runs(batches):
+            yield _rows(r.lang, 0, [b""], [int(r.there[0][: r.own].sum())])
+            for size, packed in enumerate(shared.value, 1):
+                if packed is None or len(r.code) < size:
+                    continue
+                at = r.begin_here(size, _held(packed, r.hashes[size - 1]))
+                codes = np.stack([r.code[at + i] for i in range(size)], axis=1).astype(np.int64)
+                key = codes[:, 0]
+                for i in range(1, size):
+                    key = (key << _RUN_BITS) + codes[:, i]
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                columns = [[r.words[c] for c in column] for column in codes[first].T.tolist()]
+                yield _rows(r.lang, size, [b" ".join(x) for x in zip(*columns)], n)
+
+    found = docs.select("lang", "text").mapInArrow(run, _SPELLED)
+    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+
+
+def _rows(lang: str, words: int, phrases: list[bytes], n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(phrases), pa.string()), pa.array([words] * len(phrases), pa.int32()),
+         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+        ["lang", "words", "phrase", "n"],
+    )
 
 
 def _filter(reached: DataFrame, n: int) -> np.ndarray:
@@ -171,66 +185,32 @@ def _filters(known: DataFrame, longest: int, step: int, shards: int) -> list[np.
     return found
 
 
-def _itemsets(docs: DataFrame, longest: int, least: int, shards: int) -> tuple[DataFrame, DataFrame]:
-    """``(lang, words, phrase, n)`` of all phrases of up to ``longest`` words that occur ``least`` times, and
-    ``(lang, n)``, the number of words."""
+def _itemsets(docs: DataFrame, least: int, shards: int) -> DataFrame:
+    """``(lang, words, phrase, n)`` of all phrases of up to three words that occur ``least`` times, and of no words."""
     place = F.pmod(F.xxhash64("text"), F.lit(shards))
     dealt = _shards(docs.select("lang", "text", place.cast("int").alias("shard")), shards)
-    scans: list[DataFrame] = []
-    # Words and pairs so far, and ``at``, the step that brought them to the threshold.
+    # Phrases so far, by hash, and ``at``, the step that brought them to the threshold.
     known: DataFrame | None = None
     step = 0
     while True:
-        singles, filters = step < shards, [None] * (2 * longest - 2)
+        singles, filters = step < shards, [None] * 4
         if known is not None:
-            filters = _filters(known, longest, step, shards)
+            filters = _filters(known, 3, step, shards)
         if not singles and all(f is None for f in filters):
             break
-        scan = stored(_counted(dealt.where(F.col("shard") == step % shards), singles, filters))
-        scans.append(scan.withColumn("step", F.lit(step)))
-        new = scan.where(F.col("words") < longest).withColumn("at", F.lit(None).cast("int"))
-        if known is not None:
-            new = known.unionByName(new)
-        total = new.groupBy("lang", "words", "phrase").agg(
-            F.first("hash").alias("hash"), F.sum("n").alias("n"), F.min("at").alias("at")
+        new = _hashed(dealt.where(F.col("shard") == step % shards), singles, filters).withColumn("at", F.lit(None).cast("int"))
+        total = (new if known is None else known.unionByName(new)).groupBy("words", "hash").agg(
+            F.sum("n").alias("n"), F.min("at").alias("at")
         )
-        reached_now = F.when(F.col("n") >= least, F.lit(step))
-        known = stored(total.withColumn("at", F.coalesce("at", reached_now)))
+        at = F.coalesce("at", F.when(F.col("n") >= least, F.lit(step)))
+        # By now the rounds of shorter phrases are over: those below the threshold stay there.
+        over = F.lit(step) >= shards * F.col("words") - 1
+        known = stored(total.withColumn("at", at).where(F.col("at").isNotNull() | ~over))
         step += 1
-    totals = known.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    return _exact(known, scans, longest, least, shards), totals
-
-
-def _exact(known: DataFrame, scans: list[DataFrame], longest: int, least: int, shards: int) -> DataFrame:
-    """Counts of one full round each. Of a longer phrase, the scans from the step after its parts reached the threshold on."""
-    whole = known.where((F.col("words") == 1) & (F.col("n") >= least)).select("lang", "words", "phrase", "n")
-    for words in range(2, longest + 1):
-        met = scans[0]
-        for scan in scans[1:]:
-            met = met.unionByName(scan)
-        # All steps of a phrase in one row; most phrases do not come often enough in any of them.
-        often = (
-            met.where(F.col("words") == words)
-            .groupBy("lang", "phrase")
-            .agg(F.collect_list(F.struct("step", "n")).alias("seen"), F.sum("n").alias("n"))
-            .where(F.col("n") >= least)
-        )
-        parts = known.where((F.col("words") == words - 1) & F.col("at").isNotNull())
-        first = parts.select("lang", F.col("phrase").alias("head"), F.col("at").alias("head_at"))
-        last = parts.select("lang", F.col("phrase").alias("tail"), F.col("at").alias("tail_at"))
-        begin = F.greatest("head_at", "tail_at")
-        found = (
-            often.withColumn("head", F.substring_index("phrase", " ", words - 1))
-            .withColumn("tail", F.substring_index("phrase", " ", 1 - words))
-            .join(first, ["lang", "head"])
-            .join(last, ["lang", "tail"])
-            .withColumn("begin", begin)
-        )
-        in_round = F.filter("seen", lambda s: (s["step"] > F.col("begin")) & (s["step"] <= F.col("begin") + shards))
-        n = F.aggregate(in_round, F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
-        exact = found.select("lang", F.lit(words).alias("words"), "phrase", n.alias("n")).where(F.col("n") >= least)
-        whole = whole.unionByName(exact)
-    return stored(whole)
+    frequent = known.where(F.col("at").isNotNull())
+    sizes = {r["words"]: r["count"] for r in frequent.groupBy("words").count().collect()}
+    last = [_filter(frequent.where(F.col("words") == w), sizes[w]) if w in sizes else None for w in (1, 2, 3)]
+    return stored(_spelled(dealt, last, least))
 
 
 def collocations(
@@ -260,8 +240,8 @@ def collocations(
     docs = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text")
     ).where(F.col("text").isNotNull() & (F.col("text") != ""))
-    counted, totals = _itemsets(docs, 3, least, shards)
-    phrases = counted.where("words > 1")
+    counted = _itemsets(docs, least, shards)
+    phrases, totals = counted.where("words > 1"), counted.where("words = 0").select("lang", "n")
     cuts = F.transform(
         F.sequence(F.lit(1), F.col("words") - 1),
         lambda k: F.struct(
