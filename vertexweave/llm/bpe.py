@@ -16,17 +16,25 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from vertexweave.llm.workers import SLICE_BYTES, Memo, slices, texts
 
 
+# A blank behind white space: the two are one run, and are not split.
+_RUN_OF_SPACE = re.compile(r"\s ")
+
+
 class Vocabulary:
     """The ranks of a file with lines of a token in base64 and its rank, merged in order of rank."""
 
@@ -42,7 +50,13 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.split = Memo(self._split, 1 << 20)
         self.suit = Memo(self._suit, 1 << 18)
-        self.memo = Memo(self._piece)
+        self.piece_ids = Memo(self._piece)
+        self.word_ids = Memo(self._word)
+        most = max(self.token, default=-1) + 1
+        self.sizes = np.array([len(self.token.get(i, b"")) for i in range(most)], np.int64)
+        self.known = np.array([i in self.token for i in range(most)], bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(most)), np.uint8)
 
     def _split(self, rank: int) -> tuple[int, int] | None:
         """The two tokens of the last merge of a token; itself twice if it is one byte, None if no merges lead to it."""
@@ -81,10 +95,16 @@ class Vocabulary:
                 # A merge on the right is made after those across of equal rank, as merges go from left to right.
                 limit, right = right + 1, second[0]
 
-    def _piece(self, text: str) -> tuple[int, ...]:
+    def _piece(self, text: str) -> bytes:
         data = text.encode("utf-8", "surrogatepass")
         whole = self.rank.get(data)
-        return (whole,) if whole is not None else tuple(self.backtrack(data))
+        return array("i", (whole,) if whole is not None else self.backtrack(data)).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._pieces(" " + word)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece_ids.__getitem__, self.pieces(text)))
 
     def backtrack(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
@@ -118,8 +138,28 @@ class Vocabulary:
                 choice = tried.pop() - 1
         return found
 
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text, four bytes each.
+
+        No piece goes on across a blank behind a character that is not white
+        space, so the ids of a text are those of its words, each with the blank before it.
+        """
+        if _RUN_OF_SPACE.search(text):
+            return self._pieces(text)
+        first, *others = text.split(" ")
+        return self._pieces(first) + b"".join(map(self.word_ids.__getitem__, others))
+
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))))
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and where those of each list begin and end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("an id that the vocabulary lacks")
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], sizes)
+        return self.bytes[at], ends[offsets]
 
 
 @lru_cache(maxsize=2)
@@ -134,8 +174,9 @@ def encode(
     """``docs`` with the ids of the whole text in a further column ``ids_col``, an array of int.
 
     A null or empty text has no ids. Each match of ``pattern`` is encoded by
-    itself, without special tokens. A column of the name ``ids_col`` is
-    replaced; all others stay. Rows are independent of each other.
+    itself, without special tokens. Texts may be of any length. A column of the
+    name ``ids_col`` is replaced; all others stay. Rows are independent of each
+    other, repeated ones too, and an empty table gives an empty one.
     """
     rest = [c for c in docs.columns if c.lower() != ids_col.lower()]
     schema = docs.select(*rest, F.lit(None).cast("array<int>").alias(ids_col)).schema
@@ -143,7 +184,10 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks_path, pattern)
         for batch in slices(batches, SLICE_BYTES // 4):
-            ids = pa.array([words.encode(t) for t in texts(batch, text_col)], pa.list_(pa.int32()))
+            found = [words.encode_bytes(t) for t in texts(batch, text_col)]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [ids], [*rest, ids_col])
 
     return docs.mapInArrow(run, schema)
@@ -152,19 +196,29 @@ def encode(
 def decode(
     docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded"
 ) -> DataFrame:
-    """``docs`` with the bytes that the ids stand for in a further column, binary; null ids give no bytes.
+    """``docs`` with the bytes that the ids stand for in a further column, binary; null or no ids give no bytes.
 
-    An id that the vocabulary lacks fails the job.
+    Lists may be of any length. An id that the vocabulary lacks, or a null
+    among ids, fails the job. A column of the name ``bytes_col`` is replaced;
+    all others stay. Rows are independent of each other, repeated ones too, and
+    an empty table gives an empty one.
     """
     rest = [c for c in docs.columns if c.lower() != bytes_col.lower()]
     schema = docs.select(*rest, F.lit(None).cast("binary").alias(bytes_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(ranks_path, pattern).token
-        for batch in slices(batches):
-            found = [b"".join(map(token.__getitem__, ids or ())) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in rest] + [pa.array(found, pa.binary())], [*rest, bytes_col]
+        words = vocabulary(ranks_path, pattern)
+        for batch in slices(batches, SLICE_BYTES // 4):
+            lists = batch.column(ids_col)
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("a null among ids")
+            # Null lists are empty ones here.
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found, ends = words.decode(flat.to_numpy().astype(np.int64), np.cumsum([0, *sizes]))
+            data = pa.Array.from_buffers(
+                pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found)]
             )
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [data], [*rest, bytes_col])
 
     return docs.mapInArrow(run, schema)
