@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vertexweave.llm.frames import fresh
-from vertexweave.llm.workers import MEMO_ENTRIES, SLICE_BYTES, slices
+from vertexweave.llm.workers import MEMO_ENTRIES, slices
 
 UNKNOWN = "und"
 # Different texts per language that a model is fitted on, at most; scores hardly change beyond.
 TRAINING_ROWS = 3000
+# Languages that a model tells apart, at most: those with most rows.
+MOST_LANGUAGES = 256
 # Log-odds that words must bring together before a switch of language pays.
 SWITCH_PENALTY = 12.0
 _BUCKET_BITS = 16
@@ -32,6 +34,10 @@ _LONGEST_GRAM = 3
 # A language is a candidate for a script if it has at least this part of its letters there.
 _SCRIPT_SHARE = 0.001
 _FORBIDDEN = -50.0
+# The same for all languages, so it favours none; no word of a known script scores above zero.
+_FOREIGN = 1.0
+# Bytes of texts labelled at a time.
+_SLICE = 4 << 20
 
 # First characters of blocks of Unicode, and the script from there on.
 SCRIPTS = (
@@ -81,8 +87,8 @@ class LanguageModel:
     allowed: np.ndarray
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Scores of lower-case words under all languages, relative to the best candidate; zeros where no language
-        is one, or the first character is not a letter."""
+        """Scores of lower-case words under all languages, relative to the best candidate; zeros where the first
+        character is not a letter, and ``_FOREIGN`` where it is one of a script that no language has."""
         found = np.zeros((len(words), len(self.languages)), np.float32)
         if not words or not self.languages:
             return found
@@ -90,10 +96,13 @@ class LanguageModel:
             found += np.add.reduceat(self.scores[buckets], starts, axis=0)
         first = np.array([ord(w[0]) for w in words])
         allowed = self.allowed[_BLOCK_SCRIPT[np.searchsorted(_STARTS, first, side="right") - 1]]
-        allowed &= np.array([w[0].isalpha() for w in words])[:, None]
+        letter = np.array([w[0].isalpha() for w in words])[:, None]
+        some = allowed.any(axis=1, keepdims=True)
+        allowed &= letter
         best = np.where(allowed, found, -np.inf).max(axis=1, keepdims=True)
         found = np.where(allowed, found - best, np.float32(_FORBIDDEN))
-        return np.where(allowed.any(axis=1, keepdims=True), found, np.float32(0)).astype(np.float32)
+        none = np.where(letter & ~some, np.float32(_FOREIGN), np.float32(0))
+        return np.where(some & letter, found, none).astype(np.float32)
 
 
 def _of_lang(values: dict[str, object]) -> Column:
@@ -118,9 +127,17 @@ def _last_digests(rows: DataFrame, shares: dict[str, float], most: int) -> dict[
     return lasts
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", training_rows: int = TRAINING_ROWS) -> LanguageModel:
+def train(
+    rows: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    training_rows: int = TRAINING_ROWS,
+    most_languages: int = MOST_LANGUAGES,
+) -> LanguageModel:
     """A model from rows with a language: of each, the ``training_rows`` different texts whose hashes are the least, or
-    all if there are fewer. Copies of a text count once.
+    all if there are fewer. Copies of a text count once. If there are more than ``most_languages``, those with most
+    rows are learned, of equal ones the first by name. Rows with a null language or text teach nothing; of an empty
+    table comes a model that knows no language.
 
     Counts are made by tasks and added up by Spark; per language at most
     ``BUCKETS`` of them and one per script come back.
@@ -129,7 +146,8 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     # Near enough to know how far to look; what is drawn is exact.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n"), F.count(F.lit(1)).alias("rows"))
+    sizes = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("rows"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
@@ -218,9 +236,12 @@ def identify(
     language of the text is the one whose spans have most letters, ``score``
     their share of all letters; of equal ones the first by name. A null text,
     one without letters, and any text if the model knows no language, has
-    ``und``, score 0 and no spans. Rows do not depend on each other. A column
-    of the name ``language`` in ``docs`` stays, and the struct is then called
-    ``language_``.
+    ``und``, score 0 and no spans. Letters of a script that no learned language
+    has count as those of none: they lower the score, and a text of nothing else
+    has score 0, and as its language the first by name. Texts may be of any
+    length. Rows do not depend on each other, repeated ones get equal labels,
+    and an empty table gives an empty one. A column of the name ``language`` in
+    ``docs`` stays, and the struct is then called ``language_``.
     """
     (result,) = fresh(docs, "language")
     schema = docs.withColumn(result, F.lit(None).cast(_LANGUAGE)).schema
@@ -231,7 +252,7 @@ def identify(
         model = shared.value
         memo: dict[str, bytes] = {}
         # Scores take four bytes per word and language.
-        step = 2 * SLICE_BYTES * 4 // max(4, len(model.languages))
+        step = _SLICE * 4 // max(4, len(model.languages))
         for batch in slices(batches, step):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, _languages(batch.column(text_col).to_pylist(), model, memo, penalty)], [*names, result]
@@ -264,11 +285,13 @@ def _languages(texts: list[str | None], model: LanguageModel, memo: dict[str, by
     labels = viterbi(scores, sizes, penalty)
     owner = np.repeat(np.arange(len(texts)), sizes)
     weight = np.concatenate(letters) if letters else np.zeros(0, np.int64)
+    every = np.bincount(owner, weight, len(texts))
+    weight = np.where(scores[:, 0] == _FOREIGN, 0, weight) if words else weight
     shares = np.bincount(owner * max(1, n_labels) + labels, weight, len(texts) * max(1, n_labels))
     shares = shares.reshape(len(texts), max(1, n_labels))
     some = sizes > 0
     top = shares.argmax(axis=1)
-    score = np.where(some, shares.max(axis=1) / np.maximum(shares.sum(axis=1), 1), 0.0)
+    score = np.where(some, shares.max(axis=1) / np.maximum(every, 1), 0.0)
     named = np.array([*model.languages, UNKNOWN], object)
     lang = named[np.where(some, top, n_labels)]
 
@@ -296,7 +319,9 @@ def keep_known(
 ) -> DataFrame:
     """The rows of ``docs`` in one known language: not ``und``, and with ``least_score`` of their letters in it.
 
-    The model is trained on the rows of ``docs`` that have a language and are not held out.
+    The model is trained on the rows of ``docs`` that have a language and are not held out. Null and empty texts,
+    those without letters, and those mostly in a script that no learned language has, go; repeated rows stay or go
+    together; a null id or language does not matter. If no row has a language, nothing is kept.
     """
     model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
     labelled = identify(docs, model, text_col)
