@@ -3,15 +3,17 @@
 Each text becomes its set of word shingles. One hash function deals the set
 over the bins of a signature, and empty bins borrow from others by optimal
 densification. Bands of bins name buckets; in each bucket, one star of
-candidate edges goes from the smallest member to the others, so a bucket of m
-yields m - 1 pairs. Every candidate is confirmed on the full sets.
+candidate edges goes from the member that is in the fullest buckets to the
+others, so a bucket of m yields m - 1 pairs. Every candidate is confirmed on the full sets.
 
 A star alone could lose links between members that are not linked with its
 centre. Those members, outside the main component of a bucket, are met again
 by their rarest shingles: a text that is linked with one of n shingles, and is
-not much smaller, must have one of a ninth of them, whichever those are. Much
-smaller texts in the bucket are met by size. So every two texts that share a
-bucket are linked, connected or refuted, and no bucket is paired with itself.
+not much smaller, must have one of a ninth of them, whichever those are. Each
+such shingle has stars of its own, from centres that differ from shingle to
+shingle, and so have the sizes of much smaller texts in a bucket. The pairs of
+a star are no more than its members, so pairs grow with the texts and not with
+the square of a group; a link that no star has is lost, unless others make it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vertexweave.llm.exact import SUPPORT
 from vertexweave.llm.frames import id_and_text
 from vertexweave.llm.workers import Memo, slices
+from vertexweave.plans.skew import spread_lookup
 from vertexweave.plans.storage import stored
 
 BANDS, ROWS = 32, 4
@@ -222,7 +225,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: Similarity) -> Dat
     """The pairs ``(a, b)`` whose full sets are similar enough. Sets are made anew, of texts in some pair only."""
     pairs = stored(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Repeated rows with one id have one text or are compared by whichever comes.
     sets = stored(_sets(docs, stored(needed), similarity.shingle))
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -279,9 +281,11 @@ def near_duplicates(
     Texts with the same set are one class, stood for by its smallest id, and
     only that one is compared. Shingles are compared by 64-bit hashes. A pair
     with similarity 0.8 shares no bucket with a probability of 5e-8, and less
-    than two with one of 1e-6.
+    than two with one of 1e-6. That a link is not at a centre of any star is
+    left to measurement: the tests hold the result against all pairs.
     """
-    docs = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    every = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    docs, repeated = _one_text_each(every)
     rows = stored(_signed(docs, similarity.shingle))
     classes = _classes(rows)
     members = stored(
@@ -301,10 +305,27 @@ def near_duplicates(
     thin = classes.select("doc_id", "n_shingles", "rep")
     out = thin.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
-    return out.select(
+    verdicts = out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+    if repeated is None:
+        return verdicts
+    # As many rows for an id as it had.
+    copies = verdicts.join(repeated, "doc_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)))))
+    return copies.select(verdicts.columns)
+
+
+def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with the first text of every id, and ``(doc_id, rows)`` of repeated ids; None if there are none."""
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    repeated = stored(ids.where("rows > 1"))
+    if repeated.isEmpty():
+        return docs, None
+    # No id is null here, and a null text comes first.
+    order = F.struct(F.col("text").isNotNull().alias("some"), "text")
+    one = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(order)["text"].alias("text"))
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(one), repeated
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -326,15 +347,26 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(members: DataFrame) -> DataFrame:
-    """``(bucket, rep, a, members)`` of buckets with more than one member; ``a`` is the smallest."""
+    """``(bucket, rep, weight, a, members)`` of buckets with more than one member.
+
+    ``weight`` is how many members the buckets of a text have together. It is
+    greatest in the middle of a group of near copies, so the centre ``a`` of a
+    bucket is its member of the greatest weight, of equal ones the smallest.
+    """
     buckets = members.select("rep", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members"))
-    return buckets.join(centres.where("members > 1"), "bucket")
+    sizes = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    counts = sizes.select("bucket", F.col("members").cast("double").alias("_n"))
+    # The table comes out of an aggregate, so Spark would leave a hot bucket in one task.
+    shared = stored(spread_lookup(buckets, sizes, "bucket", "rep", _ROWS_PER_TASK, counts).where("members is not null"))
+    weights = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    shared = stored(shared.join(weights, "rep"))
+    centres = stored(shared.groupBy("bucket").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a")))
+    return spread_lookup(shared, centres, "bucket", "rep", _ROWS_PER_TASK, counts)
 
 
 def _star_pairs(shared: DataFrame, members: DataFrame, similarity: Similarity) -> DataFrame:
     """``(a, b, n)``: pairs with the centre of ``n`` buckets, that may be similar enough."""
-    star = shared.where("a < rep").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    star = shared.where("a <> rep").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     return _sketched(star, members, similarity)
 
 
@@ -364,7 +396,7 @@ def _residual_pairs(pairs, shared, members, labels, docs, similarity: Similarity
     sizes = members.select("rep", "n_shingles", "sketch")
     there = stored(
         shared.where("members > 2")
-        .select("bucket", "rep")
+        .select("bucket", "rep", "weight")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )
@@ -395,16 +427,47 @@ def _by_size(there: DataFrame, outside: DataFrame, similarity: Similarity) -> Da
     """Pairs in one bucket of a text outside and one of a lower size class, as far down as similarity goes."""
     steps = int(np.ceil(-np.log(similarity.percent / 100) / np.log(_CLASS_STEP))) + 1
     own = _size_class(F.col("n_shingles"))
-    down = outside.select(
-        "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.struct("n_shingles", "sketch").alias("x"),
-        F.explode(F.sequence(own - steps, own - 1)).alias("size"),
+    down = outside.select("bucket", "rep", "component", "n_shingles", "weight", F.explode(F.sequence(own - steps, own - 1)).alias("size"))
+    others = there.select("bucket", "rep", "component", "n_shingles", "weight", own.alias("size"))
+    return _stars(down, others, ["bucket", "size"], similarity)
+
+
+# Stars of each group.
+_STARS = 2
+
+
+def _stars(askers: DataFrame, others: DataFrame, key: list[str], similarity: Similarity) -> DataFrame:
+    """Pairs ``(a, b)`` of different components and like sizes that have the centre of a group at one end.
+
+    A group is the askers and the others with one ``key``. Its centres are its
+    member of the greatest weight, and the askers that hash least together with
+    the key: these differ from group to group, and a pair that shares several
+    small groups has one of them for centre in some. Rows of a large group are
+    spread over tasks.
+    """
+    names = [*key, "rep", "component", "n_shingles", "weight"]
+    me = F.struct("rep", "component", "n_shingles")
+    centres = [F.min_by(me, F.struct(F.xxhash64("rep", *key, F.lit(star)), "rep")) for star in range(_STARS)]
+    asked = askers.groupBy(*key).agg(F.array(*centres).alias("centres"))
+    rows = stored(askers.select(*names).unionByName(others.select(*names)))
+    middle = rows.groupBy(*key).agg(
+        F.max_by(me, F.struct("weight", -F.col("rep"))).alias("middle"), F.count(F.lit(1)).cast("double").alias("_n")
+    )
+    chosen = stored(
+        asked.join(middle, key).select(*key, F.array_distinct(F.array_append("centres", F.col("middle"))).alias("centres"), "_n")
+    )
+    met = spread_lookup(rows, chosen.drop("_n"), key, "rep", _ROWS_PER_TASK, chosen.select(*key, "_n")).select(
+        "rep", "component", "n_shingles", F.explode("centres").alias("c")
     )
-    others = there.select(
-        "bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.struct("n_shingles", "sketch").alias("y"),
-        own.alias("size"),
+    small, large = F.least("n_shingles", "c.n_shingles"), F.greatest("n_shingles", "c.n_shingles")
+    alike = 100 * small >= similarity.percent * large
+    return met.where((F.col("component") != F.col("c.component")) & alike).select(
+        F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")
     )
-    met = down.join(others, ["bucket", "size"]).where((F.col("ca") != F.col("cb")) & _near(similarity.percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+# Rows of one group that look their centres up in one task.
+_ROWS_PER_TASK = 100_000
 
 
 # Shingles fall into this many counters for their frequency; any order of them would do, a rough one saves pairs.
@@ -412,14 +475,14 @@ _COUNTERS = 1 << 18
 
 
 def _by_rare_shingles(there: DataFrame, outside: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs of a text outside and one of its own size class or a higher one that has some of its rarest shingles.
+    """Pairs of a text outside and one of its own size class or a higher one, met by the rarest shingles of the first.
 
     Let a text have n shingles and another one m. If they are linked, at most
     (n - t m) / (1 + t) of the n are missing in the other, t being the least
     similarity. So of one more than that, taken anyhow, the other has one.
     """
     t = similarity.percent / 100
-    nodes = stored(there.select(F.col("rep").alias("doc_id"), "component", "n_shingles").distinct())
+    nodes = stored(there.select(F.col("rep").alias("doc_id"), "component", "n_shingles", "weight").distinct())
     sets = stored(_sets(docs, nodes, similarity.shingle).join(nodes.select("doc_id"), "doc_id", "left_semi"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,13 +528,10 @@ def _by_rare_shingles(there: DataFrame, outside: DataFrame, docs: DataFrame, sim
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[hit])], ["b", "shingle"])
 
     answers = sets.mapInArrow(answer, "b bigint, shingle bigint")
-    ca, cb = (
-        nodes.select(F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"))
-        for x in "ab"
-    )
-    alike = 100 * F.least("na", "nb") >= similarity.percent * F.greatest("na", "nb")
-    met = rare.join(ca, "a").join(answers.join(cb, "b"), "shingle").where((F.col("ca") != F.col("cb")) & alike)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    texts = nodes.withColumnRenamed("doc_id", "rep")
+    askers = rare.withColumnRenamed("a", "rep").join(texts, "rep")
+    others = answers.withColumnRenamed("b", "rep").join(texts, "rep")
+    return _stars(askers, others, ["shingle"], similarity)
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
