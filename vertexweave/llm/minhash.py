@@ -432,8 +432,8 @@ def _by_size(there: DataFrame, outside: DataFrame, similarity: Similarity) -> Da
     return _stars(down, others, ["bucket", "size"], similarity)
 
 
-# Stars of each group.
-_STARS = 2
+# Stars of each group, beside that of its member of the greatest weight.
+_STARS = 1
 
 
 def _stars(askers: DataFrame, others: DataFrame, key: list[str], similarity: Similarity) -> DataFrame:
