@@ -150,10 +150,10 @@ def _partitioned_segments(size: int) -> str:
     )
 
 
-def _packed_members(key: str, size: int, text: str = "CAST(vertex AS VARCHAR)", order: str = "vertex") -> str:
+def _packed_members(key: str, size: int, text: str = "CAST(vertex AS VARCHAR)", order: str = "vertex", parts: int = 10) -> str:
     rows = _segments("SELECT * FROM members WHERE part BETWEEN 0 AND 9", "part", order, size)
     return (
-        f"{_members(10)} SELECT {key} AS key, segment, string_agg({text}, ' ' ORDER BY {order}) AS members"
+        f"{_members(parts)} SELECT {key} AS key, segment, string_agg({text}, ' ' ORDER BY {order}) AS members"
         f" FROM ({rows}) GROUP BY part, segment"
     )
 
@@ -267,6 +267,18 @@ _POSITIONAL = (
 )
 
 
+def _edge_rejects() -> str:
+    """Lines by shape: the fourth is a comment, the fifth has three tokens, the seventh a bad number."""
+    shapes = {
+        "comment": "l_linenumber = 4",
+        "edge to itself": "l_linenumber = 6 OR (l_linenumber IN (1, 2) AND l_partkey = l_suppkey)",
+        "not a 32-bit integer": "l_linenumber = 7",
+        "not two tokens": "l_linenumber = 5",
+    }
+    counts = [f"SELECT '{reason}' AS reason, count(*) FILTER ({which}) AS lines FROM lineitem" for reason, which in shapes.items()]
+    return " UNION ALL ".join(counts)
+
+
 def oracle_sql() -> dict[str, str]:
     e1, e3 = f"WITH e AS ({G1})", f"WITH e AS ({G3})"
     suppliers_only = f"vertex IN ({SUPPLIERS})"
@@ -276,6 +288,11 @@ def oracle_sql() -> dict[str, str]:
     whole = 100_000
     return {
         "edges_strict": _edges_strict(),
+        "edge_rejects": _edge_rejects(),
+        "hop_rejects": (
+            "SELECT 'neither ! nor @' AS reason, count(*) FILTER (l_linenumber <> 4) AS lines FROM lineitem UNION ALL"
+            " SELECT 'wrong number of tokens', count(*) FILTER (l_linenumber = 4) FROM lineitem"
+        ),
         "edges_raw": _edges_raw(),
         "edges_file": G1,
         "partition_dict": (
@@ -316,6 +333,10 @@ def oracle_sql() -> dict[str, str]:
         "evb_k2_hubs": _all_blocks(G1, 1, 2),
         "evb_k2_hubs_both_whole": _all_blocks(G1, 3, 2),
         "evb_k2_hubs_tiled_whole": _all_blocks(G1, 3, 2),
+        "evb_k2_hubs_bitmaps": _all_blocks(G1, 3, 2),
+        "evb_k3_bitmaps": _all_blocks(G2, 1, 3),
+        "evb_k3_bitmaps_lone": _all_blocks(G3, 1, 3, lone=True),
+        "evb_k3_resumed": _all_blocks(G2, 1, 3),
         "evb_k2_in_lone": _all_blocks(G1, 2, 2, lone=True),
         "evb_k3_out": _all_blocks(G2, 1, 3),
         "evb_k3_sinks": _all_blocks(G3, 1, 3),
@@ -361,6 +382,17 @@ def oracle_sql() -> dict[str, str]:
         "merge_partitions_degree_segments": _packed_members(new_hash, 64, with_degree, text_order),
         "merge_partitions_range": _packed_members("part || '-hash'", whole),
         "unmerged_members": f"{_members(25)} SELECT part, vertex FROM members WHERE part > 9",
+        "replace_members": (
+            "SELECT CAST(NULL AS INT) AS vertex, key, segment, members, CAST(split_part(key, '-', 1) AS INT) AS part"
+            f" FROM ({_packed_members("part || '-hash'", whole, parts=25)}) UNION ALL"
+            f" (WITH e AS ({G1}) SELECT vertex, NULL, NULL, NULL, CAST(vertex % 25 AS INT) FROM ({UNIVERSE})"
+            " WHERE vertex % 25 > 9)"
+        ),
+        "region_read_back": (
+            f"{e1}, u AS ({UNIVERSE}), top AS (SELECT max(vertex) AS id FROM u)"
+            " SELECT * FROM (SELECT vertex, CAST(least(vertex // ((SELECT id FROM top) // 8), 7) AS INT) AS region FROM u)"
+            " WHERE region = 3"
+        ),
         "region_uniform": (
             f"{e1}, u AS ({UNIVERSE}), top AS (SELECT max(vertex) AS id FROM u)"
             " SELECT vertex, CAST(least(vertex // ((SELECT id FROM top) // 8), 7) AS INT) AS region FROM u"

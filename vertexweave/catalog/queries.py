@@ -232,12 +232,50 @@ def _vertices_by_degree(segment_size: int) -> Query:
     return query
 
 
+def _edge_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, counted = io.read_edges_reported(edge_lines(spark, sf_dir, True))
+    stored(edges)
+    return io.rejects(spark, counted)
+
+
+def _hop_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of edges read as hop rows: those of no mark, and marked ones of two tokens or three."""
+    lines = edge_lines(spark, sf_dir, True)
+    marked = F.when(F.col("value").startswith("#"), F.concat(F.lit("! "), "value")).otherwise(F.col("value"))
+    hops, counted = io.read_hop_rows_reported(lines.select(marked.alias("value")))
+    stored(hops)
+    return io.rejects(spark, counted)
+
+
+def _members_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "members")
+    io.write_table(op.partition_members(g1(spark, sf_dir), 25), path, part="part")
+    return op.replace_members(spark, path, 10)
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hops, by a call that finds two of them made."""
+    hops_dir = scratch_path(spark, "hops")
+    op.extended_vertex_blocks(g2(spark, sf_dir), 1, 3, hops_dir=hops_dir)
+    return op.extended_vertex_blocks(g2(spark, sf_dir), 1, 3, hops_dir=hops_dir)
+
+
+def _region_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = g1(spark, sf_dir)
+    top = op.max_vertex_id(edges).first()["max_vertex_id"]
+    path = scratch_path(spark, "regions")
+    io.write_regions(op.assign_region_uniform(op.vertices(edges), 8, top), path, 8)
+    return spark.read.schema("vertex int, region int").parquet(path).where("region = 3")
+
+
 def queries() -> dict[str, Query]:
     members = lambda s, d: op.partition_members(g1(s, d), 10)
     members_degree = lambda s, d: op.partition_members_with_degree(g1(s, d), 10)
     return {
         # reading
         "edges_strict": lambda s, d: io.read_edges(edge_lines(s, d, True)),
+        "edge_rejects": _edge_rejects,
+        "hop_rejects": _hop_rejects,
         "edges_raw": lambda s, d: io.read_edges_raw(edge_lines(s, d, False)),
         "edges_file": _edges_file,
         "partition_dict": _dictionary_last_wins,
@@ -267,6 +305,10 @@ def queries() -> dict[str, Query]:
         "evb_k2_hubs": lambda s, d: op.extended_vertex_blocks(g1(s, d), 1, 2),
         "evb_k2_hubs_both_whole": lambda s, d: op.extended_vertex_blocks(g1(s, d), 3, 2),
         "evb_k2_hubs_tiled_whole": lambda s, d: op.extended_vertex_blocks(g1(s, d), 3, 2, tile_side=4),
+        "evb_k2_hubs_bitmaps": lambda s, d: op.bitmap_blocks(g1(s, d), 3, 2),
+        "evb_k3_bitmaps": lambda s, d: op.bitmap_blocks(g2(s, d), 1, 3),
+        "evb_k3_bitmaps_lone": lambda s, d: op.bitmap_blocks(g3(s, d), 1, 3, keep_lone=True),
+        "evb_k3_resumed": _resumed,
         "evb_k2_in_lone": lambda s, d: op.extended_vertex_blocks(g1(s, d), 2, 2, keep_lone=True),
         "evb_k3_out": lambda s, d: op.extended_vertex_blocks(g2(s, d), 1, 3),
         "evb_k3_sinks": lambda s, d: op.extended_vertex_blocks(g3(s, d), 1, 3),
@@ -311,7 +353,9 @@ def queries() -> dict[str, Query]:
         ),
         "merge_partitions_range": lambda s, d: op.merge_partitions_range(members(s, d), 10),
         "unmerged_members": lambda s, d: unmerged_members(op.partition_members(g1(s, d), 25), 10),
+        "replace_members": _members_replaced,
         "region_uniform": _region_uniform,
+        "region_read_back": _region_read_back,
         "region_hash": lambda s, d: op.assign_region_hash(members(s, d), 4, 10),
         "region_hash_sparse": lambda s, d: op.assign_region_hash(op.partition_members(g1(s, d), 7), 12, 7),
         "region_hash_beyond": lambda s, d: op.assign_region_hash(op.partition_members(g1(s, d), 40), 12, 7),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vertexweave.operators.neighbors import BOTH, check_mode, distinct_neighbors, lone_vertices, neighbors
 from vertexweave.plans.skew import SEGMENT_SIZE, TILE_SIDE, known, segmented_lists, spread_lookup, tiled_join
-from vertexweave.plans.storage import stored
+from vertexweave.plans.storage import committed, stored, stored_buckets
 
 BORDER, INTERIOR = "B", "I"
 
@@ -72,7 +72,7 @@ def merge_hops(hops: Iterable[DataFrame]) -> DataFrame:
 
 
 def extended_vertex_blocks(
-    edges: DataFrame, mode: int, k: int, keep_lone: bool = False, tile_side: int = TILE_SIDE
+    edges: DataFrame, mode: int, k: int, keep_lone: bool = False, tile_side: int = TILE_SIDE, hops_dir: str | None = None
 ) -> DataFrame:
     """Blocks of every anchor that has a neighbour, up to ``k`` hops.
 
@@ -83,12 +83,22 @@ def extended_vertex_blocks(
 
     ``keep_lone`` adds a row of nulls for each vertex without neighbours. Runs
     jobs when called, one or two for each hop from the second.
+
+    With ``hops_dir``, a folder for one graph and mode, finished hops but the
+    last are kept there, and a call finds those of an earlier one that was cut
+    short, or had a lesser ``k``, and goes on from them.
     """
     check_mode(mode)
     if k < 1:
         raise ValueError("k is the number of hops, 1 or more")
     nbrs = distinct_neighbors(edges, mode)
-    blocks = _direct_blocks(nbrs) if k == 1 else _searched_blocks(stored(nbrs), mode, k, tile_side)
+    if k == 1:
+        blocks = _direct_blocks(nbrs)
+    elif hops_dir is None:
+        blocks = _searched_blocks(stored(nbrs), mode, k, tile_side)
+    else:
+        kept = committed(edges.sparkSession, f"{hops_dir}/neighbors", lambda: nbrs)
+        blocks = _searched_blocks(kept, mode, k, tile_side, hops_dir)
     if keep_lone:
         lone = lone_vertices(edges, mode).select(F.col("vertex").alias("anchor"))
         blocks = blocks.unionByName(lone, allowMissingColumns=True)
@@ -104,41 +114,126 @@ def _direct_blocks(nbrs: DataFrame) -> DataFrame:
     )
 
 
-def _searched_blocks(nbrs: DataFrame, mode: int, k: int, tile_side: int) -> DataFrame:
-    links = _marked_links(nbrs, mode)
+def _searched_blocks(nbrs: DataFrame, mode: int, k: int, tile_side: int, hops_dir: str | None = None) -> DataFrame:
+    links, hubs, buckets = _marked_links(nbrs, mode), None, None
     if k > 2:
         links = stored(links)
     reached = links.select(
         F.col("vertex").alias("anchor"), F.col("neighbor").alias("vertex"), F.lit(1).alias("distance"), "open"
     )
+    if k > 2:
+        # Each hop joins with the whole relation, which stays where it is.
+        buckets = int(nbrs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        links, hubs = _bucketed(links, buckets)
     for hop in range(2, k + 1):
         if hop == 2:
             # Every pair is on the frontier, and those that lead nowhere drop out of the join.
             frontier = _direct_blocks(nbrs).select("anchor", "vertex")
         else:
             frontier = reached.where((F.col("distance") == hop - 1) & F.col("open")).select("anchor", "vertex")
-        # Vertices first met in the last hop are border whether they are open
-        # or not, so that hop reads the bare relation.
-        onward = links if hop < k else nbrs.withColumn("open", F.lit(False))
-        met = (
-            tiled_join(frontier, onward, "vertex", "anchor", "neighbor", tile_side=tile_side)
-            .where(F.col("anchor") != F.col("neighbor"))
-            .select("anchor", F.col("neighbor").alias("vertex"), F.lit(hop).alias("distance"), "open")
-        )
-        reached = (
-            reached.unionByName(met)
-            .groupBy("anchor", "vertex")
-            .agg(F.min("distance").alias("distance"), F.max("open").alias("open"))
-        )
-        if hop < k:
+
+        def extended(before: DataFrame = reached, frontier: DataFrame = frontier, hop: int = hop) -> DataFrame:
+            # Vertices first met in the last hop are border whether they are open or not.
+            last = hop == k and buckets is None
+            onward = nbrs.withColumn("open", F.lit(False)) if last else links
+            pairs = tiled_join(frontier, onward, "vertex", "anchor", "neighbor", tile_side=tile_side, buckets=buckets)
+            if hubs is not None:
+                pairs = pairs.unionByName(tiled_join(frontier, hubs, "vertex", "anchor", "neighbor", tile_side=tile_side))
+            met = (
+                pairs.where(F.col("anchor") != F.col("neighbor"))
+                .select("anchor", F.col("neighbor").alias("vertex"), F.lit(hop).alias("distance"), "open")
+            )
+            return (
+                before.unionByName(met)
+                .groupBy("anchor", "vertex")
+                .agg(F.min("distance").alias("distance"), F.max("open").alias("open"))
+            )
+
+        if hop == k:
+            reached = extended()
+        elif hops_dir is None:
             # Read again as frontier and to merge into.
-            reached = stored(reached)
+            reached = stored(extended())
+        else:
+            reached = committed(nbrs.sparkSession, f"{hops_dir}/hop-{hop}", extended)
     interior = (F.col("distance") < k) & F.col("open")
     return reached.select(
         "anchor", "vertex", "distance", F.when(interior, INTERIOR).otherwise(BORDER).alias("type")
     )
 
 
+def _bucketed(links: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | None]:
+    """The relation in buckets by vertex, and apart from it that of hubs, which no one task is to hold; None without any."""
+    degrees = links.groupBy("vertex").agg(F.count(F.lit(1)).alias("_degree"))
+    hubs = stored(degrees.where(F.col("_degree") > SEGMENT_SIZE).select("vertex"))
+    if hubs.isEmpty():
+        return stored_buckets(links, "vertex", buckets), None
+    of_hubs = stored(links.join(hubs, "vertex", "left_semi"))
+    return stored_buckets(links.join(hubs, "vertex", "left_anti"), "vertex", buckets), of_hubs
+
+
+# Anchors that one row has bits for, in words of 64.
+WORDS = 16
+_WORD_BITS, _BLOCK_BITS = 6, 10
+
+
+def bitmap_blocks(edges: DataFrame, mode: int, k: int, keep_lone: bool = False, tile_side: int = TILE_SIDE) -> DataFrame:
+    """The result of :func:`extended_vertex_blocks`, found on sets of anchors as bits.
+
+    A row stands for a vertex and 1,024 anchors with neighbouring ids, and holds
+    a bit for each of those that reach the vertex first at this hop. A hop joins
+    these rows with the neighbour relation and merges bits by ``or``: where many
+    anchors reach the same vertices, that is far less to shuffle than pairs,
+    which are only spelled out at the end. On a sparse graph it is more.
+    """
+    check_mode(mode)
+    if k < 1:
+        raise ValueError("k is the number of hops, 1 or more")
+    nbrs = stored(distinct_neighbors(edges, mode))
+    bits = [f"w{i}" for i in range(WORDS)]
+    anchor = F.col("vertex")
+    word, bit = F.shiftright(anchor, _WORD_BITS).bitwiseAND(WORDS - 1), anchor.bitwiseAND((1 << _WORD_BITS) - 1)
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    first = (
+        nbrs.select(F.col("neighbor").alias("vertex"), F.shiftright(anchor, _BLOCK_BITS).alias("block"), word.alias("word"), mask.alias("mask"))
+        .groupBy("vertex", "block")
+        .agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("mask"))), F.lit(0).cast("bigint")).alias(w) for i, w in enumerate(bits)])
+    )
+    fresh = [stored(first)]
+    seen = fresh[0]
+    for hop in range(2, k + 1):
+        met = tiled_join(fresh[-1], nbrs, "vertex", "block", "neighbor", tile_side=tile_side)
+        both = met.select(
+            F.col("neighbor").alias("vertex"), "block", *bits, *[F.lit(0).cast("bigint").alias(f"seen_{w}") for w in bits]
+        ).unionByName(seen.select("vertex", "block", *[F.lit(0).cast("bigint").alias(w) for w in bits], *[F.col(w).alias(f"seen_{w}") for w in bits]))
+        merged = both.groupBy("vertex", "block").agg(*[F.bit_or(c).alias(c) for w in bits for c in (w, f"seen_{w}")])
+        new = [F.col(w).bitwiseAND(F.bitwise_not(f"seen_{w}")).alias(w) for w in bits]
+        merged = stored(merged)
+        fresh.append(merged.select("vertex", "block", *new).where(reduce(lambda x, y: x | y, [c != 0 for c in new])))
+        seen = merged.select("vertex", "block", *[F.col(w).bitwiseOR(F.col(f"seen_{w}")).alias(w) for w in bits])
+    reached = reduce(DataFrame.unionByName, [rows.withColumn("distance", F.lit(hop)) for hop, rows in enumerate(fresh, 1)])
+    # One row for many pairs: whether a vertex leads on is looked up here.
+    degrees = nbrs.groupBy("vertex").agg(F.count(F.lit(1)).alias("_degree"))
+    typed = spread_lookup(reached, degrees, "vertex", "block")
+    interior = (F.col("distance") < k) & F.col("_degree").isNotNull()
+    words = F.array(*[F.struct(F.lit(i).alias("word"), F.col(w).alias("bits")) for i, w in enumerate(bits)])
+    some = typed.select(
+        "vertex", "block", "distance", F.when(interior, INTERIOR).otherwise(BORDER).alias("type"),
+        F.inline(F.filter(words, lambda x: x["bits"] != 0)),
+    )
+    places = F.filter(
+        F.sequence(F.lit(0), F.lit((1 << _WORD_BITS) - 1)),
+        lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(1) == 1,
+    )
+    start = F.shiftleft("block", _BLOCK_BITS) + F.shiftleft("word", _WORD_BITS)
+    pairs = some.select(start.alias("start"), F.explode(places).alias("place"), "vertex", "distance", "type")
+    blocks = pairs.select((F.col("start") + F.col("place")).alias("anchor"), "vertex", "distance", "type").where("anchor <> vertex")
+    if keep_lone:
+        lone = lone_vertices(edges, mode).select(F.col("vertex").alias("anchor"))
+        blocks = blocks.unionByName(lone, allowMissingColumns=True)
+    return blocks
+
+
 def _marked_links(nbrs: DataFrame, mode: int) -> DataFrame:
     """The relation, with ``open`` telling whether the neighbour has neighbours itself."""
     if mode == BOTH:

@@ -8,10 +8,12 @@ operator is called, as they are read twice, and a job finds the long ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vertexweave.functions.ids import padded, unsigned_order
+from vertexweave.functions.text import strict_int, tokens
 from vertexweave.plans.skew import BLOCK_BITS, SEGMENT_SIZE, segmented_lists, spread_lookup
+from vertexweave.plans.storage import stored
 
 # Ids that agree in this many leading digits form a block when ids sort as texts.
 _TEXT_BLOCK_DIGITS = 5
@@ -50,6 +52,38 @@ def merge_partitions_range(members: DataFrame, n_parts: int, segment_size: int =
     )
 
 
+# Rows of a stored member table, before and after they are packed.
+STORED_MEMBERS = "vertex int, key string, segment int, members string, part int"
+
+
+def stored_members(spark: SparkSession, path: str) -> DataFrame:
+    """``(vertex, key, segment, members, part)`` of a table of members in folders by part.
+
+    A row has a vertex, or is one that :func:`replace_members` put in place of
+    such rows and has the other columns instead.
+    """
+    return spark.read.schema(STORED_MEMBERS).parquet(path)
+
+
+def replace_members(spark: SparkSession, path: str, n_parts: int, segment_size: int = SEGMENT_SIZE) -> DataFrame:
+    """Put the rows of :func:`merge_partitions_range` in place of the member rows they are made of; returns the table.
+
+    The packed rows are written to the shared folder first. Only folders of
+    parts that have some are then replaced, all in the commit of one job: an
+    attempt that fails leaves the old rows, and can be made again. Members that
+    came to a part after it was packed are packed with those already there.
+    """
+    rows = _in_range(stored_members(spark, path), n_parts)
+    listed = F.transform(tokens(F.col("members")), strict_int)
+    vertex = F.explode(F.when(F.col("vertex").isNotNull(), F.array("vertex")).otherwise(listed)).alias("vertex")
+    packed = _packed_ids(rows.select("part", vertex), "part", "vertex", segment_size)
+    key = F.concat(padded(F.col("part"), n_parts), F.lit("-hash")).alias("key")
+    staged = stored(packed.select(F.lit(None).cast("int").alias("vertex"), key, "segment", "members", "part"))
+    ranged = staged.repartitionByRange("part", "segment").sortWithinPartitions("part", "segment")
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return stored_members(spark, path)
+
+
 def unmerged_members(members: DataFrame, n_parts: int) -> DataFrame:
     """The member rows that :func:`merge_partitions_range` leaves in place."""
     return members.where(~F.col("part").between(0, n_parts - 1))

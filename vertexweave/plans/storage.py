@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ SETTING = "spark.checkpoint.dir"
 # Frames that are a stored table as it is, and the paths written for each application.
 _tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 _paths: dict[str, list[str]] = {}
+_names: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,16 +57,51 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
+def stored_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As :func:`stored`, in ``buckets`` files by a hash of ``key``, each sorted by it.
+
+    Joins and aggregates on the key read them without a shuffle, if the other
+    side comes in as many partitions. All rows of a key are in one bucket.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "buckets")
+    name = "vertexweave_" + path.rsplit("-", 1)[1]
+    # One file for each bucket: Spark deals rows to tasks by the same hash.
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).format("parquet").saveAsTable(name)
+    _names.setdefault(spark.sparkContext.applicationId, []).append(name)
+    table = spark.table(name)
+    _tables.add(table)
+    return table
+
+
 def is_stored(df: DataFrame) -> bool:
     """Whether ``df`` is what :func:`stored` returned, so that reading it twice is cheap."""
     return df in _tables
 
 
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote a table to ``path`` ended well."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
+def committed(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; made and written if it is not there as a whole. It is no scratch and stays."""
+    if not is_committed(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    table = spark.read.parquet(path)
+    _tables.add(table)
+    return table
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete all that this application wrote to the shared folder; returns the number of paths.
 
     Call it when no result is read any more. Nothing else in the folder is touched.
     """
+    for name in _names.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"drop table if exists {name}")
     paths = _paths.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:

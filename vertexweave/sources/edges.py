@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from vertexweave.functions.text import (
-    INTEGER_PATTERN, SEPARATOR_PATTERN, TOKEN_SEPARATORS, strict_int, tokens, trim_control,
+    INTEGER_PATTERN, SEPARATOR_PATTERN, TOKEN_SEPARATORS, is_integer, strict_int, tokens, trim_control,
 )
 
 _EDGE_LINE = f"\\A[\\x00-\\x20]*{INTEGER_PATTERN}{SEPARATOR_PATTERN}{INTEGER_PATTERN}[\\x00-\\x20]*\\z"
@@ -31,6 +31,33 @@ def read_edges(lines: DataFrame) -> DataFrame:
     )
 
 
+# Why a line is left out.
+COMMENT, TOKENS, NUMBER, LOOP = "comment", "not two tokens", "not a 32-bit integer", "edge to itself"
+
+
+def read_edges_reported(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    """The edges of :func:`read_edges`, and counts of the lines left out, by reason.
+
+    The counts are made by whatever job first reads all of the edges, in the
+    same pass; :func:`rejects` gives them as a table afterwards.
+    """
+    text = trim_control(F.col("value"))
+    pair = tokens(text)
+    ends = [F.when(is_integer(F.get(pair, F.lit(i))), F.get(pair, F.lit(i)).try_cast("int")) for i in (0, 1)]
+    reason = (
+        F.when(text.startswith("#"), COMMENT)
+        .when(F.size(pair) != 2, TOKENS)
+        .when(F.col("src").isNull() | F.col("dst").isNull(), NUMBER)
+        .when(F.col("src") == F.col("dst"), LOOP)
+    )
+    counted = Observation()
+    parsed = lines.select("value", ends[0].alias("src"), ends[1].alias("dst")).withColumn("reason", reason)
+    observed = parsed.observe(
+        counted, *[F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in (COMMENT, TOKENS, NUMBER, LOOP)]
+    )
+    return observed.where(F.col("reason").isNull()).select("src", "dst"), counted
+
+
 def read_edges_raw(lines: DataFrame) -> DataFrame:
     """Edges as an exploratory scan sees them.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from vertexweave.functions.text import SEPARATOR_PATTERN, strict_int, tokens, trim_control
 
@@ -40,17 +40,40 @@ def read_blocks(lines: DataFrame) -> DataFrame:
     )
 
 
+# Why a hop line is left out.
+MARK, COUNT = "neither ! nor @", "wrong number of tokens"
+
+
 def read_hop_rows(lines: DataFrame) -> DataFrame:
     """Rows of hop lines ``! anchor vertex distance type`` and ``@ anchor``.
 
     Lines with another number of tokens are left out; a lone anchor has nulls.
     """
+    return read_hop_rows_reported(lines)[0]
+
+
+def read_hop_rows_reported(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows of :func:`read_hop_rows`, and counts of the lines left out, by reason, made in the same pass."""
     words = F.split(trim_control(F.col("value")), SEPARATOR_PATTERN)
     hop = (words[0] == "!") & (F.size(words) == 5)
     lone = (words[0] == "@") & (F.size(words) == 2)
-    return lines.where(hop | lone).select(
+    marked = words[0].isin("!", "@")
+    counted = Observation()
+    observed = lines.observe(
+        counted, F.count(F.when(~marked, 1)).alias(MARK), F.count(F.when(marked & ~hop & ~lone, 1)).alias(COUNT)
+    )
+    return _hop_rows(observed.where(hop | lone), words, hop), counted
+
+
+def _hop_rows(lines: DataFrame, words: Column, hop: Column) -> DataFrame:
+    return lines.select(
         strict_int(words[1]).alias("anchor"),
         F.when(hop, strict_int(F.get(words, F.lit(2)))).alias("vertex"),
         F.when(hop, strict_int(F.get(words, F.lit(3)))).alias("distance"),
         F.when(hop, F.get(words, F.lit(4))).alias("type"),
     )
+
+
+def rejects(spark: SparkSession, counted: Observation) -> DataFrame:
+    """``(reason, lines)`` of what a reader left out. Waits for a job that reads all that it kept."""
+    return spark.createDataFrame(sorted(counted.get.items()), "reason string, lines bigint")

@@ -21,6 +21,16 @@ def write_table(df: DataFrame, path: str, part: str | None = None, sort: tuple[s
     ranged.write.partitionBy(part).parquet(path)
 
 
+def write_regions(df: DataFrame, path: str, n_regions: int, region: str = "region", sort: tuple[str, ...] = ("vertex",)) -> None:
+    """Parquet in folders by region, each written by one task as one sorted file.
+
+    The region is the number of the task, so rows take one shuffle without
+    sampling. A region should be sized for a task; readers of some regions read only their folders.
+    """
+    dealt = df.repartitionById(n_regions, F.col(region)).sortWithinPartitions(region, *sort)
+    dealt.write.partitionBy(region).parquet(path)
+
+
 def write_lines(df: DataFrame, path: str, line: str = "line", order: tuple[str, ...] = ()) -> None:
     """One text column as lines; with ``order``, sorted over the files in the order of their names."""
     (df.orderBy(*order) if order else df).select(line).write.text(path)
