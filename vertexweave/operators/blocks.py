@@ -173,14 +173,14 @@ def _bucketed(links: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | No
 
 
 # Anchors that one row has bits for, in words of 64.
-WORDS = 16
-_WORD_BITS, _BLOCK_BITS = 6, 10
+WORDS = 4
+_WORD_BITS, _BLOCK_BITS = 6, 8
 
 
 def bitmap_blocks(edges: DataFrame, mode: int, k: int, keep_lone: bool = False, tile_side: int = TILE_SIDE) -> DataFrame:
     """The result of :func:`extended_vertex_blocks`, found on sets of anchors as bits.
 
-    A row stands for a vertex and 1,024 anchors with neighbouring ids, and holds
+    A row stands for a vertex and 256 anchors with neighbouring ids, and holds
     a bit for each of those that reach the vertex first at this hop. A hop joins
     these rows with the neighbour relation and merges bits by ``or``: where many
     anchors reach the same vertices, that is far less to shuffle than pairs,
