@@ -88,6 +88,21 @@ TEMPLATES = (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         ("mozilla",),
     ),
+    *(
+        Template(
+            license,
+            ("gnu",),
+            f"This {kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} "
+            f"Public License as published by the Free Software Foundation; either version {version} of the License, or "
+            "(at your option) any later version.",
+        )
+        for license, kind, name, version in (
+            ("GPL-2.0", "program", "General", "2"),
+            ("LGPL-2.1", "library", "Lesser General", "2.1"),
+            ("LGPL-3.0", "library", "Lesser General", "3"),
+            ("AGPL-3.0", "program", "Affero General", "3"),
+        )
+    ),
     Template("BSD-3-Clause", ("bsd",), "Released under the BSD 3-Clause License."),
     Template("BSD-2-Clause", ("bsd",), "Released under the BSD 2-Clause License."),
     Template(
@@ -100,6 +115,8 @@ TEMPLATES = (
     Template("CC-BY-SA-4.0", ("cc",), "Licensed under CC BY-SA 4.0."),
     Template("CC-BY-NC-4.0", ("cc",), "Licensed under CC BY-NC 4.0."),
     Template("CC-BY-ND-4.0", ("cc",), "Licensed under CC BY-ND 4.0."),
+    Template("CC-BY-NC-SA-4.0", ("cc",), "Licensed under CC BY-NC-SA 4.0."),
+    Template("CC-BY-NC-ND-4.0", ("cc",), "Licensed under CC BY-NC-ND 4.0."),
     Template("CC0-1.0", ("cc0",), "Dedicated to the public domain under CC0 1.0.", ("cc0",)),
     Template(
         "CC-BY-4.0", ("creative",), "This work is licensed under a Creative Commons Attribution 4.0 International License."
@@ -109,6 +126,28 @@ TEMPLATES = (
 )
 
 
+# Words that make another license of the same notice.
+RIVALS = frozenset((
+    "lesser", "library", "affero", "documentation", "nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike",
+))
+
+
+def _of_another(words: Sequence[str], own: Sequence[str], pairs: list[tuple[int, int]]) -> bool:
+    """Whether the text, where the notice should be, has words that make it one of another license.
+
+    These are rivals that the template lacks, and, if a number of the template
+    is not found, any other number. Where words are missing at either end, as
+    many words of text are looked at.
+    """
+    (first, head), (last, tail) = pairs[0], pairs[-1]
+    there = words[max(0, first - head) : last + len(own) - tail]
+    if any(w in RIVALS and w not in own for w in there):
+        return True
+    aligned = {j for _, j in pairs}
+    lost = any(w.isdigit() and j not in aligned for j, w in enumerate(own))
+    return lost and any(w.isdigit() and w not in own for w in there)
+
+
 def _longest_increasing(values: Sequence[int]) -> list[int]:
     """Places of a longest increasing subsequence of distinct values, by patience piles."""
     tops: list[int] = []
@@ -230,6 +269,8 @@ def scan(
                 pairs = _tight(pairs, density)
                 if len(pairs) < need or template.names and not any(own[j] in template.names for _, j in pairs):
                     continue
+                if _of_another(words, own, pairs):
+                    continue
                 first, last = pairs[0][0], pairs[-1][0]
                 found.add((number, first, last, len(pairs)))
                 if len(pairs) == len(own) == last - first + 1 and first <= at <= last:
@@ -274,7 +315,10 @@ def scan_licenses(
     """``docs`` with an array ``licenses`` of ``license, coverage, start, end`` behind its columns.
 
     ``start`` and ``end`` count characters of the lower-case text. A null or
-    empty text has none. Rows do not depend on each other. A column of the name
+    empty text has none; texts may be of any length. Rows do not depend on each
+    other, repeated ones get equal arrays, and an empty table gives an empty
+    one. A notice whose wording is met but for a word or number that makes it
+    another license is not reported as this one. A column of the name
     ``licenses`` in ``docs`` stays, and the array is then called ``licenses_``.
     """
     (result,) = fresh(docs, "licenses")
