@@ -187,5 +187,6 @@ def _last(rest: DataFrame, capacity: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return rest.coalesce(1).mapInArrow(fit, rest.schema)
+    # The rows are picked where they are, and only those picked meet.
+    return rest.repartition(1).mapInArrow(fit, rest.schema)
 
