@@ -144,6 +144,10 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
 
 
+# Places that ids hash to, to draw by.
+_PLACES = 1 << 30
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -155,18 +159,30 @@ def train(
     """Fit the chain for label columns with 0 and 1, in the order of ``categories``.
 
     Takes at most ``training_rows`` labelled rows, so the table of examples and
-    every task of a fit have a bounded size; folds are fitted side by side. Rows with a null label are left out. Without any
-    labelled row, every probability is one half and no text is in a category.
+    every task of a fit have a bounded size; folds are fitted side by side. Rows
+    with a null label are left out. Of labels that contradict each other for one
+    id, the greater counts, and of texts that repeat an id the first in order.
+    Without any labelled row, every probability is one half and no text is in a
+    category. Texts may be null, empty or of any length.
     """
     label = [F.col(c).cast("double").alias(f"y{j}") for j, c in enumerate(categories)]
     labelled = labels.select(F.col(id_col).alias("doc_id"), *label).dropna()
     turn = F.xxhash64("doc_id")
     # At most training_rows small rows.
-    chosen = stored(labelled.dropDuplicates(["doc_id"]).orderBy(turn, "doc_id").limit(training_rows))
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    # Labels that contradict each other count as the greater one, category by category.
+    names = [f"y{j}" for j in range(len(categories))]
+    labelled = stored(labelled.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names]))
+    n = labelled.count()
+    place = F.pmod(turn, F.lit(_PLACES))
+    # About twice as many as are needed go to one task, and the least of them are taken.
+    near = labelled.where(place < int(2 * training_rows / n * _PLACES) + 1) if n > 2 * training_rows else labelled
+    chosen = stored(near.orderBy(place, turn, "doc_id").limit(training_rows))
+    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    # Of texts that repeat an id, the first in order; at most training_rows are left.
+    rows = texts.groupBy("doc_id", *names).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     fold = F.pmod(F.xxhash64(F.lit(FOLDS), "doc_id"), F.lit(FOLDS)).cast("int")
     rows = rows.select("text", turn.alias("turn"), fold.alias("fold"), *[f"y{j}" for j in range(len(categories))])
-    examples = stored(_featured(rows, len(categories)).dropDuplicates(["turn"]))
+    examples = stored(_featured(rows, len(categories)))
 
     chain = Chain(list(categories), np.zeros((BUCKETS, len(categories)), np.float32))
     found = examples.select("turn", F.array().cast("array<double>").alias("chain"))
