@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vertexweave.llm.minhash import _bitmap, _filter_bits, _has, _mixed
-from vertexweave.llm.workers import slices
+from vertexweave.llm.workers import Memo, slices
 from vertexweave.plans.storage import scratch_path, stored
 
 UNKNOWN = "und"
@@ -59,13 +59,13 @@ def _digest(data: bytes) -> int:
 class _Run:
     """Words in order, as numbers, with hashes of them and of the phrases that begin at each place."""
 
-    def __init__(self, lang: str, tokens: list[bytes], own: int):
+    def __init__(self, lang: str, tokens: list[bytes], own: int, digests: Memo):
         number = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
         self.lang, self.words, self.own = lang, list(number), own
         self.code = np.fromiter(map(number.__getitem__, tokens), np.uint64, len(tokens))
         is_word = np.ones(len(self.words), bool)
         is_word[[number[e] for e in _ENDS if e in number]] = False
-        each = np.fromiter(map(_digest, self.words), np.uint64, len(self.words))
+        each = np.fromiter(map(digests.__getitem__, self.words), np.uint64, len(self.words))
         each = _mixed(each * _MIX1 + np.uint64(_digest(lang.encode("utf-8", "surrogatepass"))))
         self.hashes, self.there = [each[self.code]], [is_word[self.code]]
         for _ in range(2):
@@ -81,6 +81,7 @@ class _Run:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
+    digests = Memo(_digest)
     for batch in slices(batches):
         by_lang: dict[str, list[bytes]] = {}
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -92,7 +93,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
             for start in range(0, len(tokens), _RUN):
                 # Runs overlap by two words; what begins there counts in the next one.
                 some = tokens[start : start + _RUN + 2]
-                yield _Run(lang, some, min(len(some), _RUN))
+                yield _Run(lang, some, min(len(some), _RUN), digests)
 
 
 def _held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
