@@ -8,10 +8,9 @@ others, so a bucket of m yields m - 1 pairs. Every candidate is confirmed on the
 
 A star alone could lose links between members that are not linked with its
 centre. Those members, outside the main component of a bucket, are met again
-by their rarest shingles: a text that is linked with one of n shingles, and is
-not much smaller, must have one of a ninth of them, whichever those are. Each
-such shingle has stars of its own, from centres that differ from shingle to
-shingle, and so have the sizes of much smaller texts in a bucket. The pairs of
+by their rarest shingles: a text that is linked with one of n shingles must
+have one of any n / 5 + 1 of them, whichever those are. Each such shingle has
+stars of its own, from centres that differ from shingle to shingle. The pairs of
 a star are no more than its members, so pairs grow with the texts and not with
 the square of a group; a link that no star has is lost, unless others make it.
 """
@@ -411,25 +410,8 @@ def _residual_pairs(pairs, shared, members, labels, docs, similarity: Similarity
     often = there.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     there = stored(there.join(often, "rep", "left_semi").join(sizes, "rep"))
     outside = there.where(F.col("component") != F.col("main"))
-    found = _by_rare_shingles(there, outside, docs, similarity).unionByName(_by_size(there, outside, similarity))
-    return stored(_sketched(found.distinct(), members, similarity))
-
-
-# Sizes whose logarithms to this base have the same whole part are one class.
-_CLASS_STEP = 1.03
-
-
-def _size_class(n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(_CLASS_STEP))).cast("int")
-
-
-def _by_size(there: DataFrame, outside: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs in one bucket of a text outside and one of a lower size class, as far down as similarity goes."""
-    steps = int(np.ceil(-np.log(similarity.percent / 100) / np.log(_CLASS_STEP))) + 1
-    own = _size_class(F.col("n_shingles"))
-    down = outside.select("bucket", "rep", "component", "n_shingles", "weight", F.explode(F.sequence(own - steps, own - 1)).alias("size"))
-    others = there.select("bucket", "rep", "component", "n_shingles", "weight", own.alias("size"))
-    return _stars(down, others, ["bucket", "size"], similarity)
+    found = _by_rare_shingles(there, outside, docs, similarity).distinct()
+    return stored(_sketched(found, members, similarity))
 
 
 # Stars of each group, beside that of its member of the greatest weight.
@@ -475,13 +457,12 @@ _COUNTERS = 1 << 18
 
 
 def _by_rare_shingles(there: DataFrame, outside: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs of a text outside and one of its own size class or a higher one, met by the rarest shingles of the first.
+    """Pairs of a text outside and another one, met by the rarest shingles of the first.
 
-    Let a text have n shingles and another one m. If they are linked, at most
-    (n - t m) / (1 + t) of the n are missing in the other, t being the least
-    similarity. So of one more than that, taken anyhow, the other has one.
+    If a text of n shingles is linked, the other one has at least ``percent`` %
+    of the n. So of one shingle more than may be missing, taken anyhow, the
+    other has one, whatever its size.
     """
-    t = similarity.percent / 100
     nodes = stored(there.select(F.col("rep").alias("doc_id"), "component", "n_shingles", "weight").distinct())
     sets = stored(_sets(docs, nodes, similarity.shingle).join(nodes.select("doc_id"), "doc_id", "left_semi"))
 
@@ -503,10 +484,7 @@ def _by_rare_shingles(there: DataFrame, outside: DataFrame, docs: DataFrame, sim
             ids, rare = [], []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), batch.column("shingles")):
                 found = found.values.to_numpy()
-                n = len(found)
-                # The smallest size of the class; rounding of logarithms may put a size one lower.
-                least = np.floor(_CLASS_STEP ** np.floor(np.log(n) / np.log(_CLASS_STEP))) - 1
-                k = min(n, int((n - t * least) / (1 + t) + 1e-9) + 1)
+                k = (100 - similarity.percent) * len(found) // 100 + 1
                 few = found[np.argsort(shared.value[_counter(found)], kind="stable")[:k]]
                 rare.append(few)
                 ids.append(np.full(len(few), doc_id, np.int64))
