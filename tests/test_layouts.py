@@ -131,3 +131,42 @@ def test_a_region_is_one_file_and_is_read_alone(spark, tmp_path):
     one = spark.read.schema("vertex int, region int").parquet(path).where("region = 2")
     assert re.search(r"PartitionFilters: \[isnotnull\(region#\d+\), \(region#\d+ = 2\)\]", plan(one))
     assert rows(one) == [(v, 2) for v in range(50, 75)]
+
+
+def scanned(df):
+    """Rows that came out of the scan of a plan without shuffles."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def scattered(spark):
+    """Each key in three rows far from each other, and every stretch of rows with keys from everywhere."""
+    return spark.range(60_000).selectExpr("cast(id as int) vertex", "pmod(xxhash64(id % 20000), 1000000007) neighbor")
+
+
+def test_point_reads_skip_row_groups_by_bloom_filters(spark, tmp_path):
+    frame = scattered(spark)
+    for name, bloom in (("plain", ()), ("bloom", ("neighbor",))):
+        io.write_table(frame, str(tmp_path / name), bloom=bloom, row_group_bytes=20_000)
+    keys = [r["neighbor"] for r in frame.where("vertex in (7, 11000)").collect()]
+    found = {}
+    for name in ("plain", "bloom"):
+        stored_rows = spark.read.schema(frame.schema).parquet(str(tmp_path / name))
+        found[name] = op.read_members(stored_rows, keys, "neighbor")
+    want = rows(frame.where(F.col("neighbor").isin(keys)))
+    assert len(want) == 6 and rows(found["bloom"]) == rows(found["plain"]) == want
+    assert scanned(found["bloom"]) < 0.4 * scanned(found["plain"])
+
+
+def test_point_reads_take_many_keys_none_and_strangers(spark, tmp_path):
+    frame = scattered(spark)
+    io.write_table(frame, str(tmp_path / "t"), bloom=("neighbor",), row_group_bytes=20_000)
+    table = spark.read.schema(frame.schema).parquet(str(tmp_path / "t"))
+    assert rows(op.read_members(table, [])) == []
+    assert rows(op.read_members(table, [5, 5, None, -3, 2**40])) == rows(frame.where("vertex = 5"))
+    many = list(range(0, 50_000, 50))
+    assert rows(op.read_members(table, many)) == rows(frame.where(F.col("vertex").isin(many)))
+    assert "Exchange" not in plan(op.read_members(table, many))
+    with pytest.raises(ValueError, match="at most"):
+        op.read_members(table, range(1001))

@@ -412,6 +412,9 @@ def oracle_sql() -> dict[str, str]:
             " AS region FROM members"
         ),
         "lookup_members": f"{_long(G1, 3)} SELECT * FROM long WHERE {suppliers_only}",
+        "read_members": (
+            f"{_long(G1, 1)} SELECT * FROM long WHERE neighbor IN (SELECT r_regionkey * 17 + 1 FROM region)"
+        ),
         "lookup_stored_members": (
             f"{_members(25)} SELECT vertex, out_degree, part FROM members WHERE part IN (SELECT r_regionkey FROM region)"
         ),

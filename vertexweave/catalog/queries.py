@@ -106,6 +106,15 @@ def _stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.lookup_members(members, regions, "part")
 
 
+def _point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a few suppliers, in a table that is sorted by part."""
+    path = scratch_path(spark, "long")
+    io.write_table(op.adjacency_long(g1(spark, sf_dir), 1), path, bloom=("neighbor",))
+    # One row for each of the regions.
+    named = [r["key"] for r in table(spark, sf_dir, "region").selectExpr("cast(r_regionkey * 17 + 1 as int) key").collect()]
+    return op.read_members(spark.read.schema("vertex int, neighbor int").parquet(path), named, "neighbor")
+
+
 def _stored_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "adjacency")
     io.write_table(op.adjacency(g1(spark, sf_dir), 3), path)
@@ -361,6 +370,7 @@ def queries() -> dict[str, Query]:
         "region_hash_beyond": lambda s, d: op.assign_region_hash(op.partition_members(g1(s, d), 40), 12, 7),
         "lookup_members": lambda s, d: op.lookup_members(op.adjacency_long(g1(s, d), 3), _suppliers(s, d)),
         "lookup_stored_members": _stored_lookup,
+        "read_members": _point_read,
         "lookup_column": _stored_column,
         "lookup_packed": _packed_lookup,
         "lookup_partitioned_key": _partitioned_key_lookup,

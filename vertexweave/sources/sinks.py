@@ -7,18 +7,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vertexweave.functions.text import TOKEN_SEPARATORS
 
 
-def write_table(df: DataFrame, path: str, part: str | None = None, sort: tuple[str, ...] = ("vertex",)) -> None:
+def write_table(
+    df: DataFrame,
+    path: str,
+    part: str | None = None,
+    sort: tuple[str, ...] = ("vertex",),
+    bloom: tuple[str, ...] = (),
+    row_group_bytes: int | None = None,
+) -> None:
     """Parquet, in folders by ``part`` if one is named and sorted within files.
 
     Rows are ranged on part and sort columns together. So a task writes to few
     folders, a large part is written by several tasks, and readers can skip
-    row groups by id.
+    row groups by id. Columns in ``bloom`` get a Bloom filter per row group,
+    as large as their values ask for: reads by keys that are scattered over the
+    files skip row groups by it, where least and greatest values tell nothing.
+    Row groups have about ``row_group_bytes``, if that is given.
     """
-    if part is None:
-        df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.parquet(path)
-        return
-    ranged = df.repartitionByRange(part, *sort).sortWithinPartitions(part, *sort)
-    ranged.write.partitionBy(part).parquet(path)
+    keys = sort if part is None else (part, *sort)
+    writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write
+    for column in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    if bloom:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    if row_group_bytes is not None:
+        writer = writer.option("parquet.block.size", str(row_group_bytes))
+    (writer if part is None else writer.partitionBy(part)).parquet(path)
 
 
 def write_regions(df: DataFrame, path: str, n_regions: int, region: str = "region", sort: tuple[str, ...] = ("vertex",)) -> None:
