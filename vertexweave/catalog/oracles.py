@@ -320,6 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "vertex_blocks": f"{_hops(G2, 1, 1)} SELECT * FROM h1",
         "expand_hop2": f"{_hops(G2, 1, 2)} SELECT * FROM h2",
         "expand_hop2_both": f"{_hops(G2, 3, 2)} SELECT * FROM h2",
+        "expand_hop2_tiled_both": f"{_hops(G2, 3, 2)} SELECT * FROM h2",
         "expand_hop2_tiled": (
             f"WITH e AS ({G1}), nb AS (SELECT DISTINCT vertex, neighbor FROM ({_neighbors(3)})),"
             " h1 AS (SELECT src AS anchor, dst AS vertex, 1 AS distance, 'B' AS type FROM e)"

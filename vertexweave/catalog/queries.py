@@ -306,6 +306,7 @@ def queries() -> dict[str, Query]:
         "expand_hop2": lambda s, d: op.expand_hop(op.vertex_blocks(g2(s, d), 1), g2(s, d), 1, 2),
         "expand_hop2_both": lambda s, d: op.expand_hop(op.vertex_blocks(g2(s, d), 3), g2(s, d), 3, 2),
         "expand_hop2_tiled": lambda s, d: op.expand_hop(op.vertex_blocks(g1(s, d), 1), g1(s, d), 3, 2, tile_side=4),
+        "expand_hop2_tiled_both": lambda s, d: op.expand_hop(op.vertex_blocks(g2(s, d), 3), g2(s, d), 3, 2, tile_side=4),
         "merge_hops": _merged,
         "evb_k1_both": lambda s, d: op.extended_vertex_blocks(g1(s, d), 3, 1),
         "evb_k2_out": lambda s, d: op.extended_vertex_blocks(g2(s, d), 1, 2),
