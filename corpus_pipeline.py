@@ -10,26 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexweave.llm import exact, langid, minhash, packing, quality
+from vertexweave.llm.frames import small_batches
 from vertexweave.plans.storage import stored
 
 
-# Bytes of an Arrow batch on its way to a Python worker.
-_BATCHES, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Set the size of Arrow batches for the session, if it has none of its own.
-
-    A batch lies in several buffers on either side, for every task at once, so
-    long texts in batches of the usual size fill an executor beside its heap.
-    """
-    if spark.conf.get(_BATCHES, None) is None:
-        spark.conf.set(_BATCHES, str(_BATCH_BYTES))
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mostly in one language that the labelled ones teach."""
-    _small_batches(spark)
+    small_batches(spark)
     return langid.keep_known(docs)
 
 
@@ -45,13 +32,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more in shingles of five words."""
-    _small_batches(spark)
+    small_batches(spark)
     return minhash.drop_near_duplicates(docs, similarity=minhash.Similarity(shingle=5, percent=80))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    _small_batches(spark)
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

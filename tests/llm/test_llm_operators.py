@@ -513,3 +513,27 @@ def test_memo_is_bounded():
     memo = Memo(lambda k: k * 2, 10)
     assert [memo[k % 37] for k in range(1000)] == [k % 37 * 2 for k in range(1000)]
     assert len(memo) <= 10 and len(memo.old) <= 10
+
+
+def test_words_remembered_by_the_encoder_are_bounded():
+    # Of either kind up to 800,000 were kept before, in each of four workers of an executor, and texts of any length among them.
+    words = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
+    for memo in (words.word_ids, words.piece_ids):
+        make, memo.make = memo.make, lambda word: b"1234"
+        assert all(memo[f"word{i}"] == b"1234" for i in range(700_000))
+        assert len(memo) + len(memo.old) <= 550_000
+        memo.make = make
+    long = "x" * 100_000
+    assert words.encode(f"a {long}") == words.encode(f"a {long}")
+    assert max(len(w) for memo in (words.word_ids, words.piece_ids) for w in [*memo, *memo.old]) < 1000
+
+
+def test_byte_bpe_query_takes_small_batches(spark):
+    from vertexweave.llm import queries
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    queries()["op3_byte_bpe"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(name)) <= 8 << 20
+    spark.conf.unset(name) if before is None else spark.conf.set(name, before)

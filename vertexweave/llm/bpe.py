@@ -31,6 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 from vertexweave.llm.workers import SLICE_BYTES, Memo, slices, texts
 
 
+# Entries in each half of a memo: of words and of pieces, which are mostly met once, and of pairs of neighbours.
+_WORDS, _PAIRS = 1 << 18, 1 << 18
+# Bytes of texts or ids handled at a time. Encoding and decoding may run side by side in every slot of an executor.
+_SLICE = SLICE_BYTES // 8
 # A blank behind white space: the two are one run, and are not split.
 _RUN_OF_SPACE = re.compile(r"\s ")
 
@@ -49,10 +53,11 @@ class Vocabulary:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.split = Memo(self._split, 1 << 20)
-        self.suit = Memo(self._suit, 1 << 18)
-        self.piece_ids = Memo(self._piece)
-        self.word_ids = Memo(self._word)
         most = max(self.token, default=-1) + 1
+        self.most = most
+        self.suit = Memo(self._suit, _PAIRS)
+        self.piece_ids = Memo(self._piece, _WORDS)
+        self.word_ids = Memo(self._word, _WORDS)
         self.sizes = np.array([len(self.token.get(i, b"")) for i in range(most)], np.int64)
         self.known = np.array([i in self.token for i in range(most)], bool)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -73,13 +78,14 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return self.rank[parts[0]], self.rank[parts[1]]
 
-    def _suit(self, pair: tuple[int, int]) -> bool:
+    def _suit(self, pair: int) -> bool:
         """Whether encoding the bytes of both gives both: no merge across the border comes before theirs.
+        The pair is one number, the left rank times ``most`` plus the right one.
 
         Undoes the merges on both sides of the border, latest first, and looks
         for a token across it that would have come earlier.
         """
-        left, right = pair
+        left, right = divmod(pair, self.most)
         limit = 1 << 62
         while True:
             across = self.rank.get(self.token[left] + self.token[right])
@@ -110,7 +116,7 @@ class Vocabulary:
         """Token ids of one piece."""
         n = len(data)
         starts: list[list[int]] = [[] for _ in range(n)]
-        token, split, suit = self.token, self.split, self.suit
+        token, split, suit, most = self.token, self.split, self.suit, self.most
         for end, rank in self.automaton.iter(data.decode("latin-1")):
             if split[rank] is not None:
                 # Ends come in ascending order, so the longest match is last.
@@ -122,7 +128,7 @@ class Vocabulary:
         while at < n:
             while choice >= 0:
                 rank = starts[at][choice]
-                if not dead[at + len(token[rank])] and (not found or suit[found[-1], rank]):
+                if not dead[at + len(token[rank])] and (not found or suit[found[-1] * most + rank]):
                     break
                 choice -= 1
             if choice >= 0:
@@ -183,7 +189,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks_path, pattern)
-        for batch in slices(batches, SLICE_BYTES // 4):
+        for batch in slices(batches, _SLICE):
             found = [words.encode_bytes(t) for t in texts(batch, text_col)]
             ends = np.cumsum([0, *map(len, found)]) // 4
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
@@ -208,7 +214,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks_path, pattern)
-        for batch in slices(batches, SLICE_BYTES // 4):
+        for batch in slices(batches, _SLICE):
             lists = batch.column(ids_col)
             flat = lists.flatten()
             if flat.null_count:
