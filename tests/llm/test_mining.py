@@ -270,3 +270,15 @@ def test_words_of_another_license(text, found):
 def test_no_notice_is_named_after_another():
     for own in licenses.TEMPLATES:
         assert {m.license for m in licenses.scan(own.text)} == {own.license}
+
+
+def test_words_are_spelled_out_a_part_at_a_time(spark, monkeypatch):
+    # All words of a slice lay in one list before, beside their numbers.
+    monkeypatch.setattr(phrases, "_SPELLED_OUT", 16)
+    text = b"some words here, and  there.\nThen " * 50 + b"x" * 200
+    parts = list(phrases._words(text))
+    assert [w for part in parts for w in part] == phrases._TOKEN.findall(text)
+    assert max(map(len, parts)) < 20
+    rows = some_rows(7)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(map(tuple, phrases.collocations(docs, least=4, top=40).collect())) == plain_phrases(rows, 4, 40)

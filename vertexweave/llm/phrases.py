@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vertexweave.llm.minhash import _bitmap, _filter_bits, _has, _mixed
-from vertexweave.llm.workers import Memo, slices
+from vertexweave.llm.workers import SLICE_BYTES, Memo, slices
 from vertexweave.plans.storage import scratch_path, stored
 
 UNKNOWN = "und"
@@ -41,6 +41,13 @@ _ENDS = [bytes([c]) for c in b".,;:!?\x0A\x0B\x0C\x0D"]
 # Words handled at a time: three numbers of words in a run fit in 63 bits.
 _RUN_BITS = 21
 _RUN = (1 << _RUN_BITS) - 2
+# Characters of which the words are spelled out at a time, about; from then on they are numbers.
+_SPELLED_OUT = 1 << 18
+_SEPARATOR = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
+# Digests that a task remembers, in each half of its memo.
+_DIGESTS = 100_000
+# Bytes of texts of which the counts go on together, about.
+_SLICE = SLICE_BYTES
 _HASHED = "words int, hash bigint, n bigint"
 _SPELLED = "lang string, words int, phrase string, n bigint"
 
@@ -56,13 +63,19 @@ def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
+class _Numbers(dict):
+    """Words numbered in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 class _Run:
     """Words in order, as numbers, with hashes of them and of the phrases that begin at each place."""
 
-    def __init__(self, lang: str, tokens: list[bytes], own: int, digests: Memo):
-        number = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-        self.lang, self.words, self.own = lang, list(number), own
-        self.code = np.fromiter(map(number.__getitem__, tokens), np.uint64, len(tokens))
+    def __init__(self, lang: str, number: _Numbers, code: np.ndarray, own: int, digests: Memo):
+        self.lang, self.words, self.code, self.own = lang, list(number), code, own
         is_word = np.ones(len(self.words), bool)
         is_word[[number[e] for e in _ENDS if e in number]] = False
         each = np.fromiter(map(digests.__getitem__, self.words), np.uint64, len(self.words))
@@ -80,20 +93,57 @@ class _Run:
         return at[at < self.own]
 
 
+def _words(data: bytes) -> Iterator[list[bytes]]:
+    """Words and ends of pieces in order, those of about ``_SPELLED_OUT`` characters at a time."""
+    start = 0
+    while start < len(data):
+        end = _SEPARATOR.search(data, start + _SPELLED_OUT)
+        end = end.end() if end else len(data)
+        yield _TOKEN.findall(data, start, end)
+        start = end
+
+
+def _runs_of(lang: str, data: bytes, digests: Memo) -> Iterator[_Run]:
+    number, codes, n = _Numbers(), [], 0
+    for tokens in _words(data):
+        while tokens:
+            if n == _RUN + 2:
+                # Runs overlap by two words; what begins there counts in the next one.
+                whole = np.concatenate(codes)
+                yield _Run(lang, number, whole, _RUN, digests)
+                words = list(number)
+                last = [words[c] for c in whole[-2:].tolist()]
+                number = _Numbers()
+                codes, n = [np.array([number[w] for w in last], np.uint32)], 2
+            some, tokens = tokens[: _RUN + 2 - n], tokens[_RUN + 2 - n :]
+            codes.append(np.fromiter(map(number.__getitem__, some), np.uint32, len(some)))
+            n += len(some)
+    if n:
+        yield _Run(lang, number, np.concatenate(codes), n, digests)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
-    digests = Memo(_digest)
-    for batch in slices(batches):
-        by_lang: dict[str, list[bytes]] = {}
+    digests = Memo(_digest, _DIGESTS)
+    for by_lang in _gathered(batches):
+        while by_lang:
+            lang, of_lang = by_lang.popitem()
+            # A line end keeps documents apart.
+            yield from _runs_of(lang, b"\n".join(of_lang).lower(), digests)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
+    """Texts by language, of as many batches as have ``_SLICE`` bytes together."""
+    by_lang: dict[str, list[bytes]] = {}
+    held = 0
+    for batch in slices(batches, _SLICE):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         for lang, text in zip(batch.column("lang").to_pylist(), texts):
             by_lang.setdefault(lang, []).append(text)
-        for lang, of_lang in by_lang.items():
-            # A line end keeps documents apart.
-            tokens = _TOKEN.findall(b"\n".join(of_lang).lower())
-            for start in range(0, len(tokens), _RUN):
-                # Runs overlap by two words; what begins there counts in the next one.
-                some = tokens[start : start + _RUN + 2]
-                yield _Run(lang, some, min(len(some), _RUN), digests)
+        held += batch.nbytes
+        if held >= _SLICE:
+            yield by_lang
+            by_lang, held = {}, 0
+    yield by_lang
 
 
 def _held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
