@@ -117,3 +117,13 @@ def test_run_gives_the_rows_of_the_stages(spark, steps):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     assert rows(corpus_pipeline.run(spark, SF_DIR)) == rows(steps[5])
+
+
+def test_words_that_the_language_stage_keeps_are_bounded():
+    # 400,000 were kept in every task before, and texts of 4 MB were in words at a time.
+    model = langid.LanguageModel(["aa"], np.zeros((langid.BUCKETS, 1), np.float32), np.ones((len(langid._NAMES), 1), bool))
+    memo = {}
+    for start in range(0, 400_000, 50_000):
+        langid._remember(memo, [[f"w{i}" for i in range(start, start + 50_000)]], model)
+        assert len(memo) <= 250_000
+    assert langid._SLICE <= 2 << 20

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vertexweave.llm.frames import fresh
-from vertexweave.llm.workers import MEMO_ENTRIES, slices
+from vertexweave.llm.workers import slices
 
 UNKNOWN = "und"
 # Different texts per language that a model is fitted on, at most; scores hardly change beyond.
@@ -37,7 +37,9 @@ _FORBIDDEN = -50.0
 # The same for all languages, so it favours none; no word of a known script scores above zero.
 _FOREIGN = 1.0
 # Bytes of texts labelled at a time.
-_SLICE = 4 << 20
+_SLICE = 2 << 20
+# Words whose scores a task remembers, and new ones that are scored together.
+_WORDS, _TOGETHER = 200_000, 50_000
 
 # First characters of blocks of Unicode, and the script from there on.
 SCRIPTS = (
@@ -166,9 +168,10 @@ def train(
                 continue
             times = np.array([counter[w] for w in known])
             found = np.zeros(BUCKETS, np.int64)
-            for buckets, starts in grams(known):
-                each = np.repeat(times, np.diff(np.append(starts, len(buckets))))
-                found += np.bincount(buckets, each, BUCKETS).astype(np.int64)
+            for at in range(0, len(known), _TOGETHER):
+                for buckets, starts in grams(known[at : at + _TOGETHER]):
+                    each = np.repeat(times[at : at + _TOGETHER], np.diff(np.append(starts, len(buckets))))
+                    found += np.bincount(buckets, each, BUCKETS).astype(np.int64)
             block = np.searchsorted(_STARTS, [ord(w[0]) for w in known], side="right") - 1
             letters = times * np.array([len(w) for w in known])
             script = np.bincount(_BLOCK_SCRIPT[block], letters, len(_NAMES)).astype(np.int64)
@@ -263,11 +266,11 @@ def identify(
 
 def _remember(memo: dict[str, bytes], lists: list[list[str]], model: LanguageModel) -> None:
     """Add the scores of all words of a batch; those that are new are computed together."""
-    if len(memo) >= MEMO_ENTRIES:
+    if len(memo) >= _WORDS:
         memo.clear()
     new = sorted(set().union(*lists) - memo.keys())
-    for start in range(0, len(new), 50_000):
-        some = new[start : start + 50_000]
+    for start in range(0, len(new), _TOGETHER):
+        some = new[start : start + _TOGETHER]
         data, size = model.words(some).tobytes(), 4 * len(model.languages)
         memo.update((w, data[i * size : (i + 1) * size]) for i, w in enumerate(some))
 
