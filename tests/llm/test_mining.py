@@ -282,3 +282,56 @@ def test_words_are_spelled_out_a_part_at_a_time(spark, monkeypatch):
     rows = some_rows(7)
     docs = spark.createDataFrame(rows, "text string, lang string")
     assert sorted(map(tuple, phrases.collocations(docs, least=4, top=40).collect())) == plain_phrases(rows, 4, 40)
+
+
+def test_counts_of_phrases_lie_together(spark, monkeypatch):
+    # A row for each phrase, and more for each task, went through every shuffle and table before.
+    sent = []
+    monkeypatch.setattr(phrases, "stored", lambda df, keep=phrases.stored: sent.append(keep(df)) or sent[-1])
+    rng = random.Random(1)
+    rows = [(" ".join(f"w{rng.randint(0, 3000)}" for _ in range(100)), "en") for _ in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert sorted(map(tuple, phrases.collocations(docs, least=3, top=40).collect())) == plain_phrases(rows, 3, 40)
+    parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
+    assert sent and all(t.count() <= 3 * parts for t in sent[:-1])
+
+
+ODD = b"some words  here,and\tthere.\n\x00 \xc3\x9c " * 40 + b"x" * 200 + b" x " + b"y" * 41 + b".. end" + b"z" * 500
+
+
+@pytest.mark.parametrize("at_once,long", [(16, 8), (16, 300), (1, 1), (1 << 18, 1 << 12)])
+@pytest.mark.parametrize("text", [ODD, b" ", b".", b"x", b"x" * 400, b" " * 50 + b"a"])
+def test_words_by_their_places(monkeypatch, text, at_once, long):
+    monkeypatch.setattr(phrases, "_SPELLED_OUT", at_once)
+    monkeypatch.setattr(phrases, "_LONG", long)
+    found = [(text[s : s + n], p) for part in phrases._spans(text) for s, n, p in zip(*(x.tolist() for x in part))]
+    assert [w for w, _ in found] == phrases._TOKEN.findall(text)
+    # A print for each word, and a word for each print.
+    assert len({w for w, _ in found}) == len(set(found)) == len({p for _, p in found})
+
+
+@pytest.mark.parametrize("alike", [False, True])
+@pytest.mark.parametrize("long", [2, 1 << 12])
+def test_words_with_one_print_are_told_apart(monkeypatch, alike, long):
+    # Prints only say which words may be the same.
+    if alike:
+        monkeypatch.setattr(phrases, "_BYTES", np.ones(256, np.uint64))
+        monkeypatch.setattr(phrases, "_digest", len)
+    monkeypatch.setattr(phrases, "_LONG", long)
+    monkeypatch.setattr(phrases, "_AT_ONCE", 64)
+    text = b"ab  cd\tab. cd abcde abcdf, " * 30
+    (run,) = phrases._runs_of("en", text)
+    assert [run.words[c] for c in run.code.tolist()] == phrases._TOKEN.findall(text)
+    codes = np.array([[run.code[0], run.code[1], -1], [-1, -1, -1], [run.code[4], run.code[5], run.code[6]], [run.code[2], -1, -1]])
+    data, sizes = run.spelled(codes)
+    assert (data.tobytes(), sizes.tolist()) == (b"ab cdcd abcde abcdfab", [5, 0, 14, 2])
+
+
+@pytest.mark.parametrize("parts", [1, 3, 408, 12000])
+def test_hashes_fall_in_one_part_each(parts):
+    edge = [x for i in (1, 2, parts - 1) for x in ((i << 64) // parts - 1, (i << 64) // parts, (i << 64) // parts + 1)]
+    rng = random.Random(parts)
+    hashes = sorted({0, 2**64 - 1, *(x % 2**64 for x in edge), *(rng.randrange(2**64) for _ in range(1000))})
+    there, begin = phrases._dealt(np.array(hashes, np.uint64), parts)
+    got = [p for p, a, b in zip(there.tolist(), begin[:-1].tolist(), begin[1:].tolist()) for _ in range(b - a)]
+    assert got == [(h >> 32) * parts >> 32 for h in hashes]
