@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, packing, quality, toxicity, urls
+from vertexweave.llm import bpe, exact, idfiles, langid, licenses, minhash, packing, quality, tokens, toxicity, urls
 from vertexweave.llm.tokens import byte_ids, tokenizer, word_ids
 from vertexweave.llm.workers import Memo
 
@@ -231,6 +231,18 @@ def test_chunked_ids_equal_those_of_whole_texts(path, make):
         assert encode(text) == np.array(whole, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("path,make", [(BYTE_BPE, byte_ids), (WORD_BPE, word_ids)])
+def test_signs_behind_letters_are_encoded_as_in_whole_texts(path, make):
+    rng = random.Random(7)
+    encode = make(path)
+    for _ in range(3000):
+        letters = "".join(rng.choices("abtsmZÀßÿé", k=rng.randint(1, 6)))
+        signs = "".join(rng.choices("!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~,.", k=rng.randint(0, 4)))
+        text = rng.choice(["", "x ", "x\n"]) + letters + signs + rng.choice(["", " y", "<|endoftext|>", "'s"])
+        whole = tokenizer(path).encode(text, add_special_tokens=False).ids
+        assert encode(text) == np.array(whole, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_go_back(kind):
     rng = np.random.default_rng(1)
@@ -528,6 +540,25 @@ def test_words_remembered_by_the_encoder_are_bounded():
     assert max(len(w) for memo in (words.word_ids, words.piece_ids) for w in [*memo, *memo.old]) < 1000
 
 
+def test_words_remembered_by_packing_are_bounded(monkeypatch):
+    # Up to 800,000 were kept before, in each of the workers of an executor, whose memory ran out in the pipeline.
+    memos = []
+
+    class Watched(Memo):
+        def __init__(self, *args):
+            super().__init__(*args)
+            memos.append(self)
+
+    monkeypatch.setattr(tokens, "Memo", Watched)
+    tokens._memo.cache_clear()
+    encode = word_ids(WORD_BPE)
+    tokens._memo.cache_clear()
+    (memo,) = memos
+    memo.make = lambda word: b"1234"
+    assert all(encode(" ".join(f"word{i}" for i in range(at, at + 1000))) == b"1234" * 1000 for at in range(0, 500_000, 1000))
+    assert len(memo) + len(memo.old) <= 200_000
+
+
 def test_byte_bpe_query_takes_small_batches(spark):
     from vertexweave.llm import queries
 

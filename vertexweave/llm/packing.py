@@ -31,6 +31,8 @@ CAPACITY = 2048
 END_ID = 1
 # A sequence may be left unfilled by this part of its capacity before a document is cut for it.
 GAP = 1 / 64
+# Bytes of texts handled at a time.
+_SLICE = 2 << 20
 
 # Sequence numbers: those of workers hold the task and a count, the others start beyond them.
 _TASK_BITS = 36
@@ -97,7 +99,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, ga
         task = TaskContext.get().partitionId()
         encode, bins, end = word_ids(tokenizer_path), _Bins(task, capacity), end_id.to_bytes(4, "little")
         lengths = {}
-        for batch in slices(batches):
+        for batch in slices(batches, _SLICE):
             done = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
                 ids = encode(text) + end

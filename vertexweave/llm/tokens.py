@@ -14,7 +14,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-from vertexweave.llm.workers import Memo
+from vertexweave.llm.workers import MEMO_ENTRIES, Memo
 
 # Words up to a comma or full stop behind a letter or digit that no normalisation changes but for its case, else up
 # to white space; a blank goes with what follows.
@@ -26,6 +26,10 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
 # One run of such letters.
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Such letters, and ASCII signs behind them: both vocabularies split there, but for an apostrophe.
+_SIGNED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+# Words whose ids a worker remembers for a vocabulary that drops white space, in each half of its memo.
+_WORDS = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -55,26 +59,30 @@ def _encode_chunk(path: str) -> Callable[[str], bytes]:
     """One run of letters goes to the merges of the tokenizer at once, as it would be split off anyway."""
     whole, tok, letters = _encode(path), tokenizer(path), _byte_letters()
     merge = tok.model.tokenize
-    normal = tok.normalizer.normalize_str if tok.normalizer else str
+    # All that normalisation does to such letters.
+    cased = str.lower if tok.normalizer and tok.normalizer.normalize_str("A") == "a" else str
 
     def encode(chunk: str) -> bytes:
-        if not _LETTERS.fullmatch(chunk):
-            return whole(chunk)
-        mapped = normal(chunk).encode().decode("latin-1").translate(letters)
+        mapped = cased(chunk)
+        if not (chunk.isascii() and chunk.isalpha()):
+            if not _LETTERS.fullmatch(chunk):
+                signed = _SIGNED.fullmatch(chunk)
+                return encode(signed[1]) + whole(signed[2]) if signed else whole(chunk)
+            mapped = mapped.encode().decode("latin-1").translate(letters)
         return array("I", [token.id for token in merge(mapped)]).tobytes()
 
     return encode
 
 
 @lru_cache(maxsize=4)
-def _memo(path: str) -> Memo:
+def _memo(path: str, entries: int = MEMO_ENTRIES) -> Memo:
     """The same through all tasks of a worker process."""
-    return Memo(_encode_chunk(path))
+    return Memo(_encode_chunk(path), entries)
 
 
 def word_ids(path: str) -> Callable[[str], bytes]:
     """For a vocabulary that drops white space."""
-    memo = _memo(path)
+    memo = _memo(path, _WORDS)
     return lambda text: b"".join(map(memo.__getitem__, _WORD.findall(text)))
 
 
