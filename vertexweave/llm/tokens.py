@@ -29,7 +29,7 @@ _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Such letters, and ASCII signs behind them: both vocabularies split there, but for an apostrophe.
 _SIGNED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 # Words whose ids a worker remembers for a vocabulary that drops white space, in each half of its memo.
-_WORDS = 100_000
+_WORDS = 200_000
 
 
 @lru_cache(maxsize=4)
