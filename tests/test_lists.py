@@ -64,3 +64,18 @@ def test_shuffles_of_stored_tables_do_not_stay(spark):
     kept = stored(spark.range(1000).repartition(3, F.col("id")))
     assert shuffled() <= before
     assert kept.count() == 1000
+
+
+@pytest.mark.parametrize("mode,k", [(1, 3), (3, 2)])
+def test_bit_sets_in_rounds(edge_frame, monkeypatch, mode, k):
+    monkeypatch.setattr(blocks, "ROWS_PER_ROUND", 400)
+    edges = random_edges(mode + k)
+    want, lone, _ = model(edges, mode, k)
+    got = rows(op.bitmap_blocks(edge_frame(edges), mode, k, keep_lone=True))
+    assert [r for r in got if r[1] is not None] == want
+    assert [r[0] for r in got if r[1] is None] == lone
+
+
+def test_last_bits_are_not_looked_up(edge_frame):
+    shape = plan(op.bitmap_blocks(edge_frame([(1, 2), (2, 3), (3, 4)]), 3, 1))
+    assert "_degree" not in shape and "lambdafunction" not in shape

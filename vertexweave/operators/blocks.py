@@ -345,6 +345,10 @@ def _bucketed(links: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | No
 # Anchors that one row has bits for, in words of 64.
 WORDS = 4
 _WORD_BITS, _BLOCK_BITS = 6, 8
+# Rows of bits that a round of a hop makes, about; what a round shuffles is deleted when it ends.
+ROWS_PER_ROUND = 1 << 26
+# The places of the bits of each octet.
+_PLACES = f"array({', '.join(f'array({", ".join(str(i) for i in range(8) if octet >> i & 1)})' for octet in range(256))})"
 
 
 def bitmap_blocks(edges: DataFrame, mode: int, k: int, keep_lone: bool = False, tile_side: int = TILE_SIDE) -> DataFrame:
@@ -354,7 +358,8 @@ def bitmap_blocks(edges: DataFrame, mode: int, k: int, keep_lone: bool = False,
     a bit for each of those that reach the vertex first at this hop. A hop joins
     these rows with the neighbour relation and merges bits by ``or``: where many
     anchors reach the same vertices, that is far less to shuffle than pairs,
-    which are only spelled out at the end. On a sparse graph it is more.
+    which are only spelled out at the end. On a sparse graph it is more. A hop
+    of more than ``ROWS_PER_ROUND`` such rows is made in rounds of blocks.
     """
     check_mode(mode)
     if k < 1:
@@ -369,34 +374,49 @@ def bitmap_blocks(edges: DataFrame, mode: int, k: int, keep_lone: bool = False,
         .groupBy("vertex", "block")
         .agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("mask"))), F.lit(0).cast("bigint")).alias(w) for i, w in enumerate(bits)])
     )
+    degrees = stored(nbrs.groupBy("vertex").agg(F.count(F.lit(1)).alias("_degree")))
     fresh = [stored(first)]
     seen = fresh[0]
     for hop in range(2, k + 1):
-        met = tiled_join(fresh[-1], nbrs, "vertex", "block", "neighbor", tile_side=tile_side)
-        both = met.select(
-            F.col("neighbor").alias("vertex"), "block", *bits, *[F.lit(0).cast("bigint").alias(f"seen_{w}") for w in bits]
-        ).unionByName(seen.select("vertex", "block", *[F.lit(0).cast("bigint").alias(w) for w in bits], *[F.col(w).alias(f"seen_{w}") for w in bits]))
-        merged = both.groupBy("vertex", "block").agg(*[F.bit_or(c).alias(c) for w in bits for c in (w, f"seen_{w}")])
-        new = [F.col(w).bitwiseAND(F.bitwise_not(f"seen_{w}")).alias(w) for w in bits]
-        merged = stored(merged)
-        fresh.append(merged.select("vertex", "block", *new).where(reduce(lambda x, y: x | y, [c != 0 for c in new])))
-        seen = merged.select("vertex", "block", *[F.col(w).bitwiseOR(F.col(f"seen_{w}")).alias(w) for w in bits])
-    reached = reduce(DataFrame.unionByName, [rows.withColumn("distance", F.lit(hop)) for hop, rows in enumerate(fresh, 1)])
-    # One row for many pairs: whether a vertex leads on is looked up here.
-    degrees = nbrs.groupBy("vertex").agg(F.count(F.lit(1)).alias("_degree"))
-    typed = spread_lookup(reached, degrees, "vertex", "block")
-    interior = (F.col("distance") < k) & F.col("_degree").isNotNull()
-    words = F.array(*[F.struct(F.lit(i).alias("word"), F.col(w).alias("bits")) for i, w in enumerate(bits)])
-    some = typed.select(
-        "vertex", "block", "distance", F.when(interior, INTERIOR).otherwise(BORDER).alias("type"),
-        F.inline(F.filter(words, lambda x: x["bits"] != 0)),
-    )
-    places = F.filter(
-        F.sequence(F.lit(0), F.lit((1 << _WORD_BITS) - 1)),
-        lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(1) == 1,
+        before, last = fresh[-1], hop == k
+        met = before.join(degrees, "vertex").agg(F.sum("_degree")).first()[0] or 0
+        rounds = max(1, ceil(met / ROWS_PER_ROUND))
+
+        def merged(round: int) -> DataFrame:
+            """Bits that one more hop reaches, and those seen before, of the blocks of one round."""
+            old, known_bits = before, seen
+            if rounds > 1:
+                old, known_bits = (x.where(F.pmod("block", F.lit(rounds)) == round) for x in (old, known_bits))
+            met = tiled_join(old, nbrs, "vertex", "block", "neighbor", tile_side=tile_side)
+            both = met.select(
+                F.col("neighbor").alias("vertex"), "block", *bits, *[F.lit(0).cast("bigint").alias(f"seen_{w}") for w in bits]
+            ).unionByName(known_bits.select("vertex", "block", *[F.lit(0).cast("bigint").alias(w) for w in bits], *[F.col(w).alias(f"seen_{w}") for w in bits]))
+            found = both.groupBy("vertex", "block").agg(*[F.bit_or(c).alias(c) for w in bits for c in (w, f"seen_{w}")])
+            return _new_bits(found, bits) if last else found
+
+        if last:
+            fresh.append(merged(0) if rounds == 1 else _union([stored(merged(r)) for r in range(rounds)]))
+        else:
+            found = _union([stored(merged(r)) for r in range(rounds)])
+            fresh.append(_new_bits(found, bits))
+            seen = found.select("vertex", "block", *[F.col(w).bitwiseOR(F.col(f"seen_{w}")).alias(w) for w in bits])
+    *inner, outer = [rows.withColumn("distance", F.lit(hop)) for hop, rows in enumerate(fresh, 1)]
+    typed = [outer.withColumn("type", F.lit(BORDER))]
+    if inner:
+        # One row for many pairs: whether a vertex leads on is looked up here. At the last hop it does not matter.
+        looked_up = spread_lookup(_union(inner), degrees, "vertex", "block")
+        typed.append(looked_up.withColumn("type", F.when(F.col("_degree").isNotNull(), INTERIOR).otherwise(BORDER)).drop("_degree"))
+    words = F.array(*[F.struct(F.lit(i << _WORD_BITS).alias("word"), F.col(w).alias("bits")) for i, w in enumerate(bits)])
+    some = _union(typed).select("vertex", "block", "distance", "type", F.inline(words)).where("bits <> 0")
+    octets = F.array(*[
+        F.struct(F.lit(i).alias("octet"), F.call_function("shiftright", F.col("bits"), F.lit(i)).bitwiseAND(255).cast("int").alias("set"))
+        for i in range(0, 1 << _WORD_BITS, 8)
+    ])
+    start = F.shiftleft("block", _BLOCK_BITS) + F.col("word")
+    parts = some.select(start.alias("start"), "vertex", "distance", "type", F.inline(octets)).where("`set` <> 0")
+    pairs = parts.select(
+        (F.col("start") + F.col("octet")).alias("start"), F.explode(F.get(F.expr(_PLACES), F.col("set"))).alias("place"), "vertex", "distance", "type"
     )
-    start = F.shiftleft("block", _BLOCK_BITS) + F.shiftleft("word", _WORD_BITS)
-    pairs = some.select(start.alias("start"), F.explode(places).alias("place"), "vertex", "distance", "type")
     blocks = pairs.select((F.col("start") + F.col("place")).alias("anchor"), "vertex", "distance", "type").where("anchor <> vertex")
     if keep_lone:
         lone = lone_vertices(edges, mode).select(F.col("vertex").alias("anchor"))
@@ -404,6 +424,12 @@ def bitmap_blocks(edges: DataFrame, mode: int, k: int, keep_lone: bool = False,
     return blocks
 
 
+def _new_bits(found: DataFrame, bits: list[str]) -> DataFrame:
+    """What was not seen before."""
+    new = [F.col(w).bitwiseAND(F.bitwise_not(f"seen_{w}")).alias(w) for w in bits]
+    return found.select("vertex", "block", *new).where(reduce(lambda x, y: x | y, [c != 0 for c in new]))
+
+
 def _marked_links(nbrs: DataFrame, mode: int) -> DataFrame:
     """The relation, with ``open`` telling whether the neighbour has neighbours itself."""
     if mode == BOTH:
